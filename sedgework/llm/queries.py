@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name -> module that holds it.
 MODULES = {
+    "op1_pii": "pii",
     "op3_sentencepiece": "sentencepiece",
+    "op6_secret_scans": "secrets",
     "op8_media_columns": "matroska",
 }
 
