@@ -8,7 +8,9 @@ from importlib import import_module
 MODULES = {
     "op1_pii": "pii",
     "op3_sentencepiece": "sentencepiece",
+    "op5_mixing": "mixing",
     "op6_secret_scans": "secrets",
+    "op7_quality_rules": "quality",
     "op8_media_columns": "matroska",
 }
 
