@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that holds it.
 MODULES = {
     "op1_pii": "pii",
+    "op2_substring_dedup": "repeats",
     "op3_sentencepiece": "sentencepiece",
     "op5_mixing": "mixing",
     "op6_secret_scans": "secrets",
