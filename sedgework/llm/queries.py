@@ -13,6 +13,7 @@ MODULES = {
     "op6_secret_scans": "secrets",
     "op7_quality_rules": "quality",
     "op8_media_columns": "matroska",
+    "op9_ngram_jaccard": "jaccard",
 }
 
 
