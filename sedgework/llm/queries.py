@@ -14,6 +14,7 @@ MODULES = {
     "op7_quality_rules": "quality",
     "op8_media_columns": "matroska",
     "op9_ngram_jaccard": "jaccard",
+    "op10_html_extraction": "htmltext",
 }
 
 
