@@ -9,6 +9,7 @@ MODULES = {
     "op1_pii": "pii",
     "op2_substring_dedup": "repeats",
     "op3_sentencepiece": "sentencepiece",
+    "op4_license_scans": "licenses",
     "op5_mixing": "mixing",
     "op6_secret_scans": "secrets",
     "op7_quality_rules": "quality",
