@@ -9,10 +9,11 @@ and the rate of a document is the exponential tilt exp(lambda[source]).  Newton'
 (target - m) / m with m the tilted tokens of its documents, an aggregate over the sources' token
 statistics that Spark computes in each iteration; the step is damped where it would overshoot.
 
-Rates are then rounded into whole copies by systematic rounding.  Within a source, documents are
-ordered by size, so the copies that are added drift from the rate by less than the largest size.
-The rank of a document comes from counts of (source, size, salt) and a rank within them; the number
-of salts follows the count of a (source, size), so no task ranks more than about SALT_ROWS documents.
+Rates are then rounded into whole copies.  How many documents of a (source, size) get a copy more
+comes from systematic rounding over sizes, and is then repaired with sizes that fit what a source
+lacks.  Which documents do is decided by their rank in hash order, from counts of (source, size, salt)
+and a rank within them; the number of salts follows the count of a (source, size), so no task ranks
+more than about SALT_ROWS documents.  A source has at most sqrt(2 x its words) sizes.
 
 Cases: null text has size 0; a null source is a source of its own, the last; empty tables give an
 empty result; documents of size 0 take nothing; repeated rows are documents of their own; rows
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, n_words, table
 
-WEIGHTS, CAP, NEWTON_STEPS, TOLERANCE, SALT_ROWS = (1, 2, 3), 3, 60, 1e-12, 20_000
+WEIGHTS, CAP, NEWTON_STEPS, TOLERANCE, SALT_ROWS, REPAIRS = (1, 2, 3), 3, 60, 1e-12, 20_000, 4
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -76,26 +77,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rates = materialize(tilts(targets(sums, weights, cap)), "mix-rates")
 
     # Hash ranges as salts, so that the order by (salt, hash) is the order by hash.
-    cells = cells.withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("long"))
+    cells = _extras(cells, rates, cap).withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("long"))
+    cells = materialize(cells, "mix-cells")
     same = [F.col("d.source").eqNullSafe(F.col("c.source")), F.col("d.size") == F.col("c.size")]
     top = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
-    placed = sized.alias("d").join(cells.alias("c"), same).select("d.*", F.floor(top * F.col("c.salts") / F.lit(2**32)).cast("long").alias("salt"))
+    placed = sized.alias("d").join(cells.alias("c"), same).select("d.*", "c.source_size", "c.target", "c.whole", "c.extra", F.floor(top * F.col("c.salts") / F.lit(2**32)).cast("long").alias("salt"))
     groups = placed.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
-    per_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     per_salt = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "size", F.coalesce(F.sum("n").over(per_size), F.lit(0)).alias("before"))
-    salts = groups.select("source", "size", "salt", F.coalesce(F.sum("n").over(per_salt), F.lit(0)).alias("inner"))
+    salts = groups.select("source", "size", "salt", F.coalesce(F.sum("n").over(per_salt), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "size", "salt").orderBy("_h", F.col("_id").asc_nulls_first())
-    ranked = placed.withColumn("_r", F.row_number().over(inside))
-    key = [F.col("d.source").eqNullSafe(F.col("s.source")), F.col("d.size") == F.col("s.size")]
-    offsets = salts.alias("d").join(starts.alias("s"), key).select("d.source", "d.size", "d.salt", (F.col("d.inner") + F.col("s.before")).alias("offset"))
-    joined = ranked.alias("d").join(offsets.alias("s"), [*key, F.col("d.salt") == F.col("s.salt")]).select("d.*", (F.col("s.offset") + F.col("d._r")).alias("rank"))
-    out = joined.alias("d").join(rates.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.rate")
-    whole = F.floor("rate")
-    part = F.col("rate") - whole
-    extra = F.floor(part * F.col("rank") + 0.5) - F.floor(part * (F.col("rank") - 1) + 0.5)
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(whole + extra, F.lit(cap))).cast("long")
-    return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"))
+    ranked = placed.withColumn("rank", F.row_number().over(inside))
+    key = [F.col("d.source").eqNullSafe(F.col("s.source")), F.col("d.size") == F.col("s.size"), F.col("d.salt") == F.col("s.salt")]
+    out = ranked.alias("d").join(salts.alias("s"), key).select("d.*", (F.col("s.before") + F.col("d.rank")).alias("place"))
+    copies = F.col("whole") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)
+    return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def _extras(cells: DataFrame, rates: DataFrame, cap: int) -> DataFrame:
+    """Adds ``whole``, the copies of each document of a (source, size), and ``extra``, how many get one more.
+
+    Systematic rounding over sizes first; then what a source lacks or has too much is made up in a few
+    rounds, each with the largest size that fits.
+    """
+    per_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.withColumn("before", F.coalesce(F.sum("n").over(per_size), F.lit(0)))
+    rows = before.alias("d").join(rates.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.rate")
+    rows = rows.withColumn("whole", F.when(F.col("size") == 0, 0).otherwise(F.least(F.floor("rate"), F.lit(cap))).cast("long"))
+    part = F.when((F.col("size") == 0) | (F.col("whole") >= cap), 0.0).otherwise(F.col("rate") - F.col("whole"))
+    upto = lambda x: F.floor(part * x + 0.5)
+    rows = rows.withColumn("extra", (upto(F.col("before") + F.col("n")) - upto(F.col("before"))).cast("long"))
+    rows = materialize(rows.drop("before", "rate"), "mix-cells")
+    for _ in range(REPAIRS):
+        taken = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extra")))).alias("lack"))
+        room = F.when(F.col("lack") > 0, F.when(F.col("whole") < cap, F.col("n") - F.col("extra")).otherwise(0)).otherwise(F.col("extra"))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("lack")) & (room > 0)
+        both = rows.alias("d").join(taken.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.lack")
+        pick = F.max(F.when(fits, F.col("size"))).over(Window.partitionBy("source"))
+        change = F.least(room, F.floor(F.abs("lack") / F.col("size")).cast("long")) * F.signum("lack").cast("long")
+        both = both.withColumn("extra", F.when(F.col("size") == pick, F.col("extra") + change).otherwise(F.col("extra")))
+        rows = materialize(both.drop("lack"), "mix-cells")
+    return rows
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
