@@ -44,10 +44,11 @@ FEATURES = {
 }
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, STATS, MORE), all long."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Rows (id, STATS, MORE), all long; with ``carry`` also the whole row as the struct ``_row``."""
     without = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
-    df = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
+    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if carry else []
+    df = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"), *row)
     df = df.withColumns(
         {
             "_w": F.filter(F.split("_t", f"{SPACE_CLASS}+"), lambda w: w != ""),
@@ -71,7 +72,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     df = df.withColumn("_d", F.expr("sort_array(transform(filter(_z, (e, k) -> e.h <=> get(_z, k - 1).h or e.h <=> get(_z, k + 1).h), e -> e.i))")).drop("_z")
     covered = F.expr("aggregate(_d, struct(-3 as last, 0L as n), (s, i) -> struct(i as last, s.n + least(3, i - s.last) as n), s -> s.n)")
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return df.select(F.col("_id").alias(id_col), *STATS, *MORE)
+    return df.select(F.col("_id").alias(id_col), *STATS, *MORE, *(["_row"] if carry else []))
 
 
 @dataclass(frozen=True)
@@ -179,6 +180,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.withColumn("kept", ~failed & verdict(learn(stats, labels, id_col))).withColumn("base_failed", failed)
 
 
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rules and the learned list keep."""
+    stats = materialize(statistics(docs, id_col, text_col, carry=True), "quality-rows")
+    rules = learn(stats.select(id_col, *STATS, *MORE), labels, id_col)
+    return stats.filter(~F.expr(BASE_FAILED) & verdict(rules)).select("_row.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *STATS, "base_failed", "kept")
