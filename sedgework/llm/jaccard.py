@@ -40,7 +40,7 @@ from .common import materialize, slices, table
 from .components import connected_components
 
 SHINGLE, PERCENT, GROUPS = 4, 85, 64
-CHUNK, BUCKET, ROOM, LEAF = 8 << 20, 48 << 20, 4000, 32
+CHUNK, BUCKET, TASKS, ROOM, LEAF = 8 << 20, 16 << 20, 20_000, 4000, 32
 _LAST = 2**63 - 1
 
 
@@ -212,16 +212,26 @@ def _local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _unite(batches):
-    """Nodes that share a key in this bucket, as (u, v) with v the least node of their local component."""
-    heads, keys = [], []
+    """The buckets of a task, whose rows are neighbours, one after the other."""
+    at, heads, keys = None, [], []
     for b in batches:
-        heads += [np.frombuffer(x.as_py(), _HEAD) for x in b.column("nodes")]
-        keys += [x.as_py() for x in b.column("keys")]
-    if not heads:
-        return
+        for bucket, head, key in zip(b.column("bucket").to_pylist(), b.column("nodes"), b.column("keys")):
+            if bucket != at:
+                if heads:
+                    yield from _unite_bucket(heads, keys)
+                at, heads, keys = bucket, [], []
+            heads.append(np.frombuffer(head.as_py(), _HEAD))
+            keys.append(key.as_py())
+    if heads:
+        yield from _unite_bucket(heads, keys)
+
+
+def _unite_bucket(heads: list, keys: list):
+    """Nodes that share a key in this bucket, as (u, v) with v the least node of their local component."""
     head = np.concatenate(heads)
     raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
-    del heads, keys
+    heads.clear()
+    keys.clear()
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :5] = raw
     key = wide.view("<u8").ravel()
@@ -384,7 +394,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialize(rows.mapInArrow(_names, "id long, tag long, node long, n_shingles long"), "jaccard-nodes")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET))
-    met = rows.select("text").mapInArrow(_meet(buckets), "bucket int, nodes binary, keys binary").repartition(buckets, "bucket").mapInArrow(_unite, "u long, v long")
+    met = rows.select("text").mapInArrow(_meet(buckets), "bucket int, nodes binary, keys binary").repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_unite, "u long, v long")
     rooms = connected_components(met)
     rooms = rooms.unionByName(rooms.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "room")
     counts = rooms.groupBy("room").agg(F.count("*").alias("n"))
@@ -398,7 +408,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     go = places.withColumn("to", F.when(F.col("node") == F.col("room"), every).otherwise(F.array(part)))
 
     def grouped(sets: DataFrame, run, schema: str) -> DataFrame:
-        return sets.mapInArrow(_sets, _SETS).repartition(buckets, "room", "part").sortWithinPartitions("room", "part").mapInArrow(run, schema)
+        return sets.mapInArrow(_sets, _SETS).repartition(min(buckets, TASKS), "room", "part").sortWithinPartitions("room", "part").mapInArrow(run, schema)
 
     wide = keyed.join(go, ["id", "tag"]).select("room", F.explode("to").alias("part"), "node", F.lit(False).alias("asks"), "text")
     found = materialize(grouped(wide, _connect, "u long, v long"), "jaccard-found")
