@@ -35,7 +35,8 @@ from .common import slices, table
 
 WINDOW, SEED = 20, 4
 #: Bytes of text whose suffixes are combined before they are sent, and of text for each group of subtrees.
-CHUNK, GROUP = 8 << 20, 48 << 20
+#: Groups are dealt to at most TASKS tasks, which sort them and take one after the other.
+CHUNK, GROUP, TASKS = 8 << 20, 16 << 20, 20_000
 _LAST = 2**63 - 1
 _DTYPE = np.dtype([("prefix", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("count", "<u1")])
 
@@ -152,23 +153,30 @@ def _pack(groups: int):
 
 
 def _subtrees(batches):
-    """All groups of one task: sorted leaves, equal neighbours, repeats as (doc, tag, start, n)."""
-    recs, fives, done = [], [], []
+    """The groups of a task, whose rows are neighbours, one after the other."""
+    at, recs, fives = None, [], []
     for b in batches:
-        for body, windows in zip(b.column("body"), b.column("windows")):
+        for grp, body, windows in zip(b.column("grp").to_pylist(), b.column("body"), b.column("windows")):
+            if grp != at:
+                if recs:
+                    yield from _subtree(recs, fives)
+                at, recs, fives = grp, [], []
             rec = np.frombuffer(body.as_py(), _DTYPE)
             if windows.is_valid:
                 recs.append(rec)
                 fives.append(windows.as_py())
             else:
-                done.append(rec)
-    for rec in done:
-        yield _result(rec["doc"], rec["tag"].astype(np.int64), rec["start"].astype(np.int64), rec["prefix"].astype(np.int64))
-    if not recs:
-        return
+                yield _result(rec["doc"], rec["tag"].astype(np.int64), rec["start"].astype(np.int64), rec["prefix"].astype(np.int64))
+    if recs:
+        yield from _subtree(recs, fives)
+
+
+def _subtree(recs: list, fives: list):
+    """Sorted leaves, equal neighbours, repeats as (doc, tag, start, n)."""
     rec = np.concatenate(recs)
     raw = np.frombuffer(b"".join(fives), np.uint8).reshape(-1, 5)
-    del recs, fives
+    recs.clear()
+    fives.clear()
     # leaves of prefixes with one record can't meet another
     o = np.argsort(rec["prefix"], kind="stable")
     p = rec["prefix"][o]
@@ -204,7 +212,7 @@ def _result(doc, tag, start, n):
 def repeated_places(keyed: DataFrame, groups: int) -> DataFrame:
     """(doc, tag, start, n): windows at start .. start + n - 1 also start earlier.  keyed: (doc, tag, text)."""
     packed = keyed.mapInArrow(_pack(groups), "grp int, body binary, windows binary")
-    return packed.repartition(groups, "grp").mapInArrow(_subtrees, "doc long, tag long, start long, n long")
+    return packed.repartition(min(groups, TASKS), "grp").sortWithinPartitions("grp").mapInArrow(_subtrees, "doc long, tag long, start long, n long")
 
 
 def split_words(text: str) -> list[str]:
