@@ -1 +1,86 @@
-"""Queries."""
+"""Keyed state, upserts and the lifecycle view."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ledger as L
+from ..operators.rows import latest
+from .registry import query
+
+_LOG = "with g as (select user_id, event_id, case event_type when 'view' then 'QUEUED' when 'click' then 'DOWNLOADING' when 'purchase' then 'COMPLETED' when 'error' then 'FAILED' end as status, case when event_type in ('click', 'purchase') then cast(floor(value * 1000) as bigint) end as bytes, case when event_type = 'error' then props end as reason, event_type = 'purchase' as clears from events)"
+
+
+def _log(t):
+    e = F.col("event_type")
+    return t.events.select("user_id", "event_id", F.expr("case event_type when 'view' then 'QUEUED' when 'click' then 'DOWNLOADING' when 'purchase' then 'COMPLETED' when 'error' then 'FAILED' end").alias("status"), F.when(e.isin("click", "purchase"), F.floor(F.col("value") * 1000)).cast("long").alias("bytes"), F.when(e == "error", F.col("props")).alias("reason"), (e == "purchase").alias("clears"))
+
+
+@query("o70_ledger_state", f"{_LOG}, l as (select user_id, max(event_id) filter (where reason is not null or clears) as r from g group by 1) select g.user_id, arg_max(status, event_id) as status, arg_max(bytes, event_id) as bytes, max(case when event_id = r then reason end) as reason from g join l using (user_id) group by g.user_id")
+def o70(t):
+    return L.current(_log(t), "user_id", ["event_id"], ["status", "bytes", "reason"], {"reason": "clears"})
+
+
+@query("o04_ledger_upsert", f"{_LOG} select user_id, arg_max(coalesce(status, 'UNKNOWN'), event_id) as status, max(event_id) as event_id from g group by user_id")
+def o04(t):
+    return latest(_log(t).withColumn("status", F.coalesce("status", F.lit("UNKNOWN"))), ["user_id"], ["event_id"], ["status", "event_id"])
+
+
+def _entries(t):
+    m = F.col("doc_id") % 7
+    d = t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id", "left")
+    return d.select(
+        F.format_string("doc_%06d.pdf", "doc_id").alias("filename"), F.lit("t").alias("title"),
+        F.when(m == 1, "rejected").when(m > 1, "approved").alias("stage1"),
+        F.when(m == 2, "permanently_failed").when(m > 2, "completed").otherwise("queued").alias("transfer"),
+        F.col("n_chars").alias("bytes"), (m + 1).alias("attempt"),
+        F.when(m > 3, F.when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "rejected")).alias("validation"),
+    )
+
+
+@query("o71_lifecycle", "select printf('doc_%06d.pdf', d.doc_id) as filename, case when d.doc_id % 7 > 3 and quality = 1 then 'ACCEPTED' when d.doc_id % 7 > 3 and quality = 0 then 'REJECTED' when d.doc_id % 7 = 1 then 'STAGE1_REJECTED' when d.doc_id % 7 = 2 then 'DOWNLOAD_FAILED' else 'IN_PROGRESS' end as final_status, d.doc_id % 7 > 2 as downloaded, d.doc_id % 7 > 3 and quality is not null as stage2_completed from documents d left join labels l on l.doc_id = d.doc_id")
+def o71(t):
+    return L.lifecycle(_entries(t)).select("filename", "final_status", F.col("download.completed").alias("downloaded"), F.col("stage2.completed").alias("stage2_completed"))
+
+
+@query("o72_completed_count", "select count(*) as completed from (select doc_id from documents where doc_id % 2 = 0 union select doc_id from labels where quality = 1)")
+def o72(t):
+    listing = t.documents.filter("doc_id % 2 = 0").select("doc_id")
+    ledger = t.labels.select("doc_id", F.when(F.col("quality") == 1, "completed").otherwise("PARTIAL").alias("status"))
+    return L.reconciled(listing, ledger, "doc_id").agg(F.count_if(F.col("status") == "COMPLETED").alias("completed"))
+
+
+@query("o73_stage1_completed", "select distinct o_custkey from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+def o73(t):
+    return t.orders.filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+
+
+@query("o74_not_yet_evaluated", "select doc_id from documents where doc_id not in (select doc_id from labels)")
+def o74(t):
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
+
+
+@query("o75_rejected_rows", "select doc_id, 'STAGE1_REJECTED' as status from documents where doc_id not in (select doc_id from labels where quality = 1)")
+def o75(t):
+    return t.documents.select("doc_id").join(t.labels.filter("quality = 1"), "doc_id", "left_anti").withColumn("status", F.lit("STAGE1_REJECTED"))
+
+
+@query(
+    "o78_upsert_documents",
+    "select coalesce(o.c_custkey, n.o_custkey) as k, case when o.c_custkey is null or o.c_custkey % 3 = 0 then 'n' || n.o_custkey else c_name end as title, case when o.c_custkey is null or n.o_custkey % 2 = 0 then 'new' || n.o_custkey else 'old' || o.c_custkey end as filename, (case when o.c_custkey is null then '' else 'a=1;' end) || case when n.o_custkey is null then 'b=1' else 'b=2' end as meta from customer o full join (select distinct o_custkey from orders) n on o.c_custkey = n.o_custkey",
+)
+def o78(t):
+    i = F.col("c_custkey")
+    old = t.customer.select(i.alias("k"), F.when(i % 3 == 0, "").otherwise(F.col("c_name")).alias("title"), F.concat(F.lit("old"), i.cast("string")).alias("filename"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")).alias("metadata"))
+    j = F.col("o_custkey")
+    metadata = F.when(j % 2 == 0, F.create_map(F.lit("b"), F.lit("2"), F.lit("mirrors"), F.lit("m"))).otherwise(F.create_map(F.lit("b"), F.lit("2")))
+    new = t.orders.select("o_custkey").distinct().select(j.alias("k"), F.concat(F.lit("n"), j.cast("string")).alias("title"), F.concat(F.lit("new"), j.cast("string")).alias("filename"), metadata.alias("metadata"))
+    up = L.upsert_documents(old, new, "k")
+    entry = F.transform(F.array_sort(F.map_entries(F.map_filter("metadata", lambda k, v: k != "mirrors"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("n"), F.col("k").cast("string")))
+    return up.select("k", title.alias("title"), "filename", F.array_join(entry, ";").alias("meta"))
+
+
+@query("o79_upsert_verdicts", "select o_custkey, o_orderpriority as query, arg_max(o_orderstatus, o_orderkey) as status from orders group by 1, 2")
+def o79(t):
+    return latest(t.orders.withColumnRenamed("o_orderpriority", "query").withColumnRenamed("o_orderstatus", "status"), ["o_custkey", "query"], ["o_orderkey"], ["status"])
