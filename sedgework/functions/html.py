@@ -1,0 +1,215 @@
+"""Extraction from result pages with the standard HTML parser, in Arrow-batched pandas functions."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import parse_qsl, urldefrag, urljoin, urlsplit
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_SILENT = {"script", "style", "noscript"}
+
+
+class _Node:
+    __slots__ = ("attrs", "children", "name", "parent")
+
+    def __init__(self, name: str, attrs: dict, parent):
+        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
+
+    def walk(self):
+        for c in self.children:
+            if isinstance(c, _Node):
+                yield c
+                yield from c.walk()
+
+    def text(self, sep: str = " ") -> str:
+        parts = [c if isinstance(c, str) else c.text(sep) for c in self.children if isinstance(c, str) or c.name not in _SILENT]
+        return re.sub(r"\s+", " ", sep.join(p for p in parts if p)).strip()
+
+    def above(self, name: str):
+        n = self.parent
+        while n is not None and n.name != name:
+            n = n.parent
+        return n
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = _Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        inner = {"tr": ("tr", "table"), "td": ("td", "tr"), "th": ("th", "tr"), "li": ("li", "ul"), "p": ("p", "div")}.get(tag)
+        if inner:  # these end an open one of their kind in the same holder
+            n = self.at
+            while n.parent is not None and n.name != inner[1]:
+                if n.name in ((tag,) if tag not in ("td", "th") else ("td", "th")):
+                    self.at = n.parent
+                    break
+                n = n.parent
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in _VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        n = self.at
+        while n.parent is not None and n.name != tag:
+            n = n.parent
+        if n.parent is not None:
+            self.at = n.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def tree(html: str | None) -> _Node:
+    p = _Tree()
+    p.feed(html or "")
+    p.close()
+    return p.root
+
+
+def leaf_rows(root: _Node) -> list[_Node]:
+    """Rows with cells of their own and no row inside."""
+    return [n for n in root.walk() if n.name == "tr" and any(isinstance(c, _Node) and c.name == "td" for c in n.children) and not any(m.name == "tr" for m in n.walk())]
+
+
+def _admissible(base: str, href: str) -> str | None:
+    if not href or href.startswith("#"):
+        return None
+    link = urldefrag(urljoin(base, href))[0]
+    u = urlsplit(link)
+    return link if u.scheme in ("http", "https") and u.hostname else None
+
+
+def _navigation(link: str, paths: tuple[str, ...]) -> bool:
+    u = urlsplit(link)
+    return u.path in paths and any(k == "req" for k, _ in parse_qsl(u.query, keep_blank_values=True))
+
+
+def _digits(label: str) -> bool:
+    return bool(re.fullmatch(r"\[?\d+\]?", label))
+
+
+def mirror_rows(html: str | None, base: str, first_hosts: tuple[str, ...] = (), own_hosts: tuple[str, ...] = ()) -> list[dict]:
+    """(links, mirrors) of each row: mirrors are those on ``first_hosts`` that look like one, on ``own_hosts``, then others that look like one."""
+    out = []
+    for row in leaf_rows(tree(html)):
+        links: list[str] = []
+        groups: tuple[list[str], ...] = ([], [], [])
+        for a in (n for n in row.walk() if n.name == "a" and n.above("tr") is row):
+            link = _admissible(base, a.attrs.get("href", "").strip())
+            if link is None:
+                continue
+            if link not in links:
+                links.append(link)
+            if _navigation(link, ("/",)):
+                continue
+            u = urlsplit(link)
+            looks = _digits(a.text()) or bool(re.search(r"/main/|get\.php|ads\.php|md5=|\.pdf$", link, re.I))
+            host = (u.hostname or "").lower()
+            on = lambda hosts: any(host == h or host.endswith("." + h) for h in hosts)  # noqa: B023, E731
+            k = 0 if looks and on(first_hosts) else 1 if on(own_hosts) else 2 if looks else None
+            if k is not None and link not in groups[k]:
+                groups[k].append(link)
+        mirrors = list(dict.fromkeys(x for g in groups for x in g))
+        if links and mirrors:
+            out.append({"links": links, "mirrors": mirrors})
+    return out
+
+
+def document_rows(html: str | None, base: str) -> list[dict]:
+    """(title, link, text) of each row: its first admissible link that no row before took."""
+    seen, out = set(), []
+    for row in leaf_rows(tree(html)):
+        text = row.text()
+        for a in (n for n in row.walk() if n.name == "a"):
+            link = _admissible(base, a.attrs.get("href", "").strip())
+            if link is None or _navigation(link, ("", "/", "/index.php")) or link in seen:
+                continue
+            label = a.text()
+            if not label and not re.search(r"ads\.php|book/|/main/|md5=", link):
+                continue
+            seen.add(link)
+            out.append({"title": text[:240] if not label or _digits(label) else label, "link": link, "text": text})
+            break
+    return out
+
+
+def linearize(html: str | None) -> str:
+    """Tables as lines of cells with their links; pages without rows as their text."""
+    root = tree(html)
+    lines = []
+    for row in (n for n in root.walk() if n.name == "tr"):
+        cells = []
+        for c in row.children:
+            if isinstance(c, _Node) and c.name in ("td", "th"):
+                links = [f"{n.text()} ({n.attrs['href']})" for n in c.walk() if n.name == "a" and n.attrs.get("href")]
+                cells.append(" ".join(x for x in [c.text(), *links] if x))
+        if any(cells):
+            lines.append(" | ".join(cells))
+    return "\n".join(lines) if lines else root.text()
+
+
+def download_links(html: str | None, base: str) -> list[str]:
+    """Links of a mirror page: named downloads, else those with an md5, else all that look like one."""
+    root = tree(html)
+    anchors = [(n.text(), n.attrs.get("href", "")) for n in root.walk() if n.name == "a" and n.attrs.get("href")]
+    tiers = [
+        [h for label, h in anchors if re.search(r"\b(GET|DOWNLOAD|IPFS)\b", label, re.I) or re.search(r"get\.php|/main/|\.pdf($|\?)", h, re.I)],
+        [h for _, h in anchors if "md5=" in h.lower()],
+        [h for h in [*(h for _, h in anchors), *re.findall(r"""["'](https?://[^"'\s]+|/[^"'\s]+)["']""", html or "")] if re.search(r"get\.php|download|\.pdf|ipfs|/main/", h, re.I)],
+    ]
+    for tier in tiers:
+        found = list(dict.fromkeys(x for h in tier if (x := _admissible(base, h.strip()))))
+        if found:
+            return found
+    return []
+
+
+def _rows(df: DataFrame, html: str, base: str, keys: list[str], fn, schema: str, names: list[str]) -> DataFrame:
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(*(r[k] for k in keys), i, *(d[n] for n in names)) for r in pdf.to_dict("records") for i, d in enumerate(fn(r[html], r[base] or ""))]
+            yield pd.DataFrame(rows, columns=[*keys, "row_no", *names])
+
+    return df.select(*keys, html, base).mapInPandas(run, f"{kinds}, row_no int, {schema}")
+
+
+def extract_mirror_rows(pages: DataFrame, keys: list[str], html: str = "html", base: str = "base_url", **hosts) -> DataFrame:
+    return _rows(pages, html, base, keys, lambda h, b: mirror_rows(h, b, **hosts), "links array<string>, mirrors array<string>", ["links", "mirrors"])
+
+
+def extract_document_rows(pages: DataFrame, keys: list[str], html: str = "html", base: str = "base_url") -> DataFrame:
+    return _rows(pages, html, base, keys, document_rows, "title string, link string, text string", ["title", "link", "text"])
+
+
+def linear_text(html: Column) -> Column:
+    return F.pandas_udf(_linear, StringType())(html)
+
+
+def _linear(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(linearize)
+
+
+def plain_text(html: Column) -> Column:
+    """Markup stripped with patterns only, in the JVM."""
+    s = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]*>", " "), r"[ \t\n\r\f]+", " "))
+
+
+def anchors(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, pos, href, label) of all anchors, in the JVM."""
+    pattern = '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("label"))
+    return pages.select(key, F.posexplode(both).alias("pos", "a")).select(key, "pos", F.col("a.href").alias("href"), F.col("a.label").alias("label"))

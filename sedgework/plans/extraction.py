@@ -1 +1,48 @@
-"""Queries."""
+"""Extraction from pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from .registry import query
+
+
+@query("o25_anchors", """with a as (select page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) as l from pages) select page_id, cast(unnest(range(len(h))) as int) as pos, unnest(h) as href, unnest(l) as label from a""")
+def o25(t):
+    return H.anchors(t.pages, "page_id")
+
+
+@query("o23_plain_text", r"select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))) as digest from pages")
+def o23(t):
+    return t.pages.select("page_id", F.md5(H.plain_text(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("o23_linear_text")
+def o23b(t):
+    return t.pages.select("page_id", F.length(H.linear_text(F.col("html"))).alias("characters"))
+
+
+def _table(t):
+    """A result page of six rows for each page."""
+    row = lambda i: F.concat(F.lit(f"<tr><td><a href='/book/{i}/"), F.col("page_id").cast("string"), F.lit(f"'>Title {i}</a></td><td><a href='http://mirror.example/main/"), F.md5(F.concat("url", F.lit(str(i))).cast("binary")), F.lit(f"'>[1]</a></td><td>{i} MB</td></tr>"))
+    return t.pages.select("page_id", F.lit("http://site.example/search").alias("base_url"), F.concat(F.lit("<table>"), *[row(i) for i in range(6)], F.lit("</table>")).alias("html"))
+
+
+_I = "pages, range(6) r(i)"
+
+
+@query("o21_mirror_rows", f"select page_id, cast(i as int) as row_no, 'http://mirror.example/main/' || md5(url || i) as mirror from {_I}")
+def o21(t):
+    return H.extract_mirror_rows(_table(t), ["page_id"]).select("page_id", "row_no", F.element_at("mirrors", 1).alias("mirror"))
+
+
+@query("o22_document_rows", f"select page_id, cast(i as int) as row_no, 'Title ' || i as title, 'http://site.example/book/' || i || '/' || page_id as link, 'Title ' || i || ' [1] ' || i || ' MB' as text from {_I}")
+def o22(t):
+    return H.extract_document_rows(_table(t), ["page_id"])
+
+
+@query("o24_download_links", """select page_id, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: contains(x, '.pdf'))[1] as first_pdf from pages""")
+def o24(t):
+    links = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda x: x.contains(".pdf"))
+    return t.pages.select("page_id", F.get(links, F.lit(0)).alias("first_pdf"))
