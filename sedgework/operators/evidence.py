@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..functions.vocab import CHUNK_CHARS, EVIDENCE_CHARS, GOOD_CHARS, TOP_CHUNKS
 from .rows import top_per_key
 
@@ -18,9 +17,17 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return docs.filter(length > 0).select(F.col(id_col), F.posexplode(cut).alias("chunk_no", "chunk"))
 
 
-def score(chunk_tokens, terms: tuple[str, ...]):
-    """Share of the terms that occur."""
-    return F.size(F.array_intersect(chunk_tokens, F.array(*map(F.lit, terms)))) / F.lit(float(max(1, len(terms))))
+def spaced(text):
+    """The tokens of a text with a space around each, for ``score``."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+
+
+def score(spaced_tokens, terms: tuple[str, ...]):
+    """Share of the terms (each one token) that occur; substring searches in place of token arrays."""
+    hits = F.lit(0)
+    for t in terms:
+        hits = hits + F.contains(spaced_tokens, F.lit(f" {t} ")).cast("int")
+    return hits / F.lit(float(max(1, len(terms))))
 
 
 def topk(docs: DataFrame, topics: dict[str, tuple[str, ...]], id_col: str = "doc_id", text_col: str = "text", k: int = TOP_CHUNKS) -> DataFrame:
@@ -30,7 +37,7 @@ def topk(docs: DataFrame, topics: dict[str, tuple[str, ...]], id_col: str = "doc
     rank filter runs as a group limit before the shuffle, which thus moves at most k chunks for each
     document, topic and task.
     """
-    parts = chunks(docs, id_col, text_col).withColumn("_tok", tokens(F.col("chunk")))
+    parts = chunks(docs, id_col, text_col).withColumn("_tok", spaced(F.col("chunk")))
     scored = F.array(*[F.struct(F.lit(name).alias("topic"), score(F.col("_tok"), terms).alias("score")) for name, terms in topics.items()])
     rows = parts.withColumn("_s", F.explode(scored)).select(id_col, "chunk_no", "chunk", "_s.topic", "_s.score")
     rank = F.row_number().over(Window.partitionBy(id_col, "topic").orderBy(F.desc("score"), "chunk_no"))

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer partitions than there are cores; large inputs stay as they are.
+
+    For work that costs much more for each row than moving the row does.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def top_per_key(df: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in ``order`` (rank filters are pushed below the shuffle by the planner)."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")

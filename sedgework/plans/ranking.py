@@ -10,7 +10,7 @@ from ..functions.vocab import QUERY_TERMS, TOPIC_TERMS
 from ..operators import dedup as D
 from ..operators import evidence as E
 from ..operators import recovery as R
-from ..operators.rows import bounded_with_rest, top_per_key
+from ..operators.rows import bounded_with_rest, spread, top_per_key
 from .registry import query
 
 TOPICS = {"identity": TOPIC_TERMS, "query": QUERY_TERMS}
@@ -34,7 +34,7 @@ def o28(t):
 
 @query("o80_evidence_topk", _TOP + "select doc_id, topic, rank, chunk_no, score, md5(chunk) as digest from r where rank <= 4")
 def o80(t):
-    return E.topk(t.documents, TOPICS).select("doc_id", "topic", "rank", "chunk_no", "score", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+    return E.topk(spread(t.documents.select("doc_id", "text")), TOPICS).select("doc_id", "topic", "rank", "chunk_no", "score", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 @query(
@@ -44,7 +44,7 @@ def o80(t):
  select doc_id, md5(evidence) as digest, chunks_sampled, case when length(evidence) >= 2500 then 'good' else 'sparse' end as quality from e""",
 )
 def o80b(t):
-    return E.evidence(t.documents, TOPICS).select("doc_id", F.md5(F.col("evidence").cast("binary")).alias("digest"), "chunks_sampled", "quality")
+    return E.evidence(spread(t.documents.select("doc_id", "text")), TOPICS).select("doc_id", F.md5(F.col("evidence").cast("binary")).alias("digest"), "chunks_sampled", "quality")
 
 
 @query(
