@@ -145,3 +145,31 @@ def check_run(shard: int, shards: int, progress_s: float, heartbeat_s: float, le
         "checkpoint interval must be 300 s or more": checkpoint_s >= 300,
     }
     return [text for text, ok in rules.items() if not ok]
+
+
+def parse_documents(files: DataFrame, parser, schema: str) -> DataFrame:
+    """Rows that ``parser`` (bytes -> list of dicts) makes of each file's ``content``, with its ``path``.
+
+    The engine holds no parser of its own; ``schema`` names the columns that the given one returns.
+    """
+    import pandas as pd
+
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(parts):
+        for pdf in parts:
+            rows = [(p, *(d.get(n) for n in names)) for p, c in zip(pdf["path"], pdf["content"]) for d in parser(c)]
+            yield pd.DataFrame(rows, columns=["path", *names])
+
+    return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
+
+
+def event_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1000) -> DataFrame:
+    """A folder that event files are added to, as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+
+def emit_events(events: DataFrame, folder: str) -> None:
+    """Appends events to such a folder; negative counts count as 0."""
+    rows = events.withColumn("count", F.greatest(F.lit(0), F.coalesce(F.col("count"), F.lit(0)))) if "count" in events.columns else events
+    rows.write.mode("append").parquet(folder)

@@ -173,3 +173,25 @@ def test_settings():
     s = S.Settings.parse("network:\n  max_workers: 50 # many\n  window_s: 1\n  stall_s: soon\n  min_pacing_s: 9\n")
     assert (s.max_workers, s.window_s, s.stall_s, s.min_pacing_s, s.max_pacing_s) == (5, 60, 60.0, 9.0, 9.0)
     assert S.check_run(0, 1, 5, 10, 60, 4, 300) == [] and len(S.check_run(3, 2, 50, 10, 15, 9, 10)) == 5
+
+
+def test_queue_decisions(spark):
+    from sedgework.operators.flows import queue_decisions
+
+    row = lambda i, title: f"<tr><td><a href='/main/{i * 32}'>{title}</a></td><td>{'filler ' * 10}</td></tr>"
+    page = "<table>" + row("a", "Heat pumps") + row("b", "Cooking") + row("a", "Heat pumps again") + row("c", "Heat known") + row("d", "Heat judged") + "</table>"
+    df = spark.createDataFrame([(1, "http://h.example/s", page), (2, "http://h.example/s", page), (3, "http://h.example/s", "captcha " + page)], "page long, url string, html string")
+    ids = lambda c: spark.createDataFrame([(f"md5:{c * 32}",)], "document_id string")
+    got = queue_decisions(df, F.lower("title").contains("heat"), ids("d"), ids("c")).orderBy("item").collect()
+    assert [(r.page, r.item, r.decision) for r in got] == [(1, 1, "QUEUE"), (1, 2, "STAGE1_REJECTED"), (1, 3, "STORED")]
+    assert got[0].filename == "page_001_001_Heat_pumps.pdf"
+
+
+def test_parser_and_event_stream(spark, tmp_path):
+    files = spark.createDataFrame([("a", bytearray(b"p1|p2")), ("b", bytearray(b""))], "path string, content binary")
+    got = S.parse_documents(files, lambda c: [{"page": i, "text": t} for i, t in enumerate(bytes(c).decode().split("|")) if t], "page int, text string").collect()
+    assert sorted(map(tuple, got)) == [("a", 0, "p1"), ("a", 1, "p2")]
+    S.emit_events(spark.createDataFrame([("x", -3), ("y", None)], "kind string, count int"), str(tmp_path / "e"))
+    q = S.event_stream(spark, str(tmp_path / "e"), "kind string, count int").writeStream.format("memory").queryName("emitted").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("emitted").collect())) == [("x", 0), ("y", 0)]

@@ -16,7 +16,7 @@ def test_entry(spark):
 
 def test_names():
     q, s = entry.queries(), entry.oracle_sql()
-    assert set(s) <= set(q) and len(q) > 150
+    assert set(s) <= set(q) and len(q) > 170
 
 
 @pytest.mark.parametrize("name", ["o80_evidence_topk"])
