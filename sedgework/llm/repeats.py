@@ -259,6 +259,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+SQL = {
+    "op2_substring_dedup": r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+ win as (select doc_id, unnest(range(0, len(w) - 19)) as s, unnest(list_transform(range(0, len(w) - 19), lambda i: array_to_string(w[i + 1 : i + 20], ' '))) as key from d where len(w) >= 20),
+ late as (select doc_id, s from (select doc_id, s, row_number() over (partition by key order by doc_id, s) as rn from win) where rn > 1),
+ gone as (select distinct doc_id, unnest(range(s, s + 20)) as pos from late),
+ words as (select doc_id, unnest(range(0, len(w))) as pos, unnest(w) as word from d),
+ kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as t from words anti join gone using (doc_id, pos) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
+}
+
+
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
     """The contract over a list of (id, text), for tests."""
     seen, out = {}, {}
