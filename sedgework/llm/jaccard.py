@@ -8,9 +8,10 @@ Two sets of sizes a <= b link when 100 * overlap >= PERCENT * union; then overla
    class; a set joins in at its own class and the one below.  Of the parts of a linked pair at least
    E + 1 hold no difference, so each pair meets in a part.  Parts with less than ``weak`` shingles
    could bring together sets that share next to nothing; a set leaves its weak parts out if it has at
-   most E of them, as then an equal part that isn't weak remains.  Each task unites the nodes that
-   meet and emits a spanning forest, never the pairs.  The components of all forests are the rooms:
-   linked nodes are always in one room.
+   most E of them, as then an equal part that isn't weak remains.  Of the nodes that meet, each task
+   unites those whose group counts (32 coarse ones) leave room for a link by the bound below, and
+   emits a spanning forest, never the pairs.  The components of all forests are the rooms: linked
+   nodes are always in one room.
 3. Search.  Within a room, shingles are hashed into GROUPS groups; the group counts are a point in
    an R-tree.  The overlap of a point with all below a tree node is at most the sum over groups of
    min(point, node's maximum), and for a leaf entry the sum of coordinate minima; where that is too
@@ -161,7 +162,32 @@ def _chunks(batches, limit: int = CHUNK):
         yield rows, texts
 
 
-_HEAD = np.dtype([("node", "<i8"), ("count", "<u4")])
+#: A node of a chunk in a bucket: its name, keys in the bucket, set size, and 32 group counts of four bits.
+_HEAD = np.dtype([("node", "<i8"), ("count", "<u2"), ("size", "<u2"), ("groups", "<u8", 2)])
+_BITS = np.arange(16, dtype=H.U) * H.U(4)
+_FULL = 65535
+
+
+def small_counts(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """32 group counts of each set, those above 14 as 15, four bits each."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(row * 32 + (H.mix(g) >> H.U(59)).astype(np.int64), minlength=32 * len(sizes)).reshape(-1, 2, 16)
+    return (np.minimum(counts, 15).astype(H.U) << _BITS).sum(axis=2, dtype=H.U)
+
+
+def _spread(groups: np.ndarray) -> np.ndarray:
+    """Rows of 32 counts from packed ones; a full count (15 stands for 15 or more) bounds nothing."""
+    counts = ((groups[:, :, None] >> _BITS) & H.U(15)).astype(np.int32).reshape(-1, 32)
+    counts[counts == 15] = 1 << 20
+    return counts
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether the summed coordinate minima leave room for a link; rows of counts against rows of counts."""
+    bound = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+    full = (na == _FULL) | (nb == _FULL)
+    fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (bound * (100 + percent) >= percent * (na + nb))
+    return full | fits
 
 
 def _meet(buckets: int):
@@ -172,6 +198,8 @@ def _meet(buckets: int):
             if len(sizes) and sizes.max() >= classes.first[-1]:
                 classes = Classes(int(sizes.max()) * 2)
             names = node_names(g, sizes)
+            groups = small_counts(g, sizes)
+            full = np.minimum(sizes, _FULL)
             # equal sets of the chunk take part once
             _, once = np.unique(names, return_index=True)
             drop = np.ones(len(names), bool)
@@ -188,9 +216,14 @@ def _meet(buckets: int):
             for k in range(buckets):
                 a, b = edge[k], edge[k + 1]
                 if a < b:
-                    r, count = np.unique(row[a:b], return_counts=True)
+                    at = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
+                    count = np.diff(np.append(at, b - a))
+                    if count.max() > _FULL:  # a longer run becomes several heads
+                        at = np.concatenate([np.arange(x, x + n, _FULL) for x, n in zip(at, count)])
+                        count = np.diff(np.append(at, b - a))
+                    r = row[a:b][at]
                     head = np.zeros(len(r), _HEAD)
-                    head["node"], head["count"] = names[r], count
+                    head["node"], head["count"], head["size"], head["groups"] = names[r], count, full[r], groups[r]
                     out.append((k, head.tobytes(), key[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "nodes", "keys"])
 
@@ -236,17 +269,59 @@ def _unite_bucket(heads: list, keys: list):
     wide[:, :5] = raw
     key = wide.view("<u8").ravel()
     del wide, raw
-    names, number = np.unique(head["node"], return_inverse=True)
+    names, first, number = np.unique(head["node"], return_index=True, return_inverse=True)
+    sizes, points = head["size"][first].astype(np.int64), _spread(head["groups"][first])
     who = np.repeat(number, head["count"].astype(np.int64))
     o = np.argsort(key, kind="stable")
     k, w = key[o], who[o]
-    same = np.flatnonzero((k[1:] == k[:-1]) & (w[1:] != w[:-1]))
-    if not len(same):
-        return
-    pairs = np.unique(np.minimum(w[same], w[same + 1]).astype(np.int64) * len(names) + np.maximum(w[same], w[same + 1]))
-    root = _local_roots(len(names), pairs // len(names), pairs % len(names))
+    # blocks of equal keys that hold different nodes
+    edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(edge, len(k)))
+    two = edge[size == 2]
+    pairs = np.unique(np.stack([np.minimum(w[two], w[two + 1]), np.maximum(w[two], w[two + 1])], axis=1), axis=0) if len(two) else np.empty((0, 2), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs = pairs[may_link(points[pairs[:, 0]], points[pairs[:, 1]], sizes[pairs[:, 0]], sizes[pairs[:, 1]])]
+    root = _local_roots(len(names), pairs[:, 0], pairs[:, 1])
+    for a, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
+        block = np.unique(w[a : a + n])
+        _unite_block(block, root, points, sizes)
+    while not (root == root[root]).all():
+        root = root[root]
     u = np.flatnonzero(root != np.arange(len(names)))
-    yield pa.RecordBatch.from_arrays([pa.array(names[u], pa.int64()), pa.array(names[root[u]], pa.int64())], names=["u", "v"])
+    if len(u):
+        yield pa.RecordBatch.from_arrays([pa.array(names[u], pa.int64()), pa.array(names[root[u]], pa.int64())], names=["u", "v"])
+
+
+def _find(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = int(root[i])
+    return i
+
+
+def _unite_block(block: np.ndarray, root: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> None:
+    """Unites the nodes of a block that may link.  Nodes of one component are not compared again, so a
+    group of copies takes one comparison for each member."""
+    found = np.array([_find(root, int(i)) for i in block])
+    if (found == found[0]).all():
+        return
+    rest = np.arange(len(block))
+    while len(rest) > 1:
+        # all nodes of the first one's component, then what they reach, leave together
+        now, out = rest[found[rest] == found[rest[0]]], rest[found[rest] != found[rest[0]]]
+        queue = list(now)
+        while queue and len(out):
+            i = queue.pop()
+            x = block[i]
+            near = out[may_link(points[block[out]], points[x], sizes[block[out]], sizes[x])]
+            if len(near):
+                joined = np.isin(found[out], found[near])
+                for r in np.unique(found[near]):
+                    a, b = _find(root, int(r)), _find(root, int(found[i]))
+                    root[max(a, b)] = min(a, b)
+                queue += list(out[joined])
+                out = out[~joined]
+        rest = out
 
 
 # -- searching -------------------------------------------------------------------------------
@@ -316,17 +391,15 @@ def unite_sets(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-_SETS = "room long, part int, node long, asks boolean, body binary"
-
-
 def _sets(batches):
+    """Sets of the rows (room, parts, node, text)."""
     for rows, texts in _chunks(batches):
         g, _, sizes = shingle_sets(texts)
         edge = np.append(0, np.cumsum(sizes))
         cols = list(zip(*rows))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_()), pa.array([g[edge[i] : edge[i + 1]].tobytes() for i in range(len(sizes))], pa.binary())],
-            names=["room", "part", "node", "asks", "body"],
+            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array([g[edge[i] : edge[i + 1]].tobytes() for i in range(len(sizes))], pa.binary())],
+            names=["room", "parts", "node", "body"],
         )
 
 
@@ -402,28 +475,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one text for each node
     owner = nodes.groupBy("node").agg(F.min(F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), "tag")).alias("o"))
     places = materialize(rooms.join(owner, "node").select("node", "room", "parts", "o.id", "o.tag"), "jaccard-places")
-    keyed = rows.select(F.coalesce("id", F.lit(_LAST)).alias("id"), "tag", "text")
+    # Their sets, read from the texts once.  The merge hint keeps one way of joining at all sizes.
+    keyed = rows.select(F.coalesce("id", F.lit(_LAST)).alias("id"), "tag", "text").join(places.hint("merge"), ["id", "tag"])
+    sets = materialize(keyed.select("room", "parts", "node", "text").mapInArrow(_sets, "room long, parts int, node long, body binary"), "jaccard-sets")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    go = places.withColumn("to", F.when(F.col("node") == F.col("room"), every).otherwise(F.array(part)))
 
-    def grouped(sets: DataFrame, run, schema: str) -> DataFrame:
-        return sets.mapInArrow(_sets, _SETS).repartition(min(buckets, TASKS), "room", "part").sortWithinPartitions("room", "part").mapInArrow(run, schema)
+    def grouped(members: DataFrame, run) -> DataFrame:
+        """members: (room, part, node, asks, body); those of a part come together in a task."""
+        return members.repartition(min(buckets, TASKS), "room", "part").sortWithinPartitions("room", "part").mapInArrow(run, "u long, v long")
 
-    wide = keyed.join(go, ["id", "tag"]).select("room", F.explode("to").alias("part"), "node", F.lit(False).alias("asks"), "text")
-    found = materialize(grouped(wide, _connect, "u long, v long"), "jaccard-found")
-    # large rooms: what wasn't connected to the pivot asks all parts of its room
-    split = places.filter("parts > 1")
+    def members(rows: DataFrame, parts, asks: bool) -> DataFrame:
+        return rows.select("room", parts.alias("part"), "node", F.lit(asks).alias("asks"), "body")
+
+    to = F.when(F.col("node") == F.col("room"), every).otherwise(F.array(part))
+    found = materialize(grouped(members(sets, F.explode(to), False), _connect), "jaccard-found")
     labels = found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    # large rooms: what wasn't connected to the pivot asks all parts of its room
+    split = places.filter("parts > 1").select("node", "room")
     if split.limit(1).count():
-        lost = split.join(labels, "node").filter("root <> room").select("id", "tag", "room", "node", "parts")
-        lost = materialize(lost, "jaccard-lost")
+        lost = materialize(split.join(labels, "node").filter("root <> room").select("node", "room"), "jaccard-lost")
         if lost.limit(1).count():
-            open_rooms = split.join(lost.select("room").distinct(), "room", "left_semi")
-            own = keyed.join(open_rooms.select("id", "tag", "room", part.alias("part"), "node"), ["id", "tag"]).select("room", "part", "node", F.lit(False).alias("asks"), "text")
-            ask = keyed.join(lost, ["id", "tag"]).select("room", F.explode(every).alias("part"), "node", F.lit(True).alias("asks"), "text")
-            links = grouped(own.unionByName(ask), _ask, "u long, v long")
-            labels = connected_components(found.unionByName(links))
+            wide = sets.filter("parts > 1")
+            own = members(wide.join(lost.select("room").distinct(), "room", "left_semi"), part, False)
+            ask = members(wide.join(lost.select("node"), "node", "left_semi"), F.explode(every), True)
+            labels = connected_components(found.unionByName(grouped(own.unionByName(ask), _ask)))
     labels = labels.groupBy("node").agg(F.min("root").alias("root"))
     # least id of each node, then of each component
     least = nodes.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
