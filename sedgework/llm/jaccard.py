@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import materialize, slices, table
+from .common import WORD_CLASS, materialize, slices, table
 from .components import connected_components
 
 SHINGLE, PERCENT, GROUPS = 4, 85, 64
@@ -462,7 +462,7 @@ def _names(batches):
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
-    """Per row: id, tag (a hash of the text), n_shingles, node and component_id, the least id of the component."""
+    """Per row: id, tag (a hash of the text), n_shingles, root (the component's name) and component_id, its least id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     nodes = materialize(rows.mapInArrow(_names, "id long, tag long, node long, n_shingles long"), "jaccard-nodes")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -504,28 +504,44 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # least id of each node, then of each component
     least = nodes.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = least.join(best, "root").select("node", "component_id")
+    named = least.join(best, "root").select("node", "root", "component_id")
     out = nodes.join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), "tag", "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "tag", "n_shingles", "root", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component (the least id; of equal ids the least text hash); rows without shingles stay."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
-    found = components(rows.select(F.col(id_col), F.col(text_col)), id_col, text_col)
-    first = F.coalesce(F.col(id_col), F.lit(_LAST))
-    chosen = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(first.alias("id"), "tag")).alias("o")).select(F.col("o.id").alias("_id"), F.col("o.tag").alias("_tag"))
-    empty = found.filter("n_shingles = 0").select(first.alias("_id"), F.col("tag").alias("_tag")).distinct().withColumn("_none", F.lit(True))
-    stay = chosen.withColumn("_none", F.lit(False)).unionByName(empty).distinct()
-    keys = rows.select("_row", F.coalesce(F.col(id_col), F.lit(_LAST)).alias("_id"), F.xxhash64(text_col).alias("_tag")).join(stay, ["_id", "_tag"])
-    keep = keys.filter("_none").select("_row").unionByName(keys.filter("not _none").groupBy("_id", "_tag").agg(F.min("_row").alias("_row")).select("_row"))
-    return rows.join(keep, "_row").select(*docs.columns)
+    """``docs`` with one row of each component (the least id; of equal ids the least text hash).
+
+    Rows without words are in no component and stay, repeated ones too.
+    """
+    found = components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
+    first = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    chosen = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(first.alias("id"), "tag")).alias("o")).select(F.col("o.id").alias("_id"), F.col("o.tag").alias("_tag"))
+    worded = F.coalesce(F.col(text_col).rlike(WORD_CLASS), F.lit(False))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    keyed = docs.filter(worded).select(first.alias("_id"), F.xxhash64(text_col).alias("_tag"), row.alias("_row"))
+    # the join has brought equal keys together, so the aggregate needs no shuffle of its own
+    kept = keyed.join(chosen.hint("merge"), ["_id", "_tag"], "left_semi").groupBy("_id", "_tag").agg(F.first("_row").alias("_row")).select("_row.*")
+    return kept.unionByName(docs.filter(~worded))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+SQL = {
+    "op9_ngram_jaccard": r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+ s as (select distinct doc_id, unnest(list_transform(range(0, greatest(1, len(w) - 3)), lambda i: array_to_string(w[i + 1 : i + 4], ' '))) as g from d where len(w) > 0),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as same from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * same >= 85 * (x.n + y.n - same)),
+ e as (select a as u, b as v from l union select b, a from l),
+ r as (select doc_id as u, doc_id as v from d union select r.u, e.v from r join e on e.u = r.v)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, min(v) as component_id from d left join n using (doc_id) join r on r.u = d.doc_id group by d.doc_id, n""",
+}
+
+
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
     """The contract over a list of (id, text), for tests: sizes and least reachable ids."""
     import re
