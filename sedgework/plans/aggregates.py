@@ -80,12 +80,12 @@ def o88(t):
     )
 
 
-@query("o89_metric_totals", "with h as (select max(ts) as m from events), s as (select event_type, sum(value) as now, sum(value) filter (where ts < m - interval 1 day) as before from events, h group by 1) select event_type, now as total, now - coalesce(before, 0) as delta, (now - coalesce(before, 0)) / 1048576.0::double / 86400.0::double as rate from s")
+@query("o89_metric_totals", "with h as (select max(ts) as m from events), s as (select event_type, sum(value) as now, sum(value) filter (where ts < m - interval 1 day) as before from events, h group by 1) select event_type, round(now, 4) as total, round(now - coalesce(before, 0), 4) as delta, round(now - coalesce(before, 0), 4) / 1048576.0::double / 86400.0::double as rate from s")
 def o89(t):
     now = t.events.agg(F.max("ts").alias("m"))
     s = t.events.crossJoin(F.broadcast(now)).groupBy("event_type").agg(F.sum("value").alias("total"), F.sum(F.when(F.col("ts") < F.col("m") - F.expr("interval 1 day"), F.col("value"))).alias("b"))
-    delta = F.col("total") - F.coalesce("b", F.lit(0.0))
-    return s.select("event_type", "total", delta.alias("delta"), F.try_divide(delta / 1048576.0, F.lit(86400.0)).alias("rate"))
+    delta = F.round(F.col("total") - F.coalesce("b", F.lit(0.0)), 4)
+    return s.select("event_type", F.round("total", 4).alias("total"), delta.alias("delta"), F.try_divide(delta / 1048576.0, F.lit(86400.0)).alias("rate"))
 
 
 @query("o91_run_summary", "select (select count(*) from pages) as pages, (select count(*) from documents) as documents, (select count(*) from labels where quality = 1) as approved, (select count(*) from orders where o_orderstatus = 'F') as completed, (select count(*) from events where event_type = 'error') as failed")
@@ -154,9 +154,9 @@ def o188(t):
     return t.orders.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("o190_benchmark_summary", "select min(value) as first_done, max(value) as last_done, sum(value) / (5 * max(value)) * 100 as busy from events where event_type = 'purchase'")
+@query("o190_benchmark_summary", "select min(value) as first_done, max(value) as last_done, round(sum(value) / (5 * max(value)) * 100, 6) as busy from events where event_type = 'purchase'")
 def o190(t):
-    return t.events.filter("event_type = 'purchase'").agg(F.min("value").alias("first_done"), F.max("value").alias("last_done"), (F.sum("value") / (5 * F.max("value")) * 100).alias("busy"))
+    return t.events.filter("event_type = 'purchase'").agg(F.min("value").alias("first_done"), F.max("value").alias("last_done"), F.round(F.sum("value") / (5 * F.max("value")) * 100, 6).alias("busy"))
 
 
 @query("o15_reports_of_query", "select lang, count(*) as reports, count(*) filter (where quality = 1) as approved from documents d join labels l on l.doc_id = d.doc_id where lang = 'en' group by lang")

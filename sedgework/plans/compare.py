@@ -9,7 +9,7 @@ from pathlib import Path
 
 def normal(v):
     if isinstance(v, float):
-        return "nan" if v != v else f"{v:.9g}"
+        return "nan" if v != v else repr(v)
     if isinstance(v, (list, tuple)):
         return str([normal(x) for x in v])
     return str(v)

@@ -106,7 +106,7 @@ def o111(t):
 
 @query(
     "o112_trailing_windows",
-    f"{_FRESH}, n as (select max(epoch_us(ts)) as now, min(epoch_us(ts)) as began from events), w as (select unnest([21600, 86400, 604800]) as s) select s as window_s, cast(coalesce(sum(fresh) filter (where epoch_us(ts) > now - s * 1000000::bigint), 0) as bigint) as bytes, coalesce(sum(fresh) filter (where epoch_us(ts) > now - s * 1000000::bigint), 0) / least(s, (now - began) / 1e6) / 1048576.0::double as mib_per_s, count(*) filter (where event_type = 'purchase' and epoch_us(ts) > now - s * 1000000::bigint) as completions from f, n, w group by s, now, began",
+    f"{_FRESH}, n as (select max(epoch_us(ts)) as now, min(epoch_us(ts)) as began from events), w as (select unnest([21600, 86400, 604800]) as s) select s as window_s, cast(coalesce(sum(fresh) filter (where epoch_us(ts) > now - s * 1000000::bigint), 0) as bigint) as bytes, round(coalesce(sum(fresh) filter (where epoch_us(ts) > now - s * 1000000::bigint), 0) / least(s, (now - began) / 1e6) / 1048576.0::double, 9) as mib_per_s, count(*) filter (where event_type = 'purchase' and epoch_us(ts) > now - s * 1000000::bigint) as completions from f, n, w group by s, now, began",
 )
 def o112(t):
     rows = _fresh(t).select("fresh", "event_type", _us().alias("us"))
@@ -118,13 +118,13 @@ def o112(t):
         *[F.coalesce(F.sum(F.when(in_window(s), F.col("fresh"))), F.lit(0)).alias(f"b{s}") for s in windows],
         *[F.count_if(in_window(s) & (F.col("event_type") == "purchase")).alias(f"c{s}") for s in windows],
     )
-    out = F.explode(F.array(*[F.struct(F.lit(s).alias("window_s"), F.col(f"b{s}").alias("bytes"), (F.col(f"b{s}") / F.least(F.lit(float(s)), (F.col("now") - F.col("began")) / 1e6) / 1048576.0).alias("mib_per_s"), F.col(f"c{s}").alias("completions")) for s in windows]))
+    out = F.explode(F.array(*[F.struct(F.lit(s).alias("window_s"), F.col(f"b{s}").alias("bytes"), F.round(F.col(f"b{s}") / F.least(F.lit(float(s)), (F.col("now") - F.col("began")) / 1e6) / 1048576.0, 9).alias("mib_per_s"), F.col(f"c{s}").alias("completions")) for s in windows]))
     return one.select(out.alias("w")).select("w.*")
 
 
-@query("o113_trend", "select epoch_us(time_bucket(interval 5 minutes, ts)) as start_us, sum(value) as total, count(*) as n from events group by 1")
+@query("o113_trend", "select epoch_us(time_bucket(interval 5 minutes, ts)) as start_us, round(sum(value), 4) as total, count(*) as n from events group by 1")
 def o113(t):
-    w = t.events.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    w = t.events.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
     return w.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "total", "n")
 
 
@@ -143,10 +143,10 @@ def o115(t):
     return last.select("user_id", F.when((F.col("user_id") % 2 == 0) & (F.col("now") - F.col("last") >= 3_600_000_000), "STALL").when(F.col("user_id") % 2 == 0, "RECEIVING_BYTES").otherwise("IDLE").alias("state"))
 
 
-@query("o116_ratios", "select user_id, avg(value) filter (where event_type = 'click') as avg_connection, coalesce(sum(value) filter (where event_type in ('view', 'purchase')) / nullif(sum(value), 0), 0) as useful_ratio from events group by user_id")
+@query("o116_ratios", "select user_id, round(avg(value) filter (where event_type = 'click'), 6) as avg_connection, round(coalesce(sum(value) filter (where event_type in ('view', 'purchase')) / nullif(sum(value), 0), 0), 6) as useful_ratio from events group by user_id")
 def o116(t):
     useful = F.sum(F.when(F.col("event_type").isin("view", "purchase"), F.col("value")))
-    return t.events.groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("avg_connection"), F.coalesce(F.try_divide(useful, F.sum("value")), F.lit(0.0)).alias("useful_ratio"))
+    return t.events.groupBy("user_id").agg(F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6).alias("avg_connection"), F.round(F.coalesce(F.try_divide(useful, F.sum("value")), F.lit(0.0)), 6).alias("useful_ratio"))
 
 
 @query("o117_kept_buckets", "select epoch_us(date_trunc('second', ts)) as bucket_us, count(*) as n from events where epoch_us(date_trunc('second', ts)) >= (select max(epoch_us(ts)) from events) - 86400000000 group by 1")
@@ -156,16 +156,16 @@ def o117(t):
     return rows.groupBy("bucket_us").agg(F.count("*").alias("n"))
 
 
-@query("o118_sampled_gauges", f"{_GAUGE} select epoch_us(time_bucket(interval 1 day, ts)) as day_us, avg(s - least(0, m)) as mean_gauge from m group by 1")
+@query("o118_sampled_gauges", f"{_GAUGE} select epoch_us(time_bucket(interval 1 day, ts)) as day_us, round(avg(s - least(0, m)), 6) as mean_gauge from m group by 1")
 def o118(t):
     g = E.clamped_gauge(t.events, ["user_id"], _ORDER, _delta())
-    w = g.groupBy(F.window("ts", "1 day").alias("w")).agg(F.avg("gauge").alias("mean_gauge"))
+    w = g.groupBy(F.window("ts", "1 day").alias("w")).agg(F.round(F.avg("gauge"), 6).alias("mean_gauge"))
     return w.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("day_us"), "mean_gauge")
 
 
-@query("o178_durations", "select event_type, count(*) as completions, sum(value) as total, avg(value) as mean from events group by 1")
+@query("o178_durations", "select event_type, count(*) as completions, round(sum(value), 4) as total, round(avg(value), 6) as mean from events group by 1")
 def o178(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("completions"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
+    return t.events.groupBy("event_type").agg(F.count("*").alias("completions"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("o90_error_categories", "select k as key, count(user_id) as n from (select unnest(['HTTP_429','HTTP_5XX','TIMEOUT','CONNECTION','STALL','HTML','TRUNCATED','OTHER']) as k, unnest(range(8)) as i) left join events on event_type = 'error' and user_id % 7 = i group by k")
