@@ -212,7 +212,10 @@ def _result(doc, tag, start, n):
 def repeated_places(keyed: DataFrame, groups: int) -> DataFrame:
     """(doc, tag, start, n): windows at start .. start + n - 1 also start earlier.  keyed: (doc, tag, text)."""
     packed = keyed.mapInArrow(_pack(groups), "grp int, body binary, windows binary")
-    return packed.repartition(min(groups, TASKS), "grp").sortWithinPartitions("grp").mapInArrow(_subtrees, "doc long, tag long, start long, n long")
+    tasks = min(groups, TASKS)
+    # dealt by number and not by hash, so that no task gets several groups while others get none
+    dealt = packed.repartitionById(tasks, F.pmod("grp", F.lit(tasks)).cast("int")).sortWithinPartitions("grp")
+    return dealt.mapInArrow(_subtrees, "doc long, tag long, start long, n long")
 
 
 def split_words(text: str) -> list[str]:
