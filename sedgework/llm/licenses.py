@@ -28,14 +28,31 @@ SHINGLE, PERCENT, BANDS, MAX_TEMPLATES = 5, 80, 40, 500
 
 #: Public license notices (fixed values).
 TEMPLATES = {
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-2-clause": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause": "Licensed under the BSD 3-Clause License.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "cc0-1.0-short": "Licensed under CC0 1.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "mit": "Released under the MIT License.",
     "mit-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "mit-short": "Licensed under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 

@@ -45,3 +45,24 @@ def test_cues_cover_matches():
         w = op.words_of(t)
         sh = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
         assert 100 * sum(not cues & set(s) for s in sh) < 80 * len(sh)
+
+
+def test_recall_of_license_lines(spark):
+    """Lines are found by plain words and not by the templates."""
+    said = {"gpl-3.0": "GNU General Public", "mit": "MIT License", "apache-2.0": "Apache License", "cc-by-nc-4.0-short": "CC BY-NC 4.0"}
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist()
+    lined = [(t, [x for x in t.split("\n") if "icense" in x]) for t in texts if t and "icense" in t]
+    got = op.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lined)], "doc_id long, text string")).collect()
+    assert len(lined) > 200
+    for r in got:
+        for line in lined[r.doc_id][1]:
+            (want,) = [name for name, words in said.items() if words in line]
+            assert want in r.licenses, line
+
+
+def test_forms_are_told_apart(spark):
+    names = sorted(op.TEMPLATES)
+    got = op.scan(spark.createDataFrame([(i, op.TEMPLATES[n]) for i, n in enumerate(names)], "doc_id long, text string")).collect()
+    for r in got:
+        # the header begins with the short notice
+        assert list(r.licenses) == (["apache-2.0", names[r.doc_id]] if names[r.doc_id] == "apache-2.0-header" else [names[r.doc_id]])
