@@ -3,8 +3,8 @@
 Words are runs of a-z and 0-9 of the lower-cased text; shingles are five words.  Templates fall into
 length classes; for each class, texts are cut into windows of twice its length that start at every
 half of it.  A template matches a window that holds at least 80 % of its shingles.  Such a window has a
-Jaccard similarity of at least 0.8 / 2.2 = 0.36 to the template, so of BANDS one-row bands at least
-one collides with probability 1 - 0.64 ** BANDS > 1 - 1e-7.
+least Jaccard similarity J to the template that follows from both numbers of shingles (a short template
+fills little of its window), and its class takes so many one-row bands that (1 - J) ** bands <= MISS.
 
 All is one projection over column expressions: no join and no shuffle.  Templates are literals, so
 their number is bounded by MAX_TEMPLATES.  Only windows around a cue word are looked at: cues are
@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-SHINGLE, PERCENT, BANDS, MAX_TEMPLATES = 5, 80, 40, 500
+SHINGLE, PERCENT, MISS, MAX_TEMPLATES = 5, 80, 1e-7, 500
 
 #: Public license notices (fixed values).
 TEMPLATES = {
@@ -66,6 +67,14 @@ def length_class(n_words: int) -> int:
     return max(8, 1 << (n_words - 1).bit_length())
 
 
+def bands_for(words: list[str]) -> int:
+    """So many bands that a matching window of this template's class is missed with probability MISS at most."""
+    n = len({tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})
+    need = -(-PERCENT * n // 100)
+    least = need / (2 * length_class(len(words)) - SHINGLE + 1 + n - need) if n else 1
+    return 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
+
+
 def cue_words(templates: dict[str, str], percent: int = PERCENT) -> list[str]:
     """Words of which every matching window holds one."""
     cues: set[str] = set()
@@ -89,17 +98,22 @@ def _hashes(words: str) -> Column:
     return F.expr(f"if(size({words}) < {SHINGLE}, cast(array() as array<bigint>), array_distinct(transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({parts}))))")
 
 
-def _signature(hashes: str) -> str:
-    return f"transform(sequence(1, {BANDS}), b -> array_min(transform({hashes}, h -> xxhash64(h, b))))"
+def _signature(hashes: str, bands: str) -> str:
+    return f"transform(sequence(1, {bands}), b -> array_min(transform({hashes}, h -> xxhash64(h, b))))"
 
 
 def _template_rows(spark: SparkSession, templates: dict[str, str]) -> list:
-    """Name, class, shingle hashes and signature of each template; at most MAX_TEMPLATES rows."""
+    """Name, class, bands of the class, shingle hashes and signature of each template; at most MAX_TEMPLATES rows."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(length_class(len(words_of(t)))).alias("cls"), F.array(*map(F.lit, words_of(t))).alias("w")) for n, t in sorted(templates.items())])
-    df = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("sh", _hashes("w")).withColumn("sig", F.expr(_signature("sh")))
-    return df.select("name", "cls", "sh", "sig").collect()
+    words = {n: words_of(t) for n, t in sorted(templates.items())}
+    bands: dict[int, int] = {}
+    for w in words.values():
+        c = length_class(len(w))
+        bands[c] = max(bands.get(c, 1), bands_for(w))
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c := length_class(len(w))).alias("cls"), F.lit(bands[c]).alias("bands"), F.array(*map(F.lit, w)).alias("w")) for n, w in words.items()])
+    df = spark.range(1).select(F.explode(rows).alias("t")).select("t.*").withColumn("sh", _hashes("w")).withColumn("sig", F.expr(_signature("sh", "bands")))
+    return df.select("name", "cls", "bands", "sh", "sig").collect()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,14 +131,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     df = df.withColumn("_w", F.expr(f"if(_t rlike '{'|'.join(cues)}', filter(split(_t, '[^a-z0-9]+'), x -> x <> ''), null)")).drop("_t")
     df = df.withColumn("_p", F.expr(f"filter(transform(_w, (x, i) -> if(x in ({in_cues}), i, -1)), i -> i >= 0)"))
     windows = []
-    for c in sorted({r.cls for r in known}):
+    for c, bands in sorted({(r.cls, r.bands) for r in known}):
         width, step = 2 * c, c // 2
         first = f"greatest(0, cast(ceil((p - {width - 1}) / {step}) as int)) * {step}"
-        windows.append(f"transform(array_distinct(flatten(transform(_p, p -> sequence({first}, cast(p div {step} as int) * {step}, {step})))), s -> named_struct('cls', {c}, 'w', slice(_w, s + 1, {width})))")
+        windows.append(f"transform(array_distinct(flatten(transform(_p, p -> sequence({first}, cast(p div {step} as int) * {step}, {step})))), s -> named_struct('cls', {c}, 'bands', {bands}, 'w', slice(_w, s + 1, {width})))")
     df = df.withColumn("_win", F.expr(f"if(size(_p) > 0, concat({', '.join(windows)}), null)")).drop("_w", "_p")
     parts = ", ".join(f"x.w[i + {k}]" for k in range(SHINGLE))
-    df = df.withColumn("_win", F.expr(f"transform(filter(_win, x -> size(x.w) >= {SHINGLE}), x -> named_struct('cls', x.cls, 'sh', array_distinct(transform(sequence(0, size(x.w) - {SHINGLE}), i -> xxhash64({parts})))))"))
-    df = df.withColumn("_win", F.expr(f"transform(_win, x -> named_struct('cls', x.cls, 'sh', x.sh, 'sig', {_signature('x.sh')}))"))
+    df = df.withColumn("_win", F.expr(f"transform(filter(_win, x -> size(x.w) >= {SHINGLE}), x -> named_struct('cls', x.cls, 'bands', x.bands, 'sh', array_distinct(transform(sequence(0, size(x.w) - {SHINGLE}), i -> xxhash64({parts})))))"))
+    df = df.withColumn("_win", F.expr(f"transform(_win, x -> named_struct('cls', x.cls, 'sh', x.sh, 'sig', {_signature('x.sh', 'x.bands')}))"))
     retrieved = "t.cls = x.cls and exists(zip_with(x.sig, t.sig, (a, b) -> a = b), e -> e)"
     verified = f"100 * size(array_intersect(x.sh, t.sh)) >= {PERCENT} * size(t.sh)"
     found = F.expr(f"array_sort(array_distinct(flatten(transform(_win, x -> transform(filter({structs}, t -> {retrieved} and {verified}), t -> t.name)))))")

@@ -66,3 +66,14 @@ def test_forms_are_told_apart(spark):
     for r in got:
         # the header begins with the short notice
         assert list(r.licenses) == (["apache-2.0", names[r.doc_id]] if names[r.doc_id] == "apache-2.0-header" else [names[r.doc_id]])
+
+
+def test_short_templates_are_retrieved_at_every_place(spark):
+    rnd = random.Random(7)
+    texts = []
+    for _ in range(20_000):
+        around = [f"x{rnd.randrange(10**6)}" for _ in range(60)]
+        at = rnd.randrange(len(around) + 1)
+        texts.append(" ".join([*around[:at], "Released under the MIT License.", *around[at:]]))
+    got = op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("licenses != array('mit')")
+    assert got.count() == 0
