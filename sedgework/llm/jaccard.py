@@ -30,6 +30,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -190,13 +191,13 @@ def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perce
     return full | fits
 
 
-def _meet(buckets: int):
+def _meet(buckets: int, shingle: int = SHINGLE, percent: int = PERCENT):
     def run(batches):
-        classes = Classes(1024)
+        classes = Classes(1024, percent)
         for _, texts in _chunks(batches):
-            g, _, sizes = shingle_sets(texts)
+            g, _, sizes = shingle_sets(texts, shingle)
             if len(sizes) and sizes.max() >= classes.first[-1]:
-                classes = Classes(int(sizes.max()) * 2)
+                classes = Classes(int(sizes.max()) * 2, percent)
             names = node_names(g, sizes)
             groups = small_counts(g, sizes)
             full = np.minimum(sizes, _FULL)
@@ -244,22 +245,22 @@ def _local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _unite(batches):
+def _unite(batches, percent: int = PERCENT):
     """The buckets of a task, whose rows are neighbours, one after the other."""
     at, heads, keys = None, [], []
     for b in batches:
         for bucket, head, key in zip(b.column("bucket").to_pylist(), b.column("nodes"), b.column("keys")):
             if bucket != at:
                 if heads:
-                    yield from _unite_bucket(heads, keys)
+                    yield from _unite_bucket(heads, keys, percent)
                 at, heads, keys = bucket, [], []
             heads.append(np.frombuffer(head.as_py(), _HEAD))
             keys.append(key.as_py())
     if heads:
-        yield from _unite_bucket(heads, keys)
+        yield from _unite_bucket(heads, keys, percent)
 
 
-def _unite_bucket(heads: list, keys: list):
+def _unite_bucket(heads: list, keys: list, percent: int = PERCENT):
     """Nodes that share a key in this bucket, as (u, v) with v the least node of their local component."""
     head = np.concatenate(heads)
     raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
@@ -280,11 +281,11 @@ def _unite_bucket(heads: list, keys: list):
     two = edge[size == 2]
     pairs = np.unique(np.stack([np.minimum(w[two], w[two + 1]), np.maximum(w[two], w[two + 1])], axis=1), axis=0) if len(two) else np.empty((0, 2), np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    pairs = pairs[may_link(points[pairs[:, 0]], points[pairs[:, 1]], sizes[pairs[:, 0]], sizes[pairs[:, 1]])]
+    pairs = pairs[may_link(points[pairs[:, 0]], points[pairs[:, 1]], sizes[pairs[:, 0]], sizes[pairs[:, 1]], percent)]
     root = _local_roots(len(names), pairs[:, 0], pairs[:, 1])
     for a, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
         block = np.unique(w[a : a + n])
-        _unite_block(block, root, points, sizes)
+        _unite_block(block, root, points, sizes, percent)
     while not (root == root[root]).all():
         root = root[root]
     u = np.flatnonzero(root != np.arange(len(names)))
@@ -299,7 +300,7 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def _unite_block(block: np.ndarray, root: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> None:
+def _unite_block(block: np.ndarray, root: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> None:
     """Unites the nodes of a block that may link.  Nodes of one component are not compared again, so a
     group of copies takes one comparison for each member."""
     found = np.array([_find(root, int(i)) for i in block])
@@ -313,7 +314,7 @@ def _unite_block(block: np.ndarray, root: np.ndarray, points: np.ndarray, sizes:
         while queue and len(out):
             i = queue.pop()
             x = block[i]
-            near = out[may_link(points[block[out]], points[x], sizes[block[out]], sizes[x])]
+            near = out[may_link(points[block[out]], points[x], sizes[block[out]], sizes[x], percent)]
             if len(near):
                 joined = np.isin(found[out], found[near])
                 for r in np.unique(found[near]):
@@ -367,7 +368,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
-def unite_sets(sets: list[np.ndarray]) -> np.ndarray:
+def unite_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Root (least number) of each set's component under the link relation."""
     n = len(sets)
     root = np.arange(n)
@@ -377,12 +378,12 @@ def unite_sets(sets: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(s) for s in sets])
     tree = RTree(points, sizes)
     for i in range(n):
-        near = tree.search(points[i], int(sizes[i]))
+        near = tree.search(points[i], int(sizes[i]), percent)
         near = np.sort(near[near > i])
         near = near[root[near] != root[i]]
         while len(near):
             j = near[0]
-            if linked(sets[i], sets[j]):
+            if linked(sets[i], sets[j], percent):
                 low, high = min(root[i], root[j]), max(root[i], root[j])
                 root[root == high] = low
                 near = near[root[near] != root[i]]
@@ -391,10 +392,10 @@ def unite_sets(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def _sets(batches):
+def _sets(batches, shingle: int = SHINGLE):
     """Sets of the rows (room, parts, node, text)."""
     for rows, texts in _chunks(batches):
-        g, _, sizes = shingle_sets(texts)
+        g, _, sizes = shingle_sets(texts, shingle)
         edge = np.append(0, np.cumsum(sizes))
         cols = list(zip(*rows))
         yield pa.RecordBatch.from_arrays(
@@ -422,18 +423,18 @@ def _pairs(u, v):
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _connect(batches):
+def _connect(batches, percent: int = PERCENT):
     """(node, root) for every node of a part of a room; the root is the pivot's name where it is reached.
 
     Nodes are in order of name, so that the pivot, the room's least node, is the root of its component.
     """
     for _, nodes in _rooms(batches):
         names = sorted(n for n, _ in nodes)
-        root = unite_sets([np.frombuffer(nodes[n, False], H.U) for n in names])
+        root = unite_sets([np.frombuffer(nodes[n, False], H.U) for n in names], percent)
         yield _pairs(names, [names[r] for r in root])
 
 
-def _ask(batches):
+def _ask(batches, percent: int = PERCENT):
     """Links between the asking nodes and the others of a part."""
     for _, nodes in _rooms(batches):
         own = sorted(n for n, asks in nodes if not asks)
@@ -445,8 +446,8 @@ def _ask(batches):
         for n, asks in nodes:
             if asks:
                 s = np.frombuffer(nodes[n, True], H.U)
-                for j in tree.search(counts_of(s), len(s)):
-                    if own[j] != n and linked(s, sets[j]):
+                for j in tree.search(counts_of(s), len(s), percent):
+                    if own[j] != n and linked(s, sets[j], percent):
                         u.append(n)
                         v.append(own[j])
         if u:
@@ -454,20 +455,20 @@ def _ask(batches):
 
 
 # -- the join --------------------------------------------------------------------------------
-def _names(batches):
+def _names(batches, shingle: int = SHINGLE):
     for rows, texts in _chunks(batches):
-        g, _, sizes = shingle_sets(texts)
+        g, _, sizes = shingle_sets(texts, shingle)
         cols = list(zip(*rows))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(node_names(g, sizes), pa.int64()), pa.array(sizes, pa.int64())], names=["id", "tag", "node", "n_shingles"])
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: id, tag (a hash of the text), n_shingles, root (the component's name) and component_id, its least id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    nodes = materialize(rows.mapInArrow(_names, "id long, tag long, node long, n_shingles long"), "jaccard-nodes")
+    nodes = materialize(rows.mapInArrow(partial(_names, shingle=shingle), "id long, tag long, node long, n_shingles long"), "jaccard-nodes")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET))
-    met = rows.select("text").mapInArrow(_meet(buckets), "bucket int, nodes binary, keys binary").repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_unite, "u long, v long")
+    met = rows.select("text").mapInArrow(_meet(buckets, shingle, percent), "bucket int, nodes binary, keys binary").repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_unite, percent=percent), "u long, v long")
     rooms = connected_components(met)
     rooms = rooms.unionByName(rooms.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "room")
     counts = rooms.groupBy("room").agg(F.count("*").alias("n"))
@@ -477,13 +478,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = materialize(rooms.join(owner, "node").select("node", "room", "parts", "o.id", "o.tag"), "jaccard-places")
     # Their sets, read from the texts once.  The merge hint keeps one way of joining at all sizes.
     keyed = rows.select(F.coalesce("id", F.lit(_LAST)).alias("id"), "tag", "text").join(places.hint("merge"), ["id", "tag"])
-    sets = materialize(keyed.select("room", "parts", "node", "text").mapInArrow(_sets, "room long, parts int, node long, body binary"), "jaccard-sets")
+    sets = materialize(keyed.select("room", "parts", "node", "text").mapInArrow(partial(_sets, shingle=shingle), "room long, parts int, node long, body binary"), "jaccard-sets")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
 
     def grouped(members: DataFrame, run) -> DataFrame:
         """members: (room, part, node, asks, body); those of a part come together in a task."""
-        return members.repartition(min(buckets, TASKS), "room", "part").sortWithinPartitions("room", "part").mapInArrow(run, "u long, v long")
+        return members.repartition(min(buckets, TASKS), "room", "part").sortWithinPartitions("room", "part").mapInArrow(partial(run, percent=percent), "u long, v long")
 
     def members(rows: DataFrame, parts, asks: bool) -> DataFrame:
         return rows.select("room", parts.alias("part"), "node", F.lit(asks).alias("asks"), "body")
@@ -509,12 +510,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "tag", "n_shingles", "root", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component (the least id; of equal ids the least text hash).
 
     Rows without words are in no component and stay, repeated ones too.
     """
-    found = components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
+    found = components(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, shingle=shingle, percent=percent)
     first = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     chosen = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(first.alias("id"), "tag")).alias("o")).select(F.col("o.id").alias("_id"), F.col("o.tag").alias("_tag"))
     worded = F.coalesce(F.col(text_col).rlike(WORD_CLASS), F.lit(False))
@@ -542,7 +543,7 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, min(v) as compone
 }
 
 
-def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def brute_force(docs: list[tuple[int, str | None]], shingle: int = SHINGLE, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """The contract over a list of (id, text), for tests: sizes and least reachable ids."""
     import re
 
@@ -550,7 +551,7 @@ def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]
     for i, t in docs:
         t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        sets[i] = {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
     ids = sorted(sets)
     root = {i: i for i in ids}
 
@@ -569,7 +570,7 @@ def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]
             for y in found[x + 1 :]:
                 overlap[found[x], y] = overlap.get((found[x], y), 0) + 1
     for (i, j), same in overlap.items():
-        if 100 * same >= PERCENT * (len(sets[i]) + len(sets[j]) - same):
+        if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}

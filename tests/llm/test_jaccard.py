@@ -122,3 +122,25 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100: -5, 200: -5, 150: -5}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def replaced_passages(words=200):
+    """Pairs whose copies differ in one passage; the longer passages link by five words and 80 % only."""
+    docs = []
+    for i in range(24):
+        w = [f"r{i}x{k}" for k in range(words)]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:50], *[f"s{i}x{k}" for k in range(i)], *w[50 + i :]]))]
+    return docs
+
+
+@pytest.mark.parametrize("shingle, percent", [(5, 80), (3, 70)])
+def test_other_shingles_and_thresholds(spark, shingle, percent):
+    docs = replaced_passages()
+    docs += [(100 + i, t) for i, t in odd(2)]
+    want = op.brute_force(docs, shingle, percent)
+    assert want != op.brute_force(docs)
+    for room in (op.ROOM, 6):
+        assert sorted(run(spark, docs, room=room, shingle=shingle, percent=percent)) == sorted((i, *v) for i, v in want.items())
+    kept = op.representatives(spark.createDataFrame(docs, "doc_id long, text string"), shingle=shingle, percent=percent).filter("text is not null").collect()
+    texts = dict(docs)
+    assert {r.doc_id for r in kept} == {c for _, c in want.values() if texts[c] is not None}
