@@ -11,7 +11,8 @@ Groups go to as many tasks as memory asks for.
 A task sorts its suffixes by (prefix, word hash of depth WINDOW), which lists the subtrees' leaves in
 order; each run of equal entries is a deep internal node.  Of its leaves the earliest (smallest
 document, then place) stays, all others are repeats; chains of repeats are the maximal ones.  Labels
-are kept as hashes: 64 bits of the prefix and 40 more of the window.
+are kept as hashes: 64 bits of the prefix and 64 of the window.  Windows around one frequent gram share
+their prefix, so only the bits of the window tell those apart: 2**-64 for each pair.
 
 Hot passages are combined on the map side: of equal windows in one chunk of texts only the
 earliest is sent, so a passage of a third of all documents is a row for each chunk.
@@ -122,16 +123,15 @@ def _pack(groups: int):
             rec = np.zeros(len(head), _DTYPE)
             rec["prefix"], rec["doc"], rec["tag"], rec["start"] = prefix[head], ids[row[head]], tags[row[head]], start[head]
             rec["count"] = np.diff(np.append(head, len(live)))
-            five = window.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             grp = (rec["prefix"] >> H.U(20)) % H.U(groups)
             order = np.argsort(grp, kind="stable")
             rec = rec[order]
             count = rec["count"].astype(np.int64)
             # windows in the order of their records
             src = np.repeat(head[order] - (np.cumsum(count) - count), count) + np.arange(len(live))
-            five = five[src]
+            full = window.astype("<u8")[src]
             edge, at = np.searchsorted(grp[order], np.arange(groups + 1, dtype=H.U)), np.append(0, np.cumsum(count))
-            rows += [(g, rec[edge[g] : edge[g + 1]].tobytes(), five[at[edge[g]] : at[edge[g + 1]]].tobytes()) for g in range(groups) if edge[g] < edge[g + 1]]
+            rows += [(g, rec[edge[g] : edge[g + 1]].tobytes(), full[at[edge[g]] : at[edge[g + 1]]].tobytes()) for g in range(groups) if edge[g] < edge[g + 1]]
         yield out(rows)
 
     def run(batches):
@@ -154,29 +154,29 @@ def _pack(groups: int):
 
 def _subtrees(batches):
     """The groups of a task, whose rows are neighbours, one after the other."""
-    at, recs, fives = None, [], []
+    at, recs, labels = None, [], []
     for b in batches:
         for grp, body, windows in zip(b.column("grp").to_pylist(), b.column("body"), b.column("windows")):
             if grp != at:
                 if recs:
-                    yield from _subtree(recs, fives)
-                at, recs, fives = grp, [], []
+                    yield from _subtree(recs, labels)
+                at, recs, labels = grp, [], []
             rec = np.frombuffer(body.as_py(), _DTYPE)
             if windows.is_valid:
                 recs.append(rec)
-                fives.append(windows.as_py())
+                labels.append(windows.as_py())
             else:
                 yield _result(rec["doc"], rec["tag"].astype(np.int64), rec["start"].astype(np.int64), rec["prefix"].astype(np.int64))
     if recs:
-        yield from _subtree(recs, fives)
+        yield from _subtree(recs, labels)
 
 
-def _subtree(recs: list, fives: list):
+def _subtree(recs: list, labels: list):
     """Sorted leaves, equal neighbours, repeats as (doc, tag, start, n)."""
     rec = np.concatenate(recs)
-    raw = np.frombuffer(b"".join(fives), np.uint8).reshape(-1, 5)
+    window = np.frombuffer(b"".join(labels), "<u8")
     recs.clear()
-    fives.clear()
+    labels.clear()
     # leaves of prefixes with one record can't meet another
     o = np.argsort(rec["prefix"], kind="stable")
     p = rec["prefix"][o]
@@ -185,14 +185,10 @@ def _subtree(recs: list, fives: list):
     shared[o] = np.append(False, eq) | np.append(eq, False)
     count = rec["count"].astype(np.int64)
     take = np.repeat(shared, count)
-    rec, raw = rec[shared], raw[take]
+    rec, window = rec[shared], window[take]
     count = rec["count"].astype(np.int64)
     if not len(rec):
         return
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    window = wide.view("<u8").ravel()
-    del wide, raw
     prefix = np.repeat(rec["prefix"], count)
     doc = np.repeat(rec["doc"], count)
     start = np.repeat(rec["start"].astype(np.int64) - (np.cumsum(count) - count), count) + np.arange(len(prefix))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -61,3 +62,21 @@ def test_word_hashes_do_not_depend_on_the_batch():
     x = np.array([5, 3, 3, 9, 1, 7, 1], np.uint64)
     least, at = H.window_min(x, 3)
     assert least.tolist() == [3, 3, 1, 1, 1] and at.tolist() == [1, 1, 4, 4, 4]
+
+
+def test_windows_that_share_a_prefix_and_40_bits_stay_apart(monkeypatch):
+    """All windows hold the same least gram, and their hashes differ above 40 bits only."""
+    texts = [" ".join([*[f"a{i}x{k}" for k in range(8)], "p", "q", "r", "s", *[f"b{i}x{k}" for k in range(8)]]) for i in range(4)]
+    suffixes = op._suffixes
+
+    def alike(*args):
+        prefix, window, row, start, offset = suffixes(*args)
+        return np.zeros_like(prefix), (window & H.U(0xFFFFFF0000000000)) | H.U(7), row, start, offset
+
+    monkeypatch.setattr(op, "_suffixes", alike)
+    run = op._pack(1)
+    sent = [b for i, t in enumerate(texts) for b in run([pa.record_batch([pa.array([i]), pa.array([i]), pa.array([t])], names=["doc", "tag", "text"])])]
+    assert len(sent) == 4
+    assert list(op._subtrees(sent)) == []
+    again = list(op._subtrees([*sent, *run([pa.record_batch([pa.array([9]), pa.array([9]), pa.array([texts[2]])], names=["doc", "tag", "text"])])]))
+    assert [b.to_pylist() for b in again] == [[{"doc": 9, "tag": 9, "start": 0, "n": 1}]]
