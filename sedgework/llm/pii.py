@@ -1,14 +1,16 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these are the seeds.  An
-occurrence of an identifier-like token gives an edge between its lexical pattern (the two words
-before it) and the instance (the token).  Over the graph of patterns and instances Spark then scores in turn
+occurrence of an identifier-like token, or of a run of neighbouring number tokens ('(555) 123-4567'),
+gives an edge between its lexical pattern (the two words before it) and the instance.  Over the graph of patterns and instances Spark then scores in turn
 
     pattern:  conf(p, kind) = sum of its instances' scores for kind / (number of its instances + SMOOTH)
     instance: score(i, kind) = 1 for a seed, else 1 - product over its patterns of (1 - conf(p, kind))
 
 for ROUNDS rounds.  Patterns with enough distinct seeds and confidence at least MIN_CONF mark the
 unseen identifiers in their contexts; base spans always stay, and added ones never overlap them.
+The tokens of a run are no instances of the graph, but where the run as a whole isn't of the trusted
+kind (IP and e-mail addresses hold no blanks; too many digits), they are marked by their own patterns.
 
 Only identifier-like tokens (with a digit or an at sign) enter the graph, so its size follows the
 identifiers in the corpus and not the text.  Everything is joined on a row key written once.
@@ -36,9 +38,14 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: A token of a run, and what may stand between two of them.
+_NUMBER = re.compile(r"\+?[0-9](?:[().-]*[0-9])*")
+_GAP = re.compile(r"\)?\x20+(?:-\x20+)?\(?")
 _EDGE = "\"'`.,;:!?()[]{}<>#$%&*|="
 
 ROUNDS, SMOOTH, MIN_CONF, MIN_SEEDS = 3, 1.0, 0.8, 3
+#: Most digits of a run of tokens, by kind as in the base patterns; the other kinds hold no blanks.
+RUN_DIGITS = {"card": 19, "phone": 15}
 
 
 def luhn(digits: str) -> bool:
@@ -88,11 +95,22 @@ def shape(kind: str, value: str) -> bool:
     return {"ip": digits >= 4, "card": digits >= 10, "phone": digits >= 6}[kind]
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Identifier-like tokens and base spans, with the words before them.  kind is that of a base span."""
-    found = [(a, b, k) for k, a, b in base]
-    taken = sorted((a, b) for a, b, _ in found)
-    at = 0
+def words_before(text: str, a: int) -> list[str]:
+    """The two words before a place, however long they and what is between them are."""
+    size = 80
+    while True:
+        at = max(0, a - size)
+        pieces = re.split(r"[\x20\x09-\x0D]+", text[at:a].lower())
+        # the first piece may lack its beginning
+        words = [w.strip(_EDGE) for w in (pieces[1:] if at else pieces) if w.strip(_EDGE)]
+        if len(words) >= 2 or not at:
+            return words[-2:]
+        size *= 4
+
+
+def tokens(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like tokens without the marks around them; none overlaps the sorted spans in ``taken``."""
+    out, at = [], 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         while a < b and text[a] in _EDGE:
@@ -103,22 +121,52 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             at += 1
         # spans of different kinds may nest, so the few that follow are looked at as well
         if a < b and not any(x < b and a < y for x, y in taken[max(0, at - 4) : at + 4]):
-            found.append((a, b, None))
+            out.append((a, b))
+    return out
+
+
+def runs(text: str, found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The tokens in maximal runs of number tokens; runs with more digits than any kind has are left as tokens."""
+    out: list[list[tuple[int, int]]] = []
+    for a, b in found:
+        number = _NUMBER.fullmatch(text, a, b)
+        if number and out and out[-1][-1][2] and text[a] != "+" and _GAP.fullmatch(text, out[-1][-1][1], a):
+            out[-1].append((a, b, True))
+        else:
+            out.append([(a, b, bool(number))])
+    whole = []
+    for run in out:
+        spans = [(a, b) for a, b, _ in run]
+        digits = sum(text[i] in "0123456789" for i in range(spans[0][0], spans[-1][1])) if len(run) > 1 else 0
+        whole += [spans] if digits <= max(RUN_DIGITS.values()) else [[x] for x in spans]
+    return whole
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
+    """Identifier-like tokens, runs of them and base spans, with the words before them.  kind is that of a base span;
+    part is 0 for a single token, 1 for a run and 2 for a token of a run; unit names the run."""
+    found = [(a, b, k, 0, a) for k, a, b in base]
+    for run in runs(text, tokens(text, sorted((a, b) for _, a, b in base))):
+        a, b = run[0][0], run[-1][1]
+        if len(run) == 1:
+            found.append((a, b, None, 0, a))
+        else:
+            opened = a and text[a - 1] == "(" and ")" in text[a:b]
+            found.append((a - 1 if opened else a, b, None, 1, a))
+            found += [(x, y, None, 2, a) for x, y in run]
     out = []
-    for a, b, k in found:
-        before = re.split(r"[\x20\x09-\x0D]+", text[max(0, a - 80) : a].lower())
-        words = [w.strip(_EDGE) for w in before if w.strip(_EDGE)]
-        words = ["0" if re.search("[0-9@]", w) else w for w in words[-2:]]
-        out.append({"start": a, "end": b, "kind": k, "pattern": " ".join(words), "value": text[a:b].lower()})
+    for a, b, k, part, unit in found:
+        words = ["0" if re.search("[0-9@]", w) else w for w in words_before(text, a)]
+        out.append({"start": a, "end": b, "kind": k, "pattern": " ".join(words), "value": text[a:b].lower(), "part": part, "unit": unit})
     return out
 
 
-_CAND = "array<struct<start:int,end:int,kind:string,pattern:string,value:string>>"
+_CAND = "array<struct<start:int,end:int,kind:string,pattern:string,value:string,part:int,unit:int>>"
 
 
 def _extract(batches):
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("pattern", pa.string()), ("value", pa.string())]))
+    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("pattern", pa.string()), ("value", pa.string()), ("part", pa.int32()), ("unit", pa.int32())]))
     for b in batches:
         base, more = [], []
         for t in b.column(1):
@@ -153,13 +201,17 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_extract, f"_id {kind}, base array<struct<kind:string,start:int,end:int>>, found {_CAND}")
     base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "pii-base")
     cand = base.select("_row", F.explode("found").alias("c")).select("_row", "c.*")
-    best = trusted_patterns(cand.select("pattern", "value", "kind"))
+    best = trusted_patterns(cand.filter("part < 2").select("pattern", "value", "kind"))
     fits = F.lit(False)
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
     for k, rule in (("email", F.col("value").rlike(r"^.+@.+$")), ("ip", digits >= 4), ("card", digits >= 10), ("phone", digits >= 6)):
+        most = RUN_DIGITS.get(k)
+        rule = F.when(F.col("part") == 1, rule & (digits <= most) if most else F.lit(False)).otherwise(rule)
         fits = F.when(F.col("kind") == k, rule).otherwise(fits)
     new = cand.filter(F.col("kind").isNull()).drop("kind").join(best, "pattern").filter(fits)
-    new = new.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    # a run that is marked takes the place of its tokens
+    new = new.groupBy("_row", "unit").agg(F.collect_list(F.struct("kind", "start", "end")).alias("all"), F.max_by(F.struct("kind", "start", "end"), F.col("part") == 1).alias("run"), F.max(F.col("part") == 1).alias("whole"))
+    new = new.groupBy("_row").agg(F.flatten(F.collect_list(F.when(F.col("whole"), F.array("run")).otherwise(F.col("all")))).alias("added"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("x.kind"))
     out = base.select("_row", "_id", "base").join(new, "_row", "left")
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")

@@ -53,3 +53,26 @@ def test_odd_texts(spark):
     got = rows_of(op.extract(df))
     for i, t in enumerate(ODD):
         assert [tuple(s) for s in got[i].base] == op.base_spans(t or "")
+
+
+def added_by_context(spark, seed, unseen):
+    texts = [seed.format(i) for i in range(12)] + unseen
+    got = rows_of(op.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    return [[(s.kind, texts[i][s.start : s.end]) for s in got[i].added] for i in range(12, len(texts))]
+
+
+def test_unseen_identifiers_with_blanks(spark):
+    long = "x" * 200
+    got = added_by_context(
+        spark,
+        f"Please call {long} hotline +1 (555) 010-00{{:02d}} today",
+        [f"call {long} hotline {x}" for x in ("(555) 123-4567 today", "555 123 4567, 12 dollars", "555-0199-77. 12 people", "555 - 123 - 4567 or", "12 at", "555-0199-77 4111222233334444 x")] + [f"call {'y' * 200} hotline (555) 123-4567"],
+    )
+    assert got == [[("phone", "(555) 123-4567")], [("phone", "555 123 4567")], [("phone", "555-0199-77")], [("phone", "555 - 123 - 4567")], [], [("phone", "555-0199-77")], []]
+    cards = [x for x in (f"4111 1111 {i:04d} {k:04d}" for i in range(12) for k in range(10)) if op.luhn(x.replace(" ", ""))][:12]
+    texts = [f"my card number {c} ok" for c in cards] + ["my card number 4111 1111 1111 1112 ok"]
+    got = rows_of(op.extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert len(cards) == 12 and [(s.kind, texts[12][s.start : s.end]) for s in got[12].added] == [("card", "4111 1111 1111 1112")]
+    # addresses hold no blanks: of a run its tokens are marked
+    got = added_by_context(spark, "from host 10.0.0.{}", ["from host 300.1.2.3 17 times", "from host 300.1.2 or"])
+    assert got == [[("ip", "300.1.2.3")], [("ip", "300.1.2")]]
