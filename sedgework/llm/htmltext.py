@@ -8,7 +8,8 @@ theirs, so repetition never removes it.
 
 Pages without such an element are decided by their host.  Their blocks form a token stream; each
 suffix of it goes, by the hash of its first token, to a group of its host; a group sorts its suffixes
-and takes those that agree with a neighbour in RUN tokens and stem from pages of different streams.
+and takes those that agree in RUN tokens and stem from pages of at least STREAMS different streams, as
+two pages alone may be near copies, whose common text is their own.
 Tokens that such runs cover are boilerplate (of a block that is not covered whole, only stretches of
 RUN tokens or more); the runs between them are kept.  A host has as many
 groups as its number of pages asks for, so no task sorts more than a share of a large host.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-RUN, GROUP_PAGES = 8, 5000
+RUN, STREAMS, GROUP_PAGES = 8, 3, 5000
 
 # Names of elements, classes and roles (fixed values).
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "title", "xmp", "noembed", "noframes"}
@@ -194,7 +195,7 @@ def _suffixes(batches):
 
 
 def _repeated(rows: list[tuple]):
-    """(row, place) of suffixes that agree in RUN tokens with one of another stream."""
+    """(row, place) of suffixes that agree in RUN tokens with those of STREAMS streams, their own among them."""
     places = [np.frombuffer(r[2], "<i4") for r in rows]
     size = [len(p) for p in places]
     heads = np.frombuffer(b"".join(r[3] for r in rows), "<u8").reshape(-1, RUN)
@@ -204,8 +205,10 @@ def _repeated(rows: list[tuple]):
     same = np.append(False, (s[1:] == s[:-1]).all(axis=1))  # the common prefix with the one before has RUN tokens
     cls = np.cumsum(~same) - 1
     first = np.flatnonzero(~same)
-    st = stream[order]
-    several = np.minimum.reduceat(st, first) != np.maximum.reduceat(st, first)
+    # (class, stream) pairs, each once
+    st = np.unique(stream, return_inverse=True)[1][order]
+    pair = np.unique(cls * (st.max() + 1) + st)
+    several = np.bincount(pair // (st.max() + 1), minlength=len(first)) >= STREAMS
     hit = order[several[cls]]
     return row[hit], place[hit]
 

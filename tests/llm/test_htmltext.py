@@ -58,3 +58,13 @@ def test_host_suffix_array(spark):
         assert got[22] == got[23] == "" and got[30] == got[31] and got[30].startswith("the same")
         assert len(got) == len(rows)
     assert op.extract(df.limit(0)).count() == 0
+
+
+def test_near_copies_keep_their_text(spark):
+    menu = "<div>Home About Products Contact and the latest news from our great town</div>"
+    story = " ".join(f"word{k}" for k in range(60))
+    pages = [story, story.replace("word30", "changed"), *(" ".join(f"p{i}x{k}" for k in range(60)) for i in range(3))]
+    rows = [(i, f"http://h.example/{i}", f"<body>{menu}<p>{t}</p></body>") for i, t in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for groups in (5000, 2):
+        assert {r.page_id: r.text for r in op.extract(df, group_pages=groups).collect()} == dict(enumerate(pages))
