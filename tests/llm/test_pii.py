@@ -66,7 +66,7 @@ def test_unseen_identifiers_with_blanks(spark):
     got = added_by_context(
         spark,
         f"Please call {long} hotline +1 (555) 010-00{{:02d}} today",
-        [f"call {long} hotline {x}" for x in ("(555) 123-4567 today", "555 123 4567, 12 dollars", "555-0199-77. 12 people", "555 - 123 - 4567 or", "12 at", "555-0199-77 4111222233334444 x")] + [f"call {'y' * 200} hotline (555) 123-4567"],
+        [f"call {long} hotline {x}" for x in ("(555) 123-4567 today", "555 123 4567, 12 dollars", "555-0199-77. 12 people", "555 - 123 - 4567 or", "12 at", "555-0199-77 4111222233334444 x")] + [f"call y{long} hotline 555-0199-77"],
     )
     assert got == [[("phone", "(555) 123-4567")], [("phone", "555 123 4567")], [("phone", "555-0199-77")], [("phone", "555 - 123 - 4567")], [], [("phone", "555-0199-77")], []]
     cards = [x for x in (f"4111 1111 {i:04d} {k:04d}" for i in range(12) for k in range(10)) if op.luhn(x.replace(" ", ""))][:12]
