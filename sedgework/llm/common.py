@@ -27,9 +27,13 @@ def _own_folder() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor and the driver can read.
 
-    Only where the session does not set that folder (tests, local mode) a temporary one is taken.
+    Only in local mode (tests), where the session does not set that folder, a temporary one is taken; on a
+    cluster its absence is an error, as executors could not read a folder of the driver.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base and not (conf.get("spark.master") or "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = base or _own_folder()
     return f"{base.rstrip('/')}/sedgework/{name}-{uuid.uuid4().hex}"
 
@@ -42,6 +46,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -1,37 +1,45 @@
 """Mixing sources to target weights by entropy balancing.
 
-Base rates are one copy of each document.  Among all rates r, the mix is the one of least relative
-entropy  sum size * (r log r - r + 1)  that meets the token constraint of each source; its dual is
-
-    D(lambda) = sum over documents of size * exp(lambda[source]) - sum over sources of target * lambda
-
-and the rate of a document is the exponential tilt exp(lambda[source]).  Newton's step for a source is
-(target - m) / m with m the tilted tokens of its documents, an aggregate over the sources' token
-statistics that Spark computes in each iteration; the step is damped where it would overshoot.
-
-Rates are then rounded into whole copies.  How many documents of a (source, size) get a copy more
-comes from systematic rounding over sizes, and is then repaired with sizes that fit what a source
-lacks.  Which documents do is decided by their rank in hash order, from counts of (source, size, salt)
-and a rank within them; the number of salts follows the count of a (source, size), so no task ranks
-more than about SALT_ROWS documents.  A source has at most sqrt(2 x its words) sizes.
+Base rates are one copy of each document.  Among all rates r of documents, the mix is the one of least
+relative entropy  sum (r log r - r + 1)  that meets the token constraint  sum size * r = target  of each
+source with r <= CAP.  The dual has one variable for each source, and the rate of a document is the tilt
+
+    r(document) = min(CAP, exp(lambda[source] * size / mean size of the source)).
+
+So a source that is cut keeps its short documents rather than its long ones, and one that is repeated
+repeats the long ones first.  Each Newton step is a Spark aggregate over the documents, grouped by
+(source, size) as such documents have equal tilts: the tilted tokens m and their slope h of each source
+(combined before the shuffle, so a hot source is no hot task), then lambda + (target - m) / h.  A step that
+leaves the interval in which the solution is known to lie is replaced by its middle; for a start, the
+interval follows from the source's least size.  Iterations end when all sources are within TOLERANCE
+of their target; if that takes more than NEWTON_STEPS, an error is raised.
+
+Rates are then rounded into whole copies.  How many documents of a (source, size) get a copy more comes
+from systematic rounding of the running sum of the parts below one, in order of size, which keeps a source
+within its largest size of the target; REPAIRS rounds then add or take back the largest size that fits what
+is still missing.  These windows see the distinct sizes of a source, at most sqrt(2 x its words) rows.  Which
+documents get the copy is decided by their rank in hash order, from a rank within (source, size, salt)
+and counts of these groups; salts are ranges of the hash, as many as keep SALT_ROWS documents in a group
+even if all have one size, and documents are dealt by them from the start.
 
 Cases: null text has size 0; a null source is a source of its own, the last; empty tables give an
 empty result; documents of size 0 take nothing; repeated rows are documents of their own; rows
-without an id stay; extra columns are ignored; a source with no words has target 0.
+without an id stay; extra columns are ignored, whatever their names; a source with no words has target 0;
+a source whose target is CAP times its size repeats every document CAP times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, table
+from .common import fresh, materialize, n_words, table
 
-WEIGHTS, CAP, NEWTON_STEPS, TOLERANCE, SALT_ROWS, REPAIRS = (1, 2, 3), 3, 60, 1e-12, 20_000, 4
+WEIGHTS, CAP, NEWTON_STEPS, TOLERANCE, SALT_ROWS, REPAIRS = (1, 2, 3), 3, 100, 1e-7, 1000, 4
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Adds ``target`` to rows (source, source_size).
+    """Adds ``target`` to rows that hold source and source_size.
 
     Sources are filled in order of cap / weight: those that the water level passes stop at their cap,
     the others share what is left by weight.  One row for each source goes through one task.
@@ -47,83 +55,104 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     rows = rows.withColumn("stops", cap * F.col("source_size") * F.col("sharing") <= F.col("left") * F.col("weight"))
     rows = rows.withColumn("level", F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), F.col("left").alias("left"), F.col("sharing").alias("sharing")))).over(Window.partitionBy()))
     share = F.col("weight") * F.col("level.left") / F.col("level.sharing")
-    return rows.withColumn("target", F.when(F.col("stops"), (cap * F.col("source_size")).cast("double")).otherwise(share)).select("source", "source_size", "target")
-
-
-def tilts(sources: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
-    """Adds ``rate`` = exp(lambda) to rows (source, source_size, target) by Newton's iteration on the dual."""
-    state = materialize(sources.withColumn("lam", F.lit(0.0)), "mix-dual")
-    open_ = (F.col("source_size") > 0) & (F.col("target") > 0)
-    for i in range(steps):
-        mass = F.col("source_size") * F.exp("lam")
-        # a step of more than 1 is cut: the dual is convex and exp() grows faster than its model
-        step = F.when(open_, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("target") - mass) / mass))).otherwise(0.0)
-        state = state.withColumn("lam", F.col("lam") + step)
-        if i % 10 == 9:
-            state = materialize(state, "mix-dual")
-            worst = state.agg(F.max(F.abs(F.col("source_size") * F.exp("lam") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))).first()[0]
-            if worst is None or worst <= TOLERANCE:
-                break
-    return state.withColumn("rate", F.when(open_, F.exp("lam")).otherwise(0.0)).drop("lam")
+    rows = rows.withColumn("target", F.when(F.col("stops"), (cap * F.col("source_size")).cast("double")).otherwise(share))
+    return rows.select(*sources.columns, "target")
+
+
+def _rate(cap: int, lam: str = "lam") -> Column:
+    """Tilt of a document; ``fixed`` holds the rate where the constraint leaves no choice."""
+    return F.coalesce(F.col("fixed"), F.least(F.lit(float(cap)), F.exp(F.col(lam) * F.col("size") / F.col("mean"))))
+
+
+def tilts(cells: DataFrame, sources: DataFrame, cap: int = CAP, steps: int = NEWTON_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Newton on the dual: (key, source_size, target, mean, fixed, lam) for each source.
+
+    cells: (key, size, n); sources: (key, source_size, target, docs, least), docs and least over sizes above 0.
+    """
+    all_equal = F.col("target") >= cap * F.col("source_size")
+    fixed = F.when(F.coalesce(F.col("source_size"), F.lit(0)) == 0, 0.0).when(all_equal, float(cap))
+    edge = lambda x: F.log(x) / (F.col("least") / F.col("mean"))  # noqa: E731  the shortest documents' tilt is x there
+    state = sources.withColumn("mean", F.col("source_size") / F.col("docs")).withColumn("fixed", fixed)
+    state = state.withColumn("lo", F.least(F.lit(0.0), edge(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))))).withColumn("hi", F.greatest(F.lit(0.0), F.when(F.col("target") > F.col("source_size"), edge(F.lit(float(cap))))))
+    state = materialize(state.withColumn("lam", F.lit(0.0)).drop("docs", "least"), "mix-dual")
+    for _ in range(steps):
+        tilt, rate = F.exp(F.col("lam") * F.col("size") / F.col("mean")), _rate(cap)
+        tokens = F.col("n") * F.col("size")
+        open_ = state.filter("fixed is null and not coalesce(done, false)") if "done" in state.columns else state.filter("fixed is null")
+        moments = cells.join(open_.select("key", "mean", "fixed", "lam"), "key").groupBy("key").agg(F.sum(tokens * rate).alias("m"), F.sum(F.when(tilt < cap, tokens * F.col("size") / F.col("mean") * tilt)).alias("h"))
+        new = state.join(moments, "key", "left")
+        short = F.col("target") - F.col("m")
+        lo, hi = F.when(short > 0, F.col("lam")).otherwise(F.col("lo")), F.when(short < 0, F.col("lam")).otherwise(F.col("hi"))
+        step = F.col("lam") + short / F.nullif(F.col("h"), F.lit(0.0))
+        to = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
+        # a source whose interval is down to the last bits can't come nearer
+        done = F.col("m").isNull() | (F.abs(short) <= tolerance * F.col("target")) | (hi - lo <= 1e-14 * F.greatest(F.abs(lo), F.abs(hi)))
+        old = [F.col(c) for c in ("key", "source_size", "target", "mean", "fixed")]
+        state = materialize(new.select(*old, F.when(F.col("m").isNull(), F.col("lo")).otherwise(lo).alias("lo"), F.when(F.col("m").isNull(), F.col("hi")).otherwise(hi).alias("hi"), F.when(done, F.col("lam")).otherwise(to).alias("lam"), done.alias("done")), "mix-dual")
+        if not state.filter("not done").limit(1).count():
+            return state.drop("lo", "hi", "done")
+    raise RuntimeError(f"the token constraints aren't met after {steps} Newton steps")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, order_col: str | None = None) -> DataFrame:
     """Rows (id, size, source, source_size, target, copies).  ``order_col`` (the id) decides between equal sizes."""
-    order = F.md5(F.coalesce(F.col(order_col or id_col).cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select(F.col(id_col).alias("_id"), n_words(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), order.alias("_h"))
+    order = F.conv(F.substring(F.md5(F.coalesce(F.col(order_col or id_col).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+    named = F.col(source_col).cast("string")
+    # the key is the source without nulls, so that it can be joined and dealt by as it is
+    sized = docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"), F.coalesce(F.concat(F.lit("="), named), F.lit("")).alias("key"), order.alias("h"))
     sized = materialize(sized, "mix-sizes")
-    cells = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
-    sums = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rates = materialize(tilts(targets(sums, weights, cap)), "mix-rates")
-
-    # Hash ranges as salts, so that the order by (salt, hash) is the order by hash.
-    cells = _extras(cells, rates, cap).withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("long"))
-    cells = materialize(cells, "mix-cells")
-    same = [F.col("d.source").eqNullSafe(F.col("c.source")), F.col("d.size") == F.col("c.size")]
-    top = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
-    placed = sized.alias("d").join(cells.alias("c"), same).select("d.*", "c.source_size", "c.target", "c.whole", "c.extra", F.floor(top * F.col("c.salts") / F.lit(2**32)).cast("long").alias("salt"))
-    groups = placed.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
-    per_salt = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    salts = groups.select("source", "size", "salt", F.coalesce(F.sum("n").over(per_salt), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "size", "salt").orderBy("_h", F.col("_id").asc_nulls_first())
-    ranked = placed.withColumn("rank", F.row_number().over(inside))
-    key = [F.col("d.source").eqNullSafe(F.col("s.source")), F.col("d.size") == F.col("s.size"), F.col("d.salt") == F.col("s.salt")]
-    out = ranked.alias("d").join(salts.alias("s"), key).select("d.*", (F.col("s.before") + F.col("d.rank")).alias("place"))
-    copies = F.col("whole") + F.when(F.col("place") <= F.col("extra"), 1).otherwise(0)
-    return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", copies.cast("long").alias("copies"))
+    cells = materialize(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-cells")
+    own = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    sources = targets(own.withColumn("source", _source()), weights, cap).drop("source")
+    rates = tilts(cells, sources, cap)
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    salts = max(1, -(-total // SALT_ROWS))
+
+    extras = materialize(_extras(cells, rates, cap), "mix-extras")
+    dealt = sized.withColumn("salt", F.floor(F.col("h") / F.lit(2**48 / salts)).cast("long"))
+    group = ["key", "size", "salt"]
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("h", F.col("id").asc_nulls_first())))
+    groups = dealt.groupBy(*group).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    takes = groups.withColumn("before", before).join(extras, ["key", "size"]).select(*group, "source_size", "target", "whole", (F.col("extra") - F.col("before")).alias("more"))
+    out = ranked.join(takes, group)
+    copies = F.col("whole") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)
+    return out.select(F.col("id").alias(id_col), "size", _source().alias("source"), "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def _source() -> Column:
+    return F.when(F.col("key") != "", F.expr("substring(key, 2)"))
 
 
 def _extras(cells: DataFrame, rates: DataFrame, cap: int) -> DataFrame:
-    """Adds ``whole``, the copies of each document of a (source, size), and ``extra``, how many get one more.
+    """(key, size, source_size, target, whole, extra): copies of each document, and how many documents get one more.
 
-    Systematic rounding over sizes first; then what a source lacks or has too much is made up in a few
-    rounds, each with the largest size that fits.
+    All windows are over one source, so its rows are dealt and sorted once.
     """
-    per_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    before = cells.withColumn("before", F.coalesce(F.sum("n").over(per_size), F.lit(0)))
-    rows = before.alias("d").join(rates.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.rate")
-    rows = rows.withColumn("whole", F.when(F.col("size") == 0, 0).otherwise(F.least(F.floor("rate"), F.lit(cap))).cast("long"))
-    part = F.when((F.col("size") == 0) | (F.col("whole") >= cap), 0.0).otherwise(F.col("rate") - F.col("whole"))
-    upto = lambda x: F.floor(part * x + 0.5)
-    rows = rows.withColumn("extra", (upto(F.col("before") + F.col("n")) - upto(F.col("before"))).cast("long"))
-    rows = materialize(rows.drop("before", "rate"), "mix-cells")
+    every = Window.partitionBy("key")
+    upto = every.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rate = F.when(F.col("size") == 0, 0.0).otherwise(_rate(cap))
+    rows = cells.join(rates, "key").withColumn("rate", rate).withColumn("whole", F.least(F.floor("rate"), F.lit(cap)).cast("long"))
+    rows = rows.withColumn("part", F.when(F.col("whole") >= cap, 0.0).otherwise((F.col("rate") - F.col("whole")) * F.col("n")))
+    rows = rows.withColumn("sum", F.sum("part").over(upto))
+    whole = lambda x: F.floor(x + 0.5)
+    rows = rows.withColumn("extra", F.least(F.col("n"), F.greatest(F.lit(0), whole(F.col("sum")) - whole(F.col("sum") - F.col("part")))).cast("long"))
     for _ in range(REPAIRS):
-        taken = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extra")))).alias("lack"))
+        rows = rows.withColumn("lack", F.col("target") - F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extra"))).over(every))
         room = F.when(F.col("lack") > 0, F.when(F.col("whole") < cap, F.col("n") - F.col("extra")).otherwise(0)).otherwise(F.col("extra"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("lack")) & (room > 0)
-        both = rows.alias("d").join(taken.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.lack")
-        pick = F.max(F.when(fits, F.col("size"))).over(Window.partitionBy("source"))
         change = F.least(room, F.floor(F.abs("lack") / F.col("size")).cast("long")) * F.signum("lack").cast("long")
-        both = both.withColumn("extra", F.when(F.col("size") == pick, F.col("extra") + change).otherwise(F.col("extra")))
-        rows = materialize(both.drop("lack"), "mix-cells")
-    return rows
+        rows = rows.withColumn("pick", F.max(F.when(fits, F.col("size"))).over(every))
+        rows = rows.withColumn("extra", F.when(F.col("size") == F.col("pick"), F.col("extra") + change).otherwise(F.col("extra")))
+    return rows.select("key", "size", "source_size", "target", "whole", "extra")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its rate was rounded to, with its columns."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    times = mix(rows, "_row", text_col, source_col, order_col=id_col).filter(F.col("copies") > 0).select("_row", F.sequence(F.lit(1), F.col("copies")).alias("_times"))
-    return rows.join(times, "_row").select(*[F.col(c) for c in docs.columns], F.explode("_times").alias("_time")).drop("_time")
+    row, times = fresh(docs, "row"), fresh(docs, "times")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, row, text_col, source_col, order_col=id_col).filter(F.col("copies") > 0).select(row, F.sequence(F.lit(1), F.col("copies")).alias(times))
+    return rows.join(taken, row).select(*[F.col(c) for c in docs.columns], F.explode(times).alias(times)).drop(times)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
