@@ -25,7 +25,7 @@ def test_stages_against_plain_python(spark):
     before, after = seen[0]
     assert {r.doc_id for r in after} == kept and set(after) <= set(before)
     before, after = seen[1]
-    comp = jaccard.brute_force([(r.doc_id, r.text) for r in before])
+    comp = jaccard.brute_force([(r.doc_id, r.text) for r in before], 5, 80)
     assert sorted(r.doc_id for r in after) == sorted({c for _, c in comp.values()})
     before, after = seen[2]
     texts = {r.doc_id: r.text for r in before}
