@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MARK = re.compile("[0-9@]")
 #: A token of a run, and what may stand between two of them.
 _NUMBER = re.compile(r"\+?[0-9](?:[().-]*[0-9])*")
 _GAP = re.compile(r"\)?\x20+(?:-\x20+)?\(?")
@@ -95,24 +97,44 @@ def shape(kind: str, value: str) -> bool:
     return {"ip": digits >= 4, "card": digits >= 10, "phone": digits >= 6}[kind]
 
 
-def words_before(text: str, a: int) -> list[str]:
-    """The two words before a place, however long they and what is between them are."""
-    size = 80
-    while True:
-        at = max(0, a - size)
-        pieces = re.split(r"[\x20\x09-\x0D]+", text[at:a].lower())
-        # the first piece may lack its beginning
-        words = [w.strip(_EDGE) for w in (pieces[1:] if at else pieces) if w.strip(_EDGE)]
-        if len(words) >= 2 or not at:
-            return words[-2:]
-        size *= 4
+class Before:
+    """The two words before places of a text, asked for in order of place.
+
+    A place inside a run of non-space characters has the part of the run before it as a word; an earlier place's
+    span in the same run ends that part and counts as a word of its own.  So no part is read twice.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.spans = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+        self.ends: list[int] = []
+
+    def _piece(self, a: int, b: int) -> list[str]:
+        w = self.text[a:b].lower().strip(_EDGE)
+        return [w] if w else []
+
+    def words(self, a: int, b: int) -> list[str]:
+        k = bisect_right(self.starts, a) - 1
+        out: list[str] = []  # the nearest first
+        if k >= 0 and self.spans[k][1] > a:
+            begin = self.spans[k][0]
+            earlier = [e for e in self.ends if begin < e <= a]
+            out = self._piece(max(earlier, default=begin), a) + ["0"] * min(len(earlier), 2)
+            k -= 1
+        while k >= 0 and len(out) < 2:
+            out += self._piece(*self.spans[k])
+            k -= 1
+        self.ends = [*self.ends[-3:], b]
+        return out[1::-1] if len(out) > 1 else out
 
 
 def tokens(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Identifier-like tokens without the marks around them; none overlaps the sorted spans in ``taken``."""
     out, at = [], 0
-    for m in _TOKEN.finditer(text):
+    for m in _WORD.finditer(text):
         a, b = m.span()
+        if not _MARK.search(text, a, b):
+            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while a < b and text[b - 1] in _EDGE:
@@ -154,9 +176,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             opened = a and text[a - 1] == "(" and ")" in text[a:b]
             found.append((a - 1 if opened else a, b, None, 1, a))
             found += [(x, y, None, 2, a) for x, y in run]
-    out = []
-    for a, b, k, part, unit in found:
-        words = ["0" if re.search("[0-9@]", w) else w for w in words_before(text, a)]
+    out, before = [], Before(text)
+    for a, b, k, part, unit in sorted(found, key=lambda x: (x[0], x[3])):
+        words = ["0" if _MARK.search(w) else w for w in before.words(a, b)]
         out.append({"start": a, "end": b, "kind": k, "pattern": " ".join(words), "value": text[a:b].lower(), "part": part, "unit": unit})
     return out
 
@@ -227,7 +249,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, KINDS))
     keyed = F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(kinds, s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     count = lambda kind: F.size(F.filter("base", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(keyed)).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(keyed)).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(keyed).cast("long").alias("n_spans"))
 
 
 def brute_force(text: str | None) -> tuple:
