@@ -68,3 +68,57 @@ def test_near_copies_keep_their_text(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for groups in (5000, 2):
         assert {r.page_id: r.text for r in op.extract(df, group_pages=groups).collect()} == dict(enumerate(pages))
+
+
+def test_pages_without_an_article_by_labels(spark):
+    """Pages whose blocks are labelled: of those without a bounding element exactly the stories stay."""
+    import random
+
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(400)) for _ in range(n))
+    rows, want = [], {}
+    for h in range(4):
+        menu, foot, quote = say(12), say(25), say(15)
+        for i in range(12):
+            k, story = len(rows), [say(rnd.randrange(20, 60)) for _ in range(2)]
+            if h == 3:  # only three streams show the menu: two in navigation of pages with an article, one without
+                bound = i != 5
+                chrome = menu if i in (3, 4, 5) else say(12)
+            else:
+                bound, chrome = i % 3 == 0, menu
+            if i < 5:
+                story.insert(1, quote)  # quoted in articles too, so it is text
+            body = "".join(f"<p>{s}</p>" for s in story)
+            page = f"<nav>{chrome}</nav><article>{body}</article><footer>{foot}</footer>" if bound else f"<div>{chrome}</div>{body}<div>{foot}</div>"
+            rows.append((k, f"http://h{h}.example/{i}", page))
+            want[k] = "\n".join(story)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for groups in (5000, 3):
+        assert {r.page_id: r.text for r in op.extract(df, group_pages=groups).collect()} == want
+
+
+def test_brute_force_of_repeated_runs():
+    import random
+
+    rnd = random.Random(3)
+    streams = [[rnd.choice("ab") for _ in range(rnd.randrange(5, 40))] for _ in range(12)]
+    rows, whose = [], {}
+    for r, t in enumerate(streams):
+        main = r == 11
+        for i in range(len(t) - op.RUN + 1):
+            whose.setdefault(tuple(t[i : i + op.RUN]), []).append((r, i, main))
+    want = {(r, i) for found in whose.values() if len({tuple(streams[r]) for r, _, _ in found}) >= op.STREAMS and not any(m for *_, m in found) for r, i, _ in found}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * 12), pa.array([1] * 12), pa.array([None if r == 11 else r for r in range(12)], pa.int64()), pa.array([r == 11 for r in range(12)]), pa.array([None] * 12, pa.int64()), pa.array([[" ".join(t)] for t in streams])], names=["host", "groups", "row", "main", "whole", "blocks"])
+    got = [(r["row"], r["place"]) for b in op._sort(op._suffixes([batch])) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_malformed_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a" * 50_000, '<a ">" ' * 20_000, "<div>" * 50_000 + "x" + "</span>" * 50_000, "<b>" * 50_000 + "<hr>" * 50_000, "<i>" * 25_000 + "<b>" * 25_000 + "</i>" * 25_000, "</" * 100_000, "<" * 100_000):
+        op.blocks(page)
+    assert time.time() - began < 20
