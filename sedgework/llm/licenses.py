@@ -6,11 +6,14 @@ half of it.  A template matches a window that holds at least 80 % of its shingle
 least Jaccard similarity J to the template that follows from both numbers of shingles (a short template
 fills little of its window), and its class takes so many one-row bands that (1 - J) ** bands <= MISS.
 
-All is one projection over column expressions: no join and no shuffle.  Templates are literals, so
-their number is bounded by MAX_TEMPLATES.  Only windows around a cue word are looked at: cues are
+The band values of all templates are an index: a window goes on only if one of its own is in that set (a hash
+lookup for each band), and only then is it held against the templates that share the band.
+All is one projection over column expressions: no join and no shuffle.  Templates are literals; more than
+BLOCK of them are looked for block by block.  Only windows around a cue word are looked at: cues are
 chosen so that less than 80 % of a template's shingles lack one, so a match can't miss them.
 
-Cases: null and empty texts match nothing; words shorter than a template match nothing; texts of any
+Cases: null and empty texts match nothing; words shorter than a template match nothing; a template of less
+than five words has no shingle and matches nothing; texts of any
 length are scanned whole; repeated rows get a row each; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-SHINGLE, PERCENT, MISS, MAX_TEMPLATES = 5, 80, 1e-7, 500
+SHINGLE, PERCENT, MISS, BLOCK = 5, 80, 1e-7, 500
 
 #: Public license notices (fixed values).
 TEMPLATES = {
@@ -81,7 +84,7 @@ def cue_words(templates: dict[str, str], percent: int = PERCENT) -> list[str]:
     for text in templates.values():
         w = words_of(text)
         sh = {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-        need = -(-percent * len(sh) // 100)
+        need = max(1, -(-percent * len(sh) // 100))
         while len(bare := [s for s in sh if not cues & set(s)]) >= need:
             tally: dict[str, int] = {}
             for s in bare:
@@ -103,9 +106,7 @@ def _signature(hashes: str, bands: str) -> str:
 
 
 def _template_rows(spark: SparkSession, templates: dict[str, str]) -> list:
-    """Name, class, bands of the class, shingle hashes and signature of each template; at most MAX_TEMPLATES rows."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    """Name, class, bands of the class, shingle hashes and signature of each template; at most BLOCK rows."""
     words = {n: words_of(t) for n, t in sorted(templates.items())}
     bands: dict[int, int] = {}
     for w in words.values():
@@ -116,19 +117,13 @@ def _template_rows(spark: SparkSession, templates: dict[str, str]) -> list:
     return df.select("name", "cls", "bands", "sh", "sig").collect()
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and the sorted names of the templates found in the text."""
-    templates = TEMPLATES if templates is None else templates
-    none = F.expr("cast(array() as array<string>)")
-    if not templates:
-        return docs.select(F.col(id_col), none.alias("licenses"))
-    known = _template_rows(docs.sparkSession, templates)
-    cues = cue_words(templates)
-    longs = lambda x: "array(" + ", ".join(f"{v}L" if v != -(2**63) else "cast('-9223372036854775808' as bigint)" for v in x) + ")"
-    structs = "array(" + ", ".join(f"named_struct('name', '{r.name}', 'cls', {r.cls}, 'sh', {longs(r.sh)}, 'sig', {longs(r.sig)})" for r in known) + ")"
+def _found(df: DataFrame, known: list, cues: list[str], name: str) -> DataFrame:
+    """Adds ``name``, the names of the templates ``known`` found in the text ``_t``."""
+    longs = lambda x: ", ".join(f"{v}L" if v != -(2**63) else "cast('-9223372036854775808' as bigint)" for v in x)
+    structs = "array(" + ", ".join(f"named_struct('name', '{r.name}', 'cls', {r.cls}, 'sh', array({longs(r.sh)}), 'sig', array({longs(r.sig)}))" for r in known) + ")"
+    index = longs(sorted({v for r in known for v in r.sig}))
     in_cues = ", ".join(f"'{c}'" for c in cues)
-    df = docs.select(F.col(id_col).alias("_id"), F.lower(text_or_empty(text_col)).alias("_t"))
-    df = df.withColumn("_w", F.expr(f"if(_t rlike '{'|'.join(cues)}', filter(split(_t, '[^a-z0-9]+'), x -> x <> ''), null)")).drop("_t")
+    df = df.withColumn("_w", F.expr(f"if(_t rlike '{'|'.join(cues)}', filter(split(_t, '[^a-z0-9]+'), x -> x <> ''), null)"))
     df = df.withColumn("_p", F.expr(f"filter(transform(_w, (x, i) -> if(x in ({in_cues}), i, -1)), i -> i >= 0)"))
     windows = []
     for c, bands in sorted({(r.cls, r.bands) for r in known}):
@@ -139,10 +134,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     parts = ", ".join(f"x.w[i + {k}]" for k in range(SHINGLE))
     df = df.withColumn("_win", F.expr(f"transform(filter(_win, x -> size(x.w) >= {SHINGLE}), x -> named_struct('cls', x.cls, 'bands', x.bands, 'sh', array_distinct(transform(sequence(0, size(x.w) - {SHINGLE}), i -> xxhash64({parts})))))"))
     df = df.withColumn("_win", F.expr(f"transform(_win, x -> named_struct('cls', x.cls, 'sh', x.sh, 'sig', {_signature('x.sh', 'x.bands')}))"))
+    df = df.withColumn("_win", F.expr(f"filter(_win, x -> exists(x.sig, s -> s in ({index})))"))
     retrieved = "t.cls = x.cls and exists(zip_with(x.sig, t.sig, (a, b) -> a = b), e -> e)"
     verified = f"100 * size(array_intersect(x.sh, t.sh)) >= {PERCENT} * size(t.sh)"
-    found = F.expr(f"array_sort(array_distinct(flatten(transform(_win, x -> transform(filter({structs}, t -> {retrieved} and {verified}), t -> t.name)))))")
-    return df.select(F.col("_id").alias(id_col), F.coalesce(found, none).alias("licenses"))
+    return df.withColumn(name, F.expr(f"array_distinct(flatten(transform(_win, x -> transform(filter({structs}, t -> {retrieved} and {verified}), t -> t.name))))")).drop("_win")
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Per row: id and the sorted names of the templates found in the text."""
+    templates = {n: t for n, t in sorted((TEMPLATES if templates is None else templates).items()) if len(words_of(t)) >= SHINGLE}
+    none = F.expr("cast(array() as array<string>)")
+    df = docs.select(F.col(id_col).alias("_id"), F.lower(text_or_empty(text_col)).alias("_t"))
+    names = list(templates)
+    found = []
+    for k in range(0, len(names), block):
+        part = {n: templates[n] for n in names[k : k + block]}
+        found.append(f"_f{k}")
+        df = _found(df, _template_rows(docs.sparkSession, part), cue_words(part), found[-1])
+    every = F.array_sort(F.concat(*[F.coalesce(F.col(f), none) for f in found])) if found else none
+    return df.select(F.col("_id").alias(id_col), every.alias("licenses"))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +166,8 @@ def brute_force(text: str | None, templates: dict[str, str] | None = None) -> li
     for name, t in (TEMPLATES if templates is None else templates).items():
         tw = words_of(t)
         want = {tuple(tw[i : i + SHINGLE]) for i in range(len(tw) - SHINGLE + 1)}
+        if not want:
+            continue
         c = length_class(len(tw))
         for s in range(0, len(w), c // 2):
             win = w[s : s + 2 * c]

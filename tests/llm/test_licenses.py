@@ -77,3 +77,13 @@ def test_short_templates_are_retrieved_at_every_place(spark):
         texts.append(" ".join([*around[:at], "Released under the MIT License.", *around[at:]]))
     got = op.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("licenses != array('mit')")
     assert got.count() == 0
+
+
+def test_short_templates_and_many_blocks(spark):
+    known = {"two": "MIT License", **{f"t{i}": f"granted under license number{i} of the year number{i} to all" for i in range(30)}}
+    rows = [(i, f"x y granted under license number{i} of the year number{i} to all z MIT License") for i in range(30)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (500, 7):
+        got = {r.doc_id: r.licenses for r in op.scan(df, known, block=block).collect()}
+        assert got == {i: op.brute_force(t, known) for i, t in rows} and got[3] == ["t3"] and got[100] == []
+    assert op.scan(df, {"two": "MIT License"}).filter("size(licenses) > 0").count() == 0
