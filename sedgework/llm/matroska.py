@@ -3,7 +3,9 @@
 ``packets`` parses variable-length EBML elements, clusters, simple and grouped blocks with all three
 kinds of lacing, and cues, into rows of (track, timestamp, byte range, keyframe).  ``wrap`` stores
 bytes as one track of 8-bit mono PCM: frames of 576 samples, eight to a laced block, eight blocks to
-a cluster, with a cue for each cluster.
+a cluster, with a cue for each cluster.  Times are milliseconds: the file's timestamp scale is applied, and
+the frames of a laced block follow each other by the track's frame duration, else by an equal share of
+the block's duration; where neither is given, all of them have the block's time.
 
 Cases: null text counts as empty and is stored as one frame of padding; texts of any length are
 stored whole; equal texts give equal bytes; broken or cut containers give the packets that can be
@@ -25,6 +27,7 @@ from .common import table
 # Element ids of the container format (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+TRACK_ENTRY, TRACK_NUMBER, FRAME_NS, SCALE = 0xAE, 0xD7, 0x23E383, 0x2AD7B1
 CUE_POINT, CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_AT = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 2, 4, 6
 
@@ -47,7 +50,7 @@ def _uint(number: int, n: int) -> bytes:
 
 _HEAD = _element(EBML, _uint(0x4286, 1) + _uint(0x42F7, 1) + _uint(0x42F2, 4) + _uint(0x42F3, 8) + _element(0x4282, b"matroska") + _uint(0x4287, 4) + _uint(0x4285, 2))
 _INFO = _element(INFO, _uint(0x2AD7B1, 1_000_000) + _element(0x4D80, b"sedgework") + _element(0x5741, b"sedgework"))
-_TRACKS = _element(TRACKS, _element(0xAE, _uint(0xD7, 1) + _uint(0x73C5, 1) + _uint(0x83, 2) + _uint(0x9C, 1) + _element(0x86, b"A_PCM/INT/LIT") + _element(0xE1, _element(0xB5, struct.pack(">d", RATE)) + _uint(0x9F, 1) + _uint(0x6264, 8))))
+_TRACKS = _element(TRACKS, _element(0xAE, _uint(0xD7, 1) + _uint(0x73C5, 1) + _uint(0x83, 2) + _uint(0x9C, 1) + _uint(FRAME_NS, FRAME * 1_000_000_000 // RATE) + _element(0x86, b"A_PCM/INT/LIT") + _element(0xE1, _element(0xB5, struct.pack(">d", RATE)) + _uint(0x9F, 1) + _uint(0x6264, 8))))
 
 
 def block(track: int, at: int, frames: list[bytes], lacing: int = FIXED, number: int = SIMPLE_BLOCK) -> bytes:
@@ -142,19 +145,23 @@ def _laced(b: bytes, i: int, end: int, lacing: int) -> list[tuple[int, int]]:
 
 
 def parse(b: bytes) -> tuple[list[tuple[int, int, int, int, bool]], list[tuple[int, int, int]]]:
-    """Packets (track, timestamp, start, end, keyframe) and cues (time, track, byte of the cluster)."""
+    """Packets (track, time in ms, start, end, keyframe) and cues (time in ms, track, byte of the cluster)."""
     packets: list[tuple[int, int, int, int, bool]] = []
     cues: list[tuple[int, int, int]] = []
 
+    scale, lasts = 1_000_000, {}  # nanoseconds of a unit; of a frame of each track
+
     def uint(j: int, e: int) -> int:
         return int.from_bytes(b[j:e], "big")
 
-    def frames(j: int, e: int, base: int, key: bool | None) -> None:
+    def frames(j: int, e: int, base: int, key: bool | None, units: int = 0) -> None:
         track, j, _ = _vint(b, j, False)
         at, flags = struct.unpack_from(">hB", b, j)
-        for s, t in _laced(b, j + 3, e, flags & 6):
+        found = _laced(b, j + 3, e, flags & 6)
+        step = lasts.get(track) or units * scale // len(found)
+        for k, (s, t) in enumerate(found):
             if s <= t <= e:
-                packets.append((track, base + at, s, t, bool(flags & 0x80) if key is None else key))
+                packets.append((track, ((base + at) * scale + k * step) // 1_000_000, s, t, bool(flags & 0x80) if key is None else key))
 
     for top, _, i, end in _elements(b, 0, len(b)):
         if top != SEGMENT:
@@ -162,7 +169,14 @@ def parse(b: bytes) -> tuple[list[tuple[int, int, int, int, bool]], list[tuple[i
         for number, _, j, e in _elements(b, i, end):
             base = 0
             try:
-                if number == CLUSTER:
+                if number == INFO:
+                    scale = next((uint(x, y) for k, _, x, y in _elements(b, j, e) if k == SCALE), scale)
+                elif number == TRACKS:
+                    for k, _, x, y in _elements(b, j, e):
+                        got = {z: uint(r, t) for z, _, r, t in _elements(b, x, y)} if k == TRACK_ENTRY else {}
+                        if FRAME_NS in got:
+                            lasts[got.get(TRACK_NUMBER, 0)] = got[FRAME_NS]
+                elif number == CLUSTER:
                     for k, _, x, y in _elements(b, j, e):
                         if k == TIMESTAMP:
                             base = uint(x, y)
@@ -172,7 +186,7 @@ def parse(b: bytes) -> tuple[list[tuple[int, int, int, int, bool]], list[tuple[i
                             inner = list(_elements(b, x, y))
                             for m, _, p, q in inner:
                                 if m == BLOCK:
-                                    frames(p, q, base, not any(z[0] == 0xFB for z in inner))
+                                    frames(p, q, base, not any(z[0] == 0xFB for z in inner), next((uint(r, t) for z, _, r, t in inner if z == DURATION), 0))
                 elif number == CUES:
                     for k, _, x, y in _elements(b, j, e):
                         if k == CUE_POINT:
@@ -181,7 +195,7 @@ def parse(b: bytes) -> tuple[list[tuple[int, int, int, int, bool]], list[tuple[i
                             for m, _, p, q in inner:
                                 if m == CUE_PLACES:
                                     got = {z: uint(r, s) for z, _, r, s in _elements(b, p, q)}
-                                    cues.append((when, got.get(CUE_TRACK, 0), i + got.get(CUE_AT, 0)))
+                                    cues.append((when * scale // 1_000_000, got.get(CUE_TRACK, 0), i + got.get(CUE_AT, 0)))
             except (IndexError, struct.error):
                 continue
     return packets, cues
@@ -232,7 +246,7 @@ def digest(text: str | None) -> tuple:
     found, cues = parse(media)
     back = b"".join([media[s:e] for _, _, s, e, _ in found])
     ms = FRAME * 1000 // RATE
-    feature = f"packets={len(found)};cues={len(cues)};ms={len(found) * ms};sum={sum(back)};min={min(back)};max={max(back)}"
+    feature = f"packets={len(found)};cues={len(cues)};ms={found[-1][1] + ms};sum={sum(back)};min={min(back)};max={max(back)}"
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 

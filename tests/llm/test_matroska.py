@@ -53,3 +53,12 @@ def test_query(spark):
     table = mk.packets(media, "doc_id", "media")
     assert table.count() == 6 and {r.cue_ms for r in table.collect()} == {0}
     assert mk.digests(df.limit(0)).count() == 0
+
+
+def test_times_of_laced_frames():
+    media = mk.wrap(mk.padded("x" * 576 * 70)[1])
+    assert [p[1] for p in mk.parse(media)[0]] == [i * 72 for i in range(70)]
+    # a scale of 0.5 ms, no frame duration: the block's duration is shared
+    blk = mk._element(mk.BLOCK_GROUP, mk.block(1, 20, [b"a", b"b", b"c", b"d"], mk.FIXED, mk.BLOCK) + mk._uint(mk.DURATION, 80))
+    seg = mk._element(mk.INFO, mk._uint(mk.SCALE, 500_000)) + mk._element(mk.CLUSTER, mk._uint(mk.TIMESTAMP, 100) + blk)
+    assert [p[1] for p in mk.parse(mk._HEAD + mk._element(mk.SEGMENT, seg))[0]] == [60, 70, 80, 90]
