@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_or_empty
+from .common import fresh, shared_dir, table, text_or_empty
 
 # Patterns of the contract (fixed values), in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -95,11 +95,12 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ledg
     """``docs`` with every finding replaced by ``mark``; overlapping findings are replaced as one."""
     ledger = ledger or shared_dir(docs.sparkSession, "ledger")
     update_ledger(docs, ledger, text_col)
-    hits = read_ledger(docs.sparkSession, ledger).filter((F.col("rules") == RULES) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")).dropDuplicates(["_blob"])
+    blob, found = fresh(docs, "blob"), fresh(docs, "found")
+    hits = read_ledger(docs.sparkSession, ledger).filter((F.col("rules") == RULES) & (F.size("findings") > 0)).select(F.col("blob").alias(blob), F.col("findings").alias(found)).dropDuplicates([blob])
     text = F.col(text_col)
     # Walks the findings in order of start; holds the text so far and the end of what is replaced.
     state = F.aggregate(
-        "_found",
+        found,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, f: F.struct(
             F.when(f["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, f["start"] - s["at"]), F.lit(mark))).otherwise(s["out"]).alias("out"),
@@ -107,8 +108,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ledg
         ),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    joined = docs.withColumn("_blob", blob_of(text_col)).join(hits, "_blob", "left")
-    return joined.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(state)).select(*docs.columns)
+    joined = docs.withColumn(blob, blob_of(text_col)).join(hits, blob, "left")
+    return joined.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(state)).select(*docs.columns)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

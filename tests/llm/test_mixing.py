@@ -64,3 +64,35 @@ def test_one_source_and_none(spark):
     assert {r.copies for r in got} == {1}
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert op.mix(df).count() == 0
+
+
+def test_copies_keep_clashing_columns(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 2}", "mine", i, "k") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row string, _TIMES int, key string")
+    got = op.copies(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows)
+
+
+def test_rates_are_tilts_of_the_documents(spark):
+    """Held against a plain search for the tilt: sum of size * min(3, exp(lam * size / mean)) meets the target."""
+    import math
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.randrange(1, 300), "ab"[i % 3 == 0], "") for i in range(900)]
+    got = op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, x string")).collect()
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        sizes = [r.size for r in mine]
+        mean, target = sum(sizes) / len(sizes), mine[0].target
+        lo, hi = -2000.0, 2000.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            m = sum(s * min(3.0, math.exp(min(50, lam * s / mean))) for s in sizes)
+            lo, hi = (lam, hi) if m < target else (lo, lam)
+        by = {}
+        for r in mine:
+            by.setdefault(r.size // 30, []).append((r.copies, min(3.0, math.exp(min(50, lam * r.size / mean)))))
+        for found in by.values():
+            assert abs(sum(c for c, _ in found) - sum(w for _, w in found)) <= 3
+        assert all(math.floor(w) <= c <= math.floor(w) + 1 for found in by.values() for c, w in found)

@@ -36,3 +36,22 @@ def test_redact(spark):
     rows = [(1, "é token=abcdefg end AKIA" + "Z" * 16), (2, None), (3, "clean"), (4, "token=" + "0123456789abcdef" * 2 + "!")]
     got = {r.doc_id: r.text for r in op.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "é [SECRET] end [SECRET]", 2: None, 3: "clean", 4: "[SECRET]!"}
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg", "mine", 7, "b"), (1, "token=abcdefg", "mine", 7, "b")], "doc_id long, text string, _blob string, _FOUND int, blob string")
+    got = op.redact(df).collect()
+    assert [tuple(r) for r in got] == [(1, "[SECRET]", "mine", 7, "b")] * 2 and op.redact(df).columns == df.columns
+
+
+def test_a_second_run_scans_nothing(spark, tmp_path):
+    """Several versions of a path, and copies of them: only unseen pairs of blob and rule version are scanned."""
+    ledger = str(tmp_path / "ledger")
+    rows = [(f"p{i % 5}", i // 5, f"token=secret{i % 7}" if i % 3 else "clean") for i in range(40)]
+    df = spark.createDataFrame(rows, "path string, version int, text string")
+    first = op.scan(df, ["path", "version"], ledger=ledger).collect()
+    blobs = op.read_ledger(spark, ledger).count()
+    again = op.scan(df.union(df), ["path", "version"], ledger=ledger).collect()
+    assert op.read_ledger(spark, ledger).count() == blobs == len({t for *_, t in rows})
+    assert sorted(map(str, again)) == sorted(map(str, first * 2))
+    assert all(bool(r.findings) == (t != "clean") for r in first for p, v, t in rows if (p, v) == (r.path, r.version))
