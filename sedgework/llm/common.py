@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives free memory back to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def frugal(run):
+    """``run``, a function over Arrow batches, that gives its free memory back when a task ends.
+
+    Workers are kept for later tasks and stages; without this each holds on to the most that it ever took.
+    """
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return wrapped
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever its case."""
     taken = {c.lower() for c in df.columns}

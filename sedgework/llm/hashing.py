@@ -21,7 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = [np.ones(1, U), np.ones(1, U)]
 #: Bytes of text hashed in one go; only a single longer text takes more.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

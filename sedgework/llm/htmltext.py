@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import materialize, table
+from .common import frugal, materialize, table
 
 RUN, STREAMS, GROUP_PAGES = 8, 3, 5000
 
@@ -342,18 +342,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per row: id, url, text and n_chars."""
     key = F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     kind = f"struct<id:{pages.schema[id_col].dataType.simpleString()},url:string>"
-    parsed = pages.select(key.alias("key"), F.col(html_col).alias("html")).mapInArrow(_parse, f"key {kind}, text string, blocks array<string>")
+    parsed = pages.select(key.alias("key"), F.col(html_col).alias("html")).mapInArrow(frugal(_parse), f"key {kind}, text string, blocks array<string>")
     parsed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "html-parsed")
     host = lambda url: F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     hosts = parsed.groupBy(host("key.url").alias("host")).agg(F.ceil(F.count("*") / group_pages).cast("long").alias("groups"), F.count("blocks").alias("loose")).filter("loose > 0").drop("loose")
     loose = parsed.filter(F.col("blocks").isNotNull()).select("row", "key", "blocks", host("key.url").alias("host"))
     own = loose.join(hosts, "host").select("host", "groups", "row", F.lit(False).alias("main"), F.lit(None).cast("long").alias("whole"), "blocks")
     others = pages.select(host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).alias("html")).join(hosts, "host").select("host", "groups", "html")
-    others = others.mapInArrow(_others, "host string, groups long, row long, main boolean, whole long, blocks array<string>")
-    packed = own.unionByName(others).mapInArrow(_suffixes, "host string, grp long, row long, main boolean, stream long, places binary, heads binary")
-    repeated = packed.repartition("host", "grp").sortWithinPartitions("host", "grp").mapInArrow(_sort, "row long, place int")
+    others = others.mapInArrow(frugal(_others), "host string, groups long, row long, main boolean, whole long, blocks array<string>")
+    packed = own.unionByName(others).mapInArrow(frugal(_suffixes), "host string, grp long, row long, main boolean, stream long, places binary, heads binary")
+    repeated = packed.repartition("host", "grp").sortWithinPartitions("host", "grp").mapInArrow(frugal(_sort), "row long, place int")
     places = repeated.groupBy("row").agg(F.collect_list("place").alias("places"))
-    cleaned = loose.join(places, "row", "left").select("row", "blocks", "places").mapInArrow(_without, "row long, text string")
+    cleaned = loose.join(places, "row", "left").select("row", "blocks", "places").mapInArrow(frugal(_without), "row long, text string")
     rest = loose.select("row", "key").join(cleaned, "row").select("key", "text")
     out = parsed.filter(F.col("blocks").isNull()).select("key", "text").unionByName(rest)
     return out.select(F.col("key.id").alias(id_col), F.col("key.url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -5,11 +5,17 @@ Two sets of sizes a <= b link when 100 * overlap >= PERCENT * union; then overla
 
 1. Nodes.  A document's set is a node, named by a 64-bit fingerprint; equal sets are one node.
 2. Meeting.  Shingles are dealt by hash into K = D + 1 + E parts, D that of the largest pair of a size
-   class; a set joins in at its own class and the one below.  Of the parts of a linked pair at least
-   E + 1 hold no difference, so each pair meets in a part.  Parts with less than ``weak`` shingles
-   could bring together sets that share next to nothing; a set leaves its weak parts out if it has at
-   most E of them, as then an equal part that isn't weak remains.  Of the nodes that meet, each task
-   unites those whose group counts (32 coarse ones) leave room for a link by the bound below, and
+   class; a set joins in at its own class and the one below.  At least E + 1 parts of a linked pair hold no
+   difference.  Empty parts would bring together sets that share
+   nothing; a set with at most E of them (else it sends all parts) leaves them out, and of the others it sends
+   the first D + 1 in the order of: not only popular shingles, most shingles, key.  It leaves out E parts in
+   all, so one of the E + 1 equal parts is sent, by both, as equal parts have equal shingles and so the same
+   place in that order.  Popular shingles (in passages that many documents share) are counted over all documents,
+   by those that a chunk of texts shows POPULAR_HERE times; they only decide the order, and at most
+   POPULAR of them are sent to the tasks.
+   Of the nodes that meet, each task
+   unites those whose group counts (32 or FINE groups, by the set's size) leave room for a link by the
+   bound below, and
    emits a spanning forest, never the pairs.  The components of all forests are the rooms: linked
    nodes are always in one room.
 3. Search.  Within a room, shingles are hashed into GROUPS groups; the group counts are a point in
@@ -19,7 +25,9 @@ Two sets of sizes a <= b link when 100 * overlap >= PERCENT * union; then overla
    they are connected already, so a group of copies takes about one comparison for each member.
 4. Large rooms.  A room of more than ROOM nodes is dealt by hash to several tasks, each with the room's
    pivot (its least node).  Nodes that a task does not connect to the pivot are searched in a second
-   round against all tasks of the room, and the links found there are joined by components.
+   round against all tasks of the room, and the links found there are joined by components.  A room has
+   at most PARTS tasks until these are LARGE times as large, so a node is copied PARTS times at most
+   below 32 million nodes.
 
 Cases: null text and texts without words have no shingles and link with nothing; fewer words than a
 shingle count as one shingle; repeated rows and ids are fine, rows without an id take part and a
@@ -29,7 +37,6 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from functools import partial
 
 import numpy as np
@@ -38,11 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import WORD_CLASS, materialize, slices, table
+from .common import WORD_CLASS, frugal, materialize, slices, table
 from .components import connected_components
 
 SHINGLE, PERCENT, GROUPS = 4, 85, 64
-CHUNK, BUCKET, TASKS, ROOM, LEAF = 8 << 20, 16 << 20, 20_000, 4000, 32
+CHUNK, ROWS, BUCKET, TASKS, ROOM, LEAF = 4 << 20, 100_000, 16 << 20, 20_000, 500, 32
+PARTS, LARGE = 64, 1000
+POPULAR_HERE, POPULAR_TOTAL, POPULAR = 3, 12, 200_000
 _LAST = 2**63 - 1
 
 
@@ -84,35 +93,28 @@ def node_names(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 # -- meeting ---------------------------------------------------------------------------------
 class Classes:
-    """Size classes: ``first`` is the least size of each; levels have ``parts``, ``spare`` and ``weak``."""
+    """Size classes: ``first`` is the least size of each; levels have ``parts`` (K) and ``spare`` (E)."""
 
     def __init__(self, largest: int, percent: int = PERCENT):
         self.first = [1]
         while self.first[-1] <= largest:
             self.first.append(max(self.first[-1] + 1, 100 * (self.first[-1] - 1) // percent + 1) if len(self.first) > 1 else 2)
-        parts, spare, weak = [], [], []
-        for low, high in zip(self.first, [*self.first[1:], self.first[-1] * 2]):
+        parts, spare = [], []
+        for high in [*self.first[1:], self.first[-1] * 2]:
             a = high - 1
             d = (100 - percent) * (a + 100 * a // percent) // (100 + percent)
-            if d == 0:
-                k, e, w = 1, 0, 1
-            elif d < 20:
-                e = 2 + d // 3
-                k, w = d + 1 + e, 1
-            else:
-                k, w = d + 1, 2
-                for _ in range(4):
-                    mean = k * (1 + low / k) * math.exp(-low / k)
-                    e = math.ceil(mean + 5 * math.sqrt(mean) + 4)
-                    k = d + 1 + e
+            e = 2 + 2 * d // 5 if d else 0
+            k = d + 1 + e
             parts.append(k)
             spare.append(e)
-            weak.append(w)
-        self.first, self.parts, self.spare, self.weak = (np.array(x, np.int64) for x in (self.first, parts, spare, weak))
+        self.first, self.parts, self.spare = (np.array(x, np.int64) for x in (self.first, parts, spare))
 
 
-def part_keys(g: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all parts in which sets take part, in order of row."""
+def part_keys(g: np.ndarray, sizes: np.ndarray, classes: Classes, popular: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all parts in which sets take part, in order of row; ``popular`` is sorted."""
+    rare = np.ones(len(g), bool)
+    if popular is not None and len(popular):
+        rare = popular[np.minimum(np.searchsorted(popular, g), len(popular) - 1)] != g
     own = np.searchsorted(classes.first, sizes, side="right") - 1
     spread = H.mix(g + H.U(0x632BE59BD9B4E019))
     lo, hi = (spread & H.U(0xFFFFFFFF)).astype(np.float64), (spread >> H.U(32)).astype(np.float64)
@@ -131,15 +133,23 @@ def part_keys(g: np.ndarray, sizes: np.ndarray, classes: Classes) -> tuple[np.nd
         at = np.repeat(begin, sizes)[takes] + (pick[takes] % k).astype(np.int64)
         sums = np.bincount(at, lo[takes], total).astype(H.U) + (np.bincount(at, hi[takes], total).astype(H.U) << H.U(32))
         count = np.bincount(at, minlength=total)
+        known = np.bincount(at, rare[takes], total) == 0  # only popular shingles
         row = np.repeat(np.arange(len(sizes)), parts)
         j = np.arange(total) - np.repeat(begin, parts)
         lv = level[row]
-        thin = count < classes.weak[lv]
+        thin = count == 0
         many = np.bincount(row[thin], minlength=len(sizes)) > classes.spare[level]
-        keep = ~thin | many[row]
+        keep = np.flatnonzero(~thin | many[row])
         where = H.mix((lv * (1 << 32) + j).astype(H.U))
-        out_rows.append(row[keep])
-        out_keys.append(H.mix(sums * H.U(0x9E3779B97F4A7C15) + where)[keep])
+        key = H.mix(sums * H.U(0x9E3779B97F4A7C15) + where)[keep]
+        row, count = row[keep], np.minimum(count[keep], 255) + 256 * ~known[keep]
+        new = np.append(True, row[1:] != row[:-1])
+        number = np.cumsum(new) - 1
+        o = np.argsort((number.astype(H.U) << H.U(40)) | ((511 - count).astype(H.U) << H.U(31)) | (key >> H.U(33)), kind="stable")
+        place = np.arange(len(row)) - np.flatnonzero(new)[number]
+        send = (place < (classes.parts - classes.spare)[level[row]]) | many[row]
+        out_rows.append(row[send])
+        out_keys.append(key[o][send])
     if not out_rows:
         return np.empty(0, np.int64), np.empty(0, H.U)
     row, key = np.concatenate(out_rows), np.concatenate(out_keys)
@@ -153,7 +163,7 @@ def _chunks(batches, limit: int = CHUNK):
     for b in batches:
         for *head, t in zip(*[b.column(i) for i in range(b.num_columns)]):
             raw = (t.as_py() or "").encode("utf-8")
-            if texts and size + len(raw) > limit:
+            if texts and (size + len(raw) > limit or len(texts) >= ROWS):
                 yield rows, texts
                 rows, texts, size = [], [], 0
             rows.append([x.as_py() for x in head])
@@ -163,35 +173,76 @@ def _chunks(batches, limit: int = CHUNK):
         yield rows, texts
 
 
-#: A node of a chunk in a bucket: its name, keys in the bucket, set size, and 32 group counts of four bits.
-_HEAD = np.dtype([("node", "<i8"), ("count", "<u2"), ("size", "<u2"), ("groups", "<u8", 2)])
-_BITS = np.arange(16, dtype=H.U) * H.U(4)
+#: A node of a chunk in a bucket: its name, keys in the bucket and set size.
+_HEAD = np.dtype([("node", "<i8"), ("count", "<u2"), ("size", "<u2")])
+#: Group counts travel in four bits, 15 for all above 14 (UNKNOWN when read); sets of up to SMALL shingles have 32 of
+#: them, larger ones FINE.
+SMALL, FINE, UNKNOWN = 224, 128, 255
 _FULL = 65535
 
 
-def small_counts(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """32 group counts of each set, those above 14 as 15, four bits each."""
+def small_counts(g: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed group counts of the sets one after the other, and the number of bytes of each."""
+    width = np.where(sizes > SMALL, FINE // 2, 16)
+    out = np.zeros(int(width.sum()), np.uint8)
+    begin = np.cumsum(width) - width
     row = np.repeat(np.arange(len(sizes)), sizes)
-    counts = np.bincount(row * 32 + (H.mix(g) >> H.U(59)).astype(np.int64), minlength=32 * len(sizes)).reshape(-1, 2, 16)
-    return (np.minimum(counts, 15).astype(H.U) << _BITS).sum(axis=2, dtype=H.U)
-
-
-def _spread(groups: np.ndarray) -> np.ndarray:
-    """Rows of 32 counts from packed ones; a full count (15 stands for 15 or more) bounds nothing."""
-    counts = ((groups[:, :, None] >> _BITS) & H.U(15)).astype(np.int32).reshape(-1, 32)
-    counts[counts == 15] = 1 << 20
-    return counts
-
-
-def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether the summed coordinate minima leave room for a link; rows of counts against rows of counts."""
-    bound = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
-    full = (na == _FULL) | (nb == _FULL)
-    fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (bound * (100 + percent) >= percent * (na + nb))
-    return full | fits
-
-
-def _meet(buckets: int, shingle: int = SHINGLE, percent: int = PERCENT):
+    for groups, mine in ((32, sizes <= SMALL), (FINE, sizes > SMALL)):
+        at = np.cumsum(mine) - 1
+        here = mine[row]
+        n = int(mine.sum())
+        place = H.mix(g[here]) >> H.U(64 - groups.bit_length() + 1)
+        counts = np.minimum(np.bincount(at[row[here]] * groups + place.astype(np.int64), minlength=groups * n), 15).astype(np.uint8).reshape(n, groups)
+        out[(begin[mine][:, None] + np.arange(groups // 2)).ravel()] = (counts[:, ::2] | counts[:, 1::2] << 4).ravel()
+    return out, width
+
+
+class Points:
+    """Group counts of nodes, read from packed ones: 32 of every node, and FINE ones of the larger sets."""
+
+    def __init__(self, packed: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
+        self.coarse = np.zeros((len(sizes), 32), np.uint8)
+        big = sizes > SMALL
+        self.number = np.where(big, np.cumsum(big) - 1, -1)
+        self.coarse[~big] = self._read(packed, begin[~big], 32)
+        self.fine = self._read(packed, begin[big], FINE)
+        if len(self.fine):
+            four = self.fine.reshape(-1, 32, FINE // 32)
+            self.coarse[big] = np.where((four == UNKNOWN).any(axis=2), UNKNOWN, np.minimum(four.sum(axis=2, dtype=np.int64), 254))
+
+    @staticmethod
+    def _read(packed: np.ndarray, begin: np.ndarray, groups: int) -> np.ndarray:
+        raw = packed[begin[:, None] + np.arange(groups // 2)]
+        out = np.empty((len(begin), groups), np.uint8)
+        out[:, ::2], out[:, 1::2] = raw & 15, raw >> 4
+        out[out == 15] = UNKNOWN
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+        """Whether the summed coordinate minima leave room for links of nodes i and j."""
+        na, nb = self.sizes[i], self.sizes[j]
+        full = (na == _FULL) | (nb == _FULL)
+        out = full | (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        for table, number in ((self.coarse, np.arange(len(self.sizes))), (self.fine, self.number)):
+            for a in range(0, len(i), 1 << 16):
+                k = a + np.flatnonzero(out[a : a + (1 << 16)] & ~full[a : a + (1 << 16)])
+                x, y = number[i[k]], number[j[k]]
+                k, x, y = (z[(x >= 0) & (y >= 0)] for z in (k, x, y))
+                out[k] = overlap_bound(table[x], table[y], na[k], nb[k]) * (100 + percent) >= percent * (na[k] + nb[k])
+        return out
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Most shingles that sets of these counts share: coordinate minima, and where a count is unknown what the
+    known ones leave of either set."""
+    known = (a != UNKNOWN) & (b != UNKNOWN)
+    least = np.minimum(a, b).sum(axis=1, where=known, dtype=np.int64)
+    rest = np.minimum(na - a.sum(axis=1, where=known, dtype=np.int64), nb - b.sum(axis=1, where=known, dtype=np.int64))
+    return least + np.where(known.all(axis=1), 0, rest)
+
+
+def _meet(buckets: int, shingle: int = SHINGLE, percent: int = PERCENT, popular: np.ndarray | None = None):
     def run(batches):
         classes = Classes(1024, percent)
         for _, texts in _chunks(batches):
@@ -199,34 +250,35 @@ def _meet(buckets: int, shingle: int = SHINGLE, percent: int = PERCENT):
             if len(sizes) and sizes.max() >= classes.first[-1]:
                 classes = Classes(int(sizes.max()) * 2, percent)
             names = node_names(g, sizes)
-            groups = small_counts(g, sizes)
+            packed, width = small_counts(g, sizes)
+            begin = np.cumsum(width) - width
             full = np.minimum(sizes, _FULL)
             # equal sets of the chunk take part once
             _, once = np.unique(names, return_index=True)
             drop = np.ones(len(names), bool)
             drop[once] = False
             g, sizes = g[~np.repeat(drop, sizes)], np.where(drop, 0, sizes)
-            row, key = part_keys(g, sizes, classes)
+            row, key = part_keys(g, sizes, classes, popular)
             if not len(row):
                 continue
             bucket = ((key >> H.U(40)) % H.U(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             row, key, bucket = row[o], key[o], bucket[o]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             out = []
-            for k in range(buckets):
-                a, b = edge[k], edge[k + 1]
-                if a < b:
-                    at = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
+            for a, b in zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist()):
+                at = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
+                count = np.diff(np.append(at, b - a))
+                if count.max() > _FULL:  # a longer run becomes several heads
+                    at = np.concatenate([np.arange(x, x + n, _FULL) for x, n in zip(at, count)])
                     count = np.diff(np.append(at, b - a))
-                    if count.max() > _FULL:  # a longer run becomes several heads
-                        at = np.concatenate([np.arange(x, x + n, _FULL) for x, n in zip(at, count)])
-                        count = np.diff(np.append(at, b - a))
-                    r = row[a:b][at]
-                    head = np.zeros(len(r), _HEAD)
-                    head["node"], head["count"], head["size"], head["groups"] = names[r], count, full[r], groups[r]
-                    out.append((k, head.tobytes(), key[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "nodes", "keys"])
+                r = row[a:b][at]
+                head = np.zeros(len(r), _HEAD)
+                head["node"], head["count"], head["size"] = names[r], count, full[r]
+                w = width[r]
+                counts = packed[np.repeat(begin[r] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))]
+                out.append((int(bucket[a]), head.tobytes(), counts.tobytes(), key[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "nodes", "counts", "keys"])
 
     return run
 
@@ -247,31 +299,33 @@ def _local_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def _unite(batches, percent: int = PERCENT):
     """The buckets of a task, whose rows are neighbours, one after the other."""
-    at, heads, keys = None, [], []
+    at, found = None, ([], [], [])
     for b in batches:
-        for bucket, head, key in zip(b.column("bucket").to_pylist(), b.column("nodes"), b.column("keys")):
+        for bucket, *parts in zip(b.column("bucket").to_pylist(), b.column("nodes"), b.column("counts"), b.column("keys")):
             if bucket != at:
-                if heads:
-                    yield from _unite_bucket(heads, keys, percent)
-                at, heads, keys = bucket, [], []
-            heads.append(np.frombuffer(head.as_py(), _HEAD))
-            keys.append(key.as_py())
-    if heads:
-        yield from _unite_bucket(heads, keys, percent)
+                if found[0]:
+                    yield from _unite_bucket(*found, percent)
+                at, found = bucket, ([], [], [])
+            for x, y in zip(found, parts):
+                x.append(y.as_py())
+    if found[0]:
+        yield from _unite_bucket(*found, percent)
 
 
-def _unite_bucket(heads: list, keys: list, percent: int = PERCENT):
+def _unite_bucket(heads: list, counts: list, keys: list, percent: int = PERCENT):
     """Nodes that share a key in this bucket, as (u, v) with v the least node of their local component."""
-    head = np.concatenate(heads)
+    head = np.frombuffer(b"".join(heads), _HEAD)
+    packed = np.frombuffer(b"".join(counts), np.uint8)
     raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 5)
-    heads.clear()
-    keys.clear()
+    for x in (heads, counts, keys):
+        x.clear()
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :5] = raw
     key = wide.view("<u8").ravel()
     del wide, raw
     names, first, number = np.unique(head["node"], return_index=True, return_inverse=True)
-    sizes, points = head["size"][first].astype(np.int64), _spread(head["groups"][first])
+    width = np.where(head["size"] > SMALL, FINE // 2, 16)
+    points = Points(packed, (np.cumsum(width) - width)[first], head["size"][first].astype(np.int64))
     who = np.repeat(number, head["count"].astype(np.int64))
     o = np.argsort(key, kind="stable")
     k, w = key[o], who[o]
@@ -281,11 +335,14 @@ def _unite_bucket(heads: list, keys: list, percent: int = PERCENT):
     two = edge[size == 2]
     pairs = np.unique(np.stack([np.minimum(w[two], w[two + 1]), np.maximum(w[two], w[two + 1])], axis=1), axis=0) if len(two) else np.empty((0, 2), np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    pairs = pairs[may_link(points[pairs[:, 0]], points[pairs[:, 1]], sizes[pairs[:, 0]], sizes[pairs[:, 1]], percent)]
+    pairs = pairs[points.may_link(pairs[:, 0], pairs[:, 1], percent)]
     root = _local_roots(len(names), pairs[:, 0], pairs[:, 1])
+    seen = set()
     for a, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
         block = np.unique(w[a : a + n])
-        _unite_block(block, root, points, sizes, percent)
+        if (same := block.tobytes()) not in seen:  # copies and passages meet in many parts alike
+            seen.add(same)
+            _unite_block(block, root, points, percent)
     while not (root == root[root]).all():
         root = root[root]
     u = np.flatnonzero(root != np.arange(len(names)))
@@ -300,7 +357,7 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def _unite_block(block: np.ndarray, root: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> None:
+def _unite_block(block: np.ndarray, root: np.ndarray, points: Points, percent: int = PERCENT) -> None:
     """Unites the nodes of a block that may link.  Nodes of one component are not compared again, so a
     group of copies takes one comparison for each member."""
     found = np.array([_find(root, int(i)) for i in block])
@@ -313,8 +370,7 @@ def _unite_block(block: np.ndarray, root: np.ndarray, points: np.ndarray, sizes:
         queue = list(now)
         while queue and len(out):
             i = queue.pop()
-            x = block[i]
-            near = out[may_link(points[block[out]], points[x], sizes[block[out]], sizes[x], percent)]
+            near = out[points.may_link(block[out], np.full(len(out), block[i]), percent)]
             if len(near):
                 joined = np.isin(found[out], found[near])
                 for r in np.unique(found[near]):
@@ -435,56 +491,78 @@ def _connect(batches, percent: int = PERCENT):
 
 
 def _ask(batches, percent: int = PERCENT):
-    """Links between the asking nodes and the others of a part."""
+    """A spanning forest of the links between the asking nodes and the others of a part."""
     for _, nodes in _rooms(batches):
         own = sorted(n for n, asks in nodes if not asks)
         sets = [np.frombuffer(nodes[n, False], H.U) for n in own]
         if not own:
             continue
         tree = RTree(np.stack([counts_of(s) for s in sets]), np.array([len(s) for s in sets]))
+        asking = sorted(n for n, asks in nodes if asks)
+        names = sorted({*own, *asking})
+        at = {n: k for k, n in enumerate(names)}
+        root, places = np.arange(len(names)), np.array([at[n] for n in own])
         u, v = [], []
-        for n, asks in nodes:
-            if asks:
-                s = np.frombuffer(nodes[n, True], H.U)
-                for j in tree.search(counts_of(s), len(s), percent):
-                    if own[j] != n and linked(s, sets[j], percent):
-                        u.append(n)
-                        v.append(own[j])
+        for n in asking:
+            s = np.frombuffer(nodes[n, True], H.U)
+            near = tree.search(counts_of(s), len(s), percent)
+            near = near[root[places[near]] != root[at[n]]]
+            while len(near):  # what is connected already is not compared
+                j = near[0]
+                if linked(s, sets[j], percent):
+                    low, high = sorted((root[at[n]], root[places[j]]))
+                    root[root == high] = low
+                    u.append(n)
+                    v.append(own[j])
+                    near = near[root[places[near]] != root[at[n]]]
+                else:
+                    near = near[1:]
         if u:
             yield _pairs(u, v)
 
 
 # -- the join --------------------------------------------------------------------------------
 def _names(batches, shingle: int = SHINGLE):
+    """(id, tag, node, n_shingles) of each row; with n_shingles -1 a shingle (as node) and how many sets of a chunk hold it (as tag)."""
     for rows, texts in _chunks(batches):
         g, _, sizes = shingle_sets(texts, shingle)
         cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(node_names(g, sizes), pa.int64()), pa.array(sizes, pa.int64())], names=["id", "tag", "node", "n_shingles"])
+        names = node_names(g, sizes)
+        once = np.zeros(len(names), bool)
+        once[np.unique(names, return_index=True)[1]] = True
+        each, times = np.unique(g[np.repeat(once, sizes)], return_counts=True)
+        each, times = each[times >= POPULAR_HERE], times[times >= POPULAR_HERE]
+        if len(each):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(each), pa.int64()), pa.array(times, pa.int64()), pa.array(each.view(np.int64)), pa.array(np.full(len(each), -1), pa.int64())], names=["id", "tag", "node", "n_shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "tag", "node", "n_shingles"])
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: id, tag (a hash of the text), n_shingles, root (the component's name) and component_id, its least id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    nodes = materialize(rows.mapInArrow(partial(_names, shingle=shingle), "id long, tag long, node long, n_shingles long"), "jaccard-nodes")
+    nodes = materialize(rows.mapInArrow(frugal(partial(_names, shingle=shingle)), "id long, tag long, node long, n_shingles long"), "jaccard-nodes")
+    often = nodes.filter("n_shingles < 0").groupBy("node").agg(F.sum("tag").alias("n")).filter(F.col("n") >= POPULAR_TOTAL)
+    popular = np.sort(often.orderBy(F.desc("n"), "node").limit(POPULAR).select("node").toArrow().column(0).to_numpy().view(H.U))
+    nodes = nodes.filter("n_shingles >= 0")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET))
-    met = rows.select("text").mapInArrow(_meet(buckets, shingle, percent), "bucket int, nodes binary, keys binary").repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_unite, percent=percent), "u long, v long")
+    met = rows.select("text").mapInArrow(frugal(_meet(buckets, shingle, percent, popular)), "bucket int, nodes binary, counts binary, keys binary").repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(partial(_unite, percent=percent)), "u long, v long")
     rooms = connected_components(met)
     rooms = rooms.unionByName(rooms.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "room")
     counts = rooms.groupBy("room").agg(F.count("*").alias("n"))
-    rooms = rooms.join(counts, "room").select("node", "room", F.ceil(F.col("n") / room).cast("int").alias("parts"))
+    rooms = rooms.join(counts, "room").select("node", "room", F.greatest(F.least(F.ceil(F.col("n") / room), F.lit(PARTS)), F.ceil(F.col("n") / (room * LARGE))).cast("int").alias("parts"))
     # one text for each node
     owner = nodes.groupBy("node").agg(F.min(F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), "tag")).alias("o"))
     places = materialize(rooms.join(owner, "node").select("node", "room", "parts", "o.id", "o.tag"), "jaccard-places")
     # Their sets, read from the texts once.  The merge hint keeps one way of joining at all sizes.
     keyed = rows.select(F.coalesce("id", F.lit(_LAST)).alias("id"), "tag", "text").join(places.hint("merge"), ["id", "tag"])
-    sets = materialize(keyed.select("room", "parts", "node", "text").mapInArrow(partial(_sets, shingle=shingle), "room long, parts int, node long, body binary"), "jaccard-sets")
+    sets = materialize(keyed.select("room", "parts", "node", "text").mapInArrow(frugal(partial(_sets, shingle=shingle)), "room long, parts int, node long, body binary"), "jaccard-sets")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
 
     def grouped(members: DataFrame, run) -> DataFrame:
         """members: (room, part, node, asks, body); those of a part come together in a task."""
-        return members.repartition(min(buckets, TASKS), "room", "part").sortWithinPartitions("room", "part").mapInArrow(partial(run, percent=percent), "u long, v long")
+        return members.repartition(min(buckets, TASKS), "room", "part").sortWithinPartitions("room", "part").mapInArrow(frugal(partial(run, percent=percent)), "u long, v long")
 
     def members(rows: DataFrame, parts, asks: bool) -> DataFrame:
         return rows.select("room", parts.alias("part"), "node", F.lit(asks).alias("asks"), "body")

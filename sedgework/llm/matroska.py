@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 # Element ids of the container format (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -219,7 +219,7 @@ def packets(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     n, t, at, s, size, k, cue = map(list, zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), b.schema.types[0]), pa.array(n, pa.int64()), pa.array(t, pa.int64()), pa.array(at, pa.int64()), pa.array(s, pa.int64()), pa.array(size, pa.int64()), pa.array(k, pa.bool_()), pa.array(cue, pa.int64())], names=names)
 
-    return df.select(F.col(id_col), F.col(media_col)).mapInArrow(run, f"{id_col} {kind}, packet long, track long, timestamp_ms long, start long, n_bytes long, keyframe boolean, cue_ms long")
+    return df.select(F.col(id_col), F.col(media_col)).mapInArrow(frugal(run), f"{id_col} {kind}, packet long, track long, timestamp_ms long, start long, n_bytes long, keyframe boolean, cue_ms long")
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -237,7 +237,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 part = b.slice(i, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([wrap(padded(t.as_py())[1]) for t in part.column(1)], pa.binary())], names=[id_col, "media"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, media binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), f"{id_col} {kind}, media binary")
 
 
 def digest(text: str | None) -> tuple:
@@ -262,7 +262,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cols = zip(*(digest(t.as_py()) for t in b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

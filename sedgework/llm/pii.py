@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import frugal, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 # Patterns of the contract (fixed values); look-behinds only skip places where no match can begin.
@@ -220,7 +220,7 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, min_conf: float = M
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, base spans and added spans."""
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_extract, f"_id {kind}, base array<struct<kind:string,start:int,end:int>>, found {_CAND}")
+    base = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(_extract), f"_id {kind}, base array<struct<kind:string,start:int,end:int>>, found {_CAND}")
     base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "pii-base")
     cand = base.select("_row", F.explode("found").alias("c")).select("_row", "c.*")
     best = trusted_patterns(cand.filter("part < 2").select("pattern", "value", "kind"))

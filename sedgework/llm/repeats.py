@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import slices, table
+from .common import frugal, slices, table
 
 WINDOW, SEED = 20, 4
 #: Bytes of text whose suffixes are combined before they are sent, and of text for each group of subtrees.
@@ -130,8 +130,10 @@ def _pack(groups: int):
             # windows in the order of their records
             src = np.repeat(head[order] - (np.cumsum(count) - count), count) + np.arange(len(live))
             full = window.astype("<u8")[src]
-            edge, at = np.searchsorted(grp[order], np.arange(groups + 1, dtype=H.U)), np.append(0, np.cumsum(count))
-            rows += [(g, rec[edge[g] : edge[g + 1]].tobytes(), full[at[edge[g]] : at[edge[g + 1]]].tobytes()) for g in range(groups) if edge[g] < edge[g + 1]]
+            grp = grp[order]
+            edge, at = np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), np.append(0, np.cumsum(count))
+            ends = np.append(edge[1:], len(grp))
+            rows += [(int(grp[a]), rec[a:b].tobytes(), full[at[a] : at[b]].tobytes()) for a, b in zip(edge.tolist(), ends.tolist())]
         yield out(rows)
 
     def run(batches):
@@ -207,11 +209,11 @@ def _result(doc, tag, start, n):
 
 def repeated_places(keyed: DataFrame, groups: int) -> DataFrame:
     """(doc, tag, start, n): windows at start .. start + n - 1 also start earlier.  keyed: (doc, tag, text)."""
-    packed = keyed.mapInArrow(_pack(groups), "grp int, body binary, windows binary")
+    packed = keyed.mapInArrow(frugal(_pack(groups)), "grp int, body binary, windows binary")
     tasks = min(groups, TASKS)
     # dealt by number and not by hash, so that no task gets several groups while others get none
     dealt = packed.repartitionById(tasks, F.pmod("grp", F.lit(tasks)).cast("int")).sortWithinPartitions("grp")
-    return dealt.mapInArrow(_subtrees, "doc long, tag long, start long, n long")
+    return dealt.mapInArrow(frugal(_subtrees), "doc long, tag long, start long, n long")
 
 
 def split_words(text: str) -> list[str]:
@@ -249,7 +251,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     found = repeated_places(rows.select(*key, "text"), groups)
     runs = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     out = rows.select("id", "text", *key).join(runs, ["doc", "tag"], "left").select("id", "text", "runs")
-    kept = out.mapInArrow(_kept, "id long, n_words long, n_removed long, kept string")
+    kept = out.mapInArrow(frugal(_kept), "id long, n_words long, n_removed long, kept string")
     return kept.withColumnRenamed("id", id_col)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_dir, table, text_or_empty
+from .common import fresh, frugal, shared_dir, table, text_or_empty
 
 # Patterns of the contract (fixed values), in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -72,7 +72,7 @@ def update_ledger(versions: DataFrame, ledger: str, text_col: str = "text", rule
     spark = versions.sparkSession
     seen = read_ledger(spark, ledger).filter(F.col("rules") == rules).select("blob")
     blobs = versions.select(blob_of(text_col).alias("blob"), text_or_empty(text_col).alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
-    fresh = blobs.join(seen, "blob", "left_anti").mapInArrow(_scan, f"blob string, findings {FINDINGS}")
+    fresh = blobs.join(seen, "blob", "left_anti").mapInArrow(frugal(_scan), f"blob string, findings {FINDINGS}")
     fresh.withColumn("rules", F.lit(rules)).write.mode("append").parquet(ledger)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import frugal, slices, table
 
 SIGN = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -458,7 +458,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     names=[id_col, "ids", "pieces", "starts", "ends"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), out)
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -474,7 +474,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 cols = list(zip(*m.digest_all([t.as_py() or "" for t in b.column(1).slice(x, y - x)])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def model_path() -> str:
