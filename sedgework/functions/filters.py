@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import PDF_TYPES
+from .vocab import CONNECTION_ERRORS, NETWORK_ERRORS, PDF_TYPES, TEMPORARY_SIGNS
 
 
 def relevant(title: Column, text: Column, owner: str, numbers: tuple[str, ...], books: tuple[str, ...], terms: tuple[str, ...]) -> Column:
@@ -44,9 +44,15 @@ def response_class(status: Column, content_type: Column, partial: Column) -> Col
     )
 
 
-def temporary_failure(name: Column, message: Column) -> Column:
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return F.lower(name).rlike("timeout|connection|chunkedencoding|incompleteread") | m.rlike("timed out|temporarily|reset by peer|http 5[0-9][0-9]|429")
+def temporary_failure(name: Column, message: Column, started: Column | None = None, part_size: Column | None = None) -> Column:
+    """Whether a transfer may go on: bytes were moved, or the error's name or message speaks of the network."""
+    said = F.lower(F.coalesce(message, F.lit("")))
+    out = F.coalesce(name.isin(*CONNECTION_ERRORS, *NETWORK_ERRORS), F.lit(False))
+    for sign in TEMPORARY_SIGNS:
+        out = out | F.contains(said, F.lit(sign))
+    if started is not None:
+        out = out | F.coalesce(started, F.lit(False))
+    return out if part_size is None else out | (F.coalesce(part_size, F.lit(0)) > 0)
 
 
 def verified_download(status: Column, integrity: Column, path: Column, wanted: Column, signature: Column, current: Column) -> Column:

@@ -22,15 +22,19 @@ class _Node:
     def __init__(self, name: str, attrs: dict, parent):
         self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
 
-    def walk(self):
-        for c in self.children:
-            if isinstance(c, _Node):
+    def walk(self, silent=frozenset(), strings: bool = False):
+        """All nodes below in page order, with ``strings`` the strings instead; none within ``silent`` elements."""
+        todo = self.children[::-1]  # no recursion: pages may nest without bound
+        while todo:
+            c = todo.pop()
+            node = isinstance(c, _Node)
+            if node != strings:
                 yield c
-                yield from c.walk()
+            if node and c.name not in silent:
+                todo += c.children[::-1]
 
-    def text(self, sep: str = " ") -> str:
-        parts = [c if isinstance(c, str) else c.text(sep) for c in self.children if isinstance(c, str) or c.name not in _SILENT]
-        return re.sub(r"\s+", " ", sep.join(p for p in parts if p)).strip()
+    def text(self) -> str:
+        return re.sub(r"\s+", " ", " ".join(self.walk(_SILENT, strings=True))).strip()
 
     def above(self, name: str):
         n = self.parent

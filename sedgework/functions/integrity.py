@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 HEADER, LEAST_BYTES, LEAST_FINAL = "%PDF-", 128, 2048
 
 
+def file_signature(size: Column, modified_ns: Column) -> Column:
+    """Size and time of the last change in nanoseconds; null for a file that isn't there."""
+    return F.when(size.isNotNull() & modified_ns.isNotNull(), F.array(size.cast("long"), modified_ns.cast("long")))
+
+
 def structure(content: Column, length: Column, pages: Column | None = None) -> Column:
     """(valid, error_type): the first check that fails.
 

@@ -28,10 +28,10 @@ def _trim_marks(s: Column) -> Column:
 
 
 def provenance(page: Column, item: Column, filename: Column) -> Column:
-    """Page and item: given ones above 0, else those of the file name, else null."""
-    found = lambda g: F.try_to_number(F.nullif(F.regexp_extract(filename, r"^page_([0-9]{3})_([0-9]{3})_", g), F.lit("")), F.lit("999"))
-    given = lambda x: F.when(x > 0, x)
-    return F.struct(F.coalesce(given(page), found(1).cast("int")).alias("page"), F.coalesce(given(item), found(2).cast("int")).alias("item"))
+    """Page and item, both from one place: the given ones if both are above 0, else the file name, else null."""
+    found = lambda g: F.try_to_number(F.nullif(F.regexp_extract(filename, r"(?i)^page_([0-9]{3})_([0-9]{3})_", g), F.lit("")), F.lit("999")).cast("int")
+    both = F.coalesce((page > 0) & (item > 0), F.lit(False))
+    return F.struct(F.when(both, page).otherwise(found(1)).alias("page"), F.when(both, item).otherwise(found(2)).alias("item"))
 
 
 def normalized_title(name: Column) -> Column:
@@ -73,7 +73,7 @@ def progress_text(done: Column, total: Column) -> Column:
 
 def rebase_path(p: Column, old: str, new: str) -> Column:
     q = F.replace(p, F.lit("\\"), F.lit("/"))
-    return F.when((q == old) | q.startswith(old + "/"), F.concat(F.lit(new), F.substring(q, len(old) + 1, 10_000))).otherwise(q)
+    return F.when((q == old) | q.startswith(old + "/"), F.concat(F.lit(new), F.substring(q, F.lit(len(old) + 1), F.length(q)))).otherwise(q)
 
 
 def destination_name(name: Column) -> Column:

@@ -20,7 +20,8 @@ def netloc(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.regexp_replace(netloc(url), r":[0-9]*$", "")
+    """Without port and the dots that may end a full name."""
+    return F.regexp_replace(F.regexp_replace(netloc(url), r":[0-9]*$", ""), "[.]+$", "")
 
 
 def path(url: Column) -> Column:
@@ -53,7 +54,7 @@ def http_with_host(url: Column) -> Column:
 def blocked(url: Column) -> Column:
     """Routes that are never followed: not http, no host, the machine itself, hidden services."""
     h = host(url)
-    return ~http_with_host(url) | h.isin("localhost", "::1", "[::1]", "0.0.0.0") | h.startswith("127.") | h.endswith(".localhost") | h.endswith(".onion")
+    return ~http_with_host(url) | h.isin("localhost", "::1", "[::1]", "0.0.0.0") | h.startswith("127.") | h.endswith(".localhost") | (h == "onion") | h.endswith(".onion")
 
 
 def _pairs(url: Column) -> Column:
@@ -66,9 +67,26 @@ def _identity(url: Column, pairs: Column) -> Column:
     return F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q))
 
 
+def _decoded(s: Column) -> Column:
+    return F.coalesce(F.try_url_decode(s), s)
+
+
+def _encoded(s: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def route_identity(url: Column) -> Column:
-    """Lower scheme and host, path, sorted query; no fragment."""
-    return _identity(url, _pairs(url))
+    """Lower scheme and host without the dot at its end, port, path without parameters, query sorted by decoded
+    names and values; no fragment.  What has no host or no sound port only loses its fragment."""
+    clean = defragment(url)
+    port = F.regexp_extract(netloc(clean), r":([^:\]]*)$", 1)
+    number = F.regexp_replace(port, "^0+", "")
+    sound = (host(clean) != "") & port.rlike("^[0-9]*$") & (F.coalesce(number.try_cast("long"), F.lit(0)) <= 65535) & (F.length(number) <= 5)
+    pairs = F.transform(_pairs(clean), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    q = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    where = F.concat(host(clean), F.when(number == "", "").otherwise(F.concat(F.lit(":"), number)))
+    out = F.concat(scheme(clean), F.lit("://"), where, F.regexp_replace(path(clean), ";[^/]*$", ""), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    return F.when(sound, out).otherwise(clean)
 
 
 def route_key(url: Column) -> Column:

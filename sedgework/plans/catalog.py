@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, coordination, events, extraction, filters, flows, integrity, ledger, ranking, scalars, scans, scheduling, verdicts  # noqa: F401
+from . import aggregates, coordination, events, extraction, filters, flows, integrity, ledger, ranking, scalars, scans, scheduling, sources, verdicts  # noqa: F401
 from .registry import QUERIES, SQL
 
 

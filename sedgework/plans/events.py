@@ -168,7 +168,7 @@ def o178(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("completions"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("o90_error_categories", "select k as key, count(user_id) as n from (select unnest(['HTTP_429','HTTP_5XX','TIMEOUT','CONNECTION','STALL','HTML','TRUNCATED','OTHER']) as k, unnest(range(8)) as i) left join events on event_type = 'error' and user_id % 7 = i group by k")
+@query("o90_error_categories", "select k as key, count(user_id) as n from (select unnest(['HTTP_500','HTTP_502','HTTP_503','HTTP_504','HTTP_429','connection_reset','timeout','connection_error']) as k, unnest(range(8)) as i) left join events on event_type = 'error' and user_id % 7 = i group by k")
 def o90(t):
     from ..functions.vocab import ERROR_CATEGORIES
 

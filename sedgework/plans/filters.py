@@ -84,12 +84,26 @@ def o58(t):
     return t.events.select("event_id", P.response_class(status, kind, m == 1).alias("cls"))
 
 
-@query("o59_temporary_failure", "select event_id, event_type in ('view', 'click', 'error') as temporary from events")
+#: (name, message, transfer had started, bytes there, whether temporary)
+_FAILURES = (
+    ("ReadTimeout", "x", False, 0, True),
+    ("DNSError", "x", False, 0, True),
+    ("SocketError", None, False, 0, True),
+    ("ConnectionResetError", "x", False, 0, True),
+    ("ValueError", "HTTP/2 stream 3 was not closed", False, 0, True),
+    ("ValueError", "Connection reset by peer", False, 0, True),
+    ("ValueError", "bad", True, 0, True),
+    ("ValueError", "bad", False, 7, True),
+    ("ValueError", "HTTP 503", False, 0, False),
+    ("ValueError", "429 or timed out, temporarily", False, 0, False),
+    ("ChunkedEncodingError", None, False, 0, False),
+)
+
+
+@query("o59_temporary_failure", "select event_id, event_id % 11 < 8 as temporary from events")
 def o59(t):
-    e = F.col("event_type")
-    name = F.when(e == "view", "ReadTimeout").otherwise("ValueError")
-    message = F.when(e == "click", "connection Reset by peer").when(e == "error", "HTTP 503").otherwise("bad")
-    return t.events.select("event_id", P.temporary_failure(name, message).alias("temporary"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(row[k]) for row in _FAILURES]), (F.col("event_id") % 11 + 1).cast("int"))
+    return t.events.select("event_id", P.temporary_failure(*map(pick, range(4))).alias("temporary"))
 
 
 @query("o59b_verified_download", "select o_orderkey, o_orderstatus = 'F' and o_custkey % 4 = 1 as verified from orders")

@@ -26,15 +26,43 @@ def _raw():
 _BODY = """'{"approved": ' || (quality = 1) || ', "score": ' || (doc_id * 37 % 101) || '}'"""
 
 
-@query("o60_clean_json", f"select doc_id, case when doc_id % 6 < 3 then {_BODY} end as body from labels")
+#: Responses with the JSON that they hold, and with the list of objects that they give.
+_RESPONSES = (
+    ("```[]```", "[]", "[]"),
+    ("```JSON\r\n[]\r\n```", "[]", "[]"),
+    ("```json []```", "[]", "[]"),
+    ("```json5\n{}\n```", None, "[]"),
+    ('[{"a": 1}] done', None, '[{"a": 1}]'),
+    ('{"a": [{"x": 1}]}', '{"a": [{"x": 1}]}', "[]"),
+    ('```text\nintro\n```\n```json\n[{"t": "b"}]\n```', '[{"t": "b"}]', '[{"t": "b"}]'),
+    ('```json\n[{"t":}]\n```', None, "[]"),
+    ('[{"t": "b"}', None, "[]"),
+    ('```json\n["b"]\n```', '["b"]', "[]"),
+    ('First [{bad}] then [{"t": "a ] b", "d": [{"n": "} and \\" ]"}]}] or [{"u": 1}]', None, '[{"t": "a ] b", "d": [{"n": "} and \\" ]"}]}]'),
+    ('["```json and ```"]', '["```json and ```"]', "[]"),
+    ("null", "null", "[]"),
+)
+
+
+def _response():
+    return F.element_at(F.array(*[F.lit(r[0]) for r in _RESPONSES]), (F.floor(F.col("doc_id") / 7) % len(_RESPONSES) + 1).cast("int"))
+
+
+def _listed(k: int) -> str:
+    return "[" + ", ".join("null" if r[k] is None else f"'{r[k]}'" for r in _RESPONSES) + f"][cast(doc_id // 7 % {len(_RESPONSES)} as int) + 1]"
+
+
+@query("o60_clean_json", f"select doc_id, case when doc_id % 7 = 6 then {_listed(1)} when doc_id % 6 < 3 then {_BODY} end as body from labels")
 def o60(t):
-    return t.labels.select("doc_id", V.clean_json(_raw()).alias("body"))
+    raw = F.when(F.col("doc_id") % 7 == 6, _response()).otherwise(_raw())
+    return t.labels.select("doc_id", V.clean_json(raw).alias("body"))
 
 
-@query("o61_recover_array", f"select doc_id, case when doc_id % 2 = 0 then '[' || {_BODY} || ']' else '[]' end as body from labels")
+@query("o61_recover_array", f"select doc_id, case when doc_id % 7 = 6 then {_listed(2)} when doc_id % 2 = 0 then '[' || {_BODY} || ']' else '[]' end as body from labels")
 def o61(t):
     body = F.format_string('{"approved": %s, "score": %d}', (F.col("quality") == 1).cast("string"), (F.col("doc_id") * 37 % 101).cast("int"))
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("see [x] and [{bad} then [ "), body, F.lit("] end"))).otherwise("[1, 2] only")
+    raw = F.when(F.col("doc_id") % 7 == 6, _response()).otherwise(raw)
     return t.labels.select("doc_id", V.recover_array(raw).alias("body"))
 
 
@@ -43,9 +71,9 @@ def o62(t):
     return t.labels.select("doc_id", V.recover_object(_raw()).alias("body"))
 
 
-@query("o193_verdict_list", "select doc_id, '[]' as body from labels where doc_id % 6 = 5")
+@query("o193_verdict_list", f"select doc_id, {_listed(2)} as body from labels")
 def o193(t):
-    return t.labels.filter("doc_id % 6 = 5").select("doc_id", V.recover_array(_raw().cast("string")).alias("body"))
+    return t.labels.select("doc_id", V.recover_array(_response()).alias("body"))
 
 
 def _batches(t):

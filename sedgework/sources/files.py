@@ -6,6 +6,8 @@ while it is being read.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +34,21 @@ def read_page_cache(spark: SparkSession, folder: str, wanted: DataFrame | None =
     return pages.join(keys.distinct(), ["bucket", "key"], "left_semi")
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, entry fields) of a ledger document {"downloads": {filename: entry}}; a malformed one is empty."""
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(f"downloads map<string,{LEDGER_ENTRY}>, _corrupt_record string").json(path)
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; in local mode without one, a temporary folder."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base:
+        if not (conf.get("spark.master") or "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sedgework-")
+    return f"{base.rstrip('/')}/sedgework/{name}-{uuid.uuid4().hex}"
+
+
+def read_ledger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(filename, entry fields) of ledger documents {"downloads": {filename: entry}}, one in a file or one in each of
+    its ``lines``; a malformed one is empty."""
+    raw = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").schema(f"downloads map<string,{LEDGER_ENTRY}>, _corrupt_record string").json(path)
     return raw.select(F.explode("downloads").alias("filename", "e")).select("filename", "e.*")
 
 

@@ -100,7 +100,7 @@ def test_names(spark):
     got = [r[0] for r in df.collect()]
     assert got[:2] == ["page_003_012_A_B__c_d.pdf", "page_003_012_document.pdf"] and len(got[2]) == 13 + 100 + 4
     p = spark.createDataFrame([("page_004_005_x.pdf", None), ("other.pdf", None), ("page_004_005_x.pdf", 9)], "f string, p int").select(text.provenance(F.col("p"), F.lit(None).cast("int"), F.col("f")).alias("s")).select("s.*")
-    assert [tuple(r) for r in p.collect()] == [(4, 5), (None, None), (9, 5)]
+    assert [tuple(r) for r in p.collect()] == [(4, 5), (None, None), (4, 5)]  # both from one place
 
 
 def test_states_of_a_job(spark):
@@ -195,3 +195,17 @@ def test_parser_and_event_stream(spark, tmp_path):
     q = S.event_stream(spark, str(tmp_path / "e"), "kind string, count int").writeStream.format("memory").queryName("emitted").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("emitted").collect())) == [("x", 0), ("y", 0)]
+
+
+def test_deep_pages_are_read():
+    deep = "<div>" * 50_000 + "<table><tr><td><a href='/main/x'>[1]</a> text</td></tr></table>" + "</div>" * 50_000
+    assert H.tree(deep).text() == "[1] text"
+    assert len(H.mirror_rows(deep, "http://h.example/")) == 1 and H.document_rows(deep, "http://h.example/")[0]["link"] == "http://h.example/main/x"
+    assert H.download_links(deep, "http://h.example/") == ["http://h.example/main/x"]
+
+
+def test_values_in_prose():
+    f = verdicts.first_value
+    assert f('{"a": [{"x": 1}]}', list) == "[]" and f('note {"a": [{"x": 1}]}', list) == '[{"x": 1}]'
+    assert f('x {"a": "}"} y', dict) == '{"a": "}"}' and f("{bad} {}", dict) == "{}" and f("none", dict) is None
+    assert verdicts.json_part("```json5\n5```") is None and verdicts.json_part("a ```[1]``` b") == "[1]" and verdicts.json_part(None) is None
