@@ -177,7 +177,7 @@ def _chunks(batches, limit: int = CHUNK):
 _HEAD = np.dtype([("node", "<i8"), ("count", "<u2"), ("size", "<u2")])
 #: Group counts travel in four bits, 15 for all above 14 (UNKNOWN when read); sets of up to SMALL shingles have 32 of
 #: them, larger ones FINE.
-SMALL, FINE, UNKNOWN = 224, 128, 255
+SMALL, FINE, UNKNOWN = 2000, 64, 255
 _FULL = 65535
 
 
