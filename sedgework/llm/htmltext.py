@@ -346,6 +346,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "html-parsed")
     host = lambda url: F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     hosts = parsed.groupBy(host("key.url").alias("host")).agg(F.ceil(F.count("*") / group_pages).cast("long").alias("groups"), F.count("blocks").alias("loose")).filter("loose > 0").drop("loose")
+    # written, so that its size is known: a small one is broadcast and no page is shuffled for the join
+    hosts = materialize(hosts, "html-hosts")
     loose = parsed.filter(F.col("blocks").isNotNull()).select("row", "key", "blocks", host("key.url").alias("host"))
     own = loose.join(hosts, "host").select("host", "groups", "row", F.lit(False).alias("main"), F.lit(None).cast("long").alias("whole"), "blocks")
     others = pages.select(host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).alias("html")).join(hosts, "host").select("host", "groups", "html")
