@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import htmltext, jaccard, licenses, matroska, mixing, pii, quality, repeats, secrets, sentencepiece
 
 #: Query name -> module that holds it.
 MODULES = {
-    "op1_pii": "pii",
-    "op2_substring_dedup": "repeats",
-    "op3_sentencepiece": "sentencepiece",
-    "op4_license_scans": "licenses",
-    "op5_mixing": "mixing",
-    "op6_secret_scans": "secrets",
-    "op7_quality_rules": "quality",
-    "op8_media_columns": "matroska",
-    "op9_ngram_jaccard": "jaccard",
-    "op10_html_extraction": "htmltext",
+    "op1_pii": pii,
+    "op2_substring_dedup": repeats,
+    "op3_sentencepiece": sentencepiece,
+    "op4_license_scans": licenses,
+    "op5_mixing": mixing,
+    "op6_secret_scans": secrets,
+    "op7_quality_rules": quality,
+    "op8_media_columns": matroska,
+    "op9_ngram_jaccard": jaccard,
+    "op10_html_extraction": htmltext,
 }
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
+    return {name: getattr(module, name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {}
-    for name, module in MODULES.items():
-        sql = getattr(import_module(f"{__package__}.{module}"), "SQL", {})
-        if name in sql:
-            found[name] = sql[name]
-    return found
+    return {name: module.SQL[name] for name, module in MODULES.items() if name in getattr(module, "SQL", {})}
