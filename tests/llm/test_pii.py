@@ -76,3 +76,18 @@ def test_unseen_identifiers_with_blanks(spark):
     # addresses hold no blanks: of a run its tokens are marked
     got = added_by_context(spark, "from host 10.0.0.{}", ["from host 300.1.2.3 17 times", "from host 300.1.2 or"])
     assert got == [[("ip", "300.1.2.3")], [("ip", "300.1.2")]]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("漢" * 1_000_000 + " 5 ab@c.de", "a@b.cc," * 50_000, "x1 " * 100_000, "@" * 300_000, "(" * 500_000 + "5"):
+        op.candidates(t, op.base_spans(t))
+    assert time.time() - began < 20
+
+
+def test_words_before_a_place_in_a_run():
+    text = "ask Ann,a@b.cc,c@d.ee or e@f.gg"
+    found = op.candidates(text, op.base_spans(text))
+    assert [c["pattern"] for c in found] == ["ask ann", "ask 0", "0 or"]
