@@ -49,10 +49,12 @@ def o80b(t):
 
 @query(
     "o29_preview",
-    f"""with c as ({_CHUNKS.replace("1400", "500")}), u as (select *, case when length(chunk) >= 80 then length(chunk) else 0 end as used, row_number() over (partition by doc_id order by chunk_no) as n from c),
- b as (select *, coalesce(sum(used) over (partition by doc_id order by chunk_no rows between unbounded preceding and 1 preceding), 0) as before from u),
- k as (select *, greatest(0, least(used, 12000 - before)) as take from b where n <= 3 or before < 2500)
- select doc_id, cast(sum(take) as bigint) as characters, count(*) filter (where take > 0) as pages_with_text, string_agg(cast(chunk_no as varchar), ',' order by chunk_no) as pages_sampled, case when sum(take) >= 2500 and count(*) filter (where take > 0) >= 2 then 'good' when sum(take) > 0 then 'weak' else 'empty' end as quality from k group by doc_id""",
+    f"""with c as ({_CHUNKS.replace("1400", "500")}), u as (select doc_id, chunk_no, lower(trim(chunk)) as t, case when length(trim(chunk)) >= 80 then length(trim(chunk)) else 0 end as used, row_number() over (partition by doc_id order by chunk_no) as n from c),
+ b as (select *, coalesce(sum(used) over (partition by doc_id order by chunk_no rows between unbounded preceding and 1 preceding), 0) as before from u where n <= 10),
+ x as (select *, used > 0 and ((n >= 3 and least(12000, before + used) >= 2500) or before >= 12000) as ends, used > 0 and (contains(t, 'table of contents') or contains(left(t, 300), 'contents')) as toc from b),
+ k as (select *, greatest(0, least(used, 12000 - before)) as take, coalesce(bool_or(ends) over (partition by doc_id order by chunk_no rows between unbounded preceding and 1 preceding), false) as ended from x)
+ select doc_id, cast(sum(take) as bigint) as characters, count(*) filter (where take > 0) as pages_with_text, string_agg(cast(chunk_no as varchar), ',' order by chunk_no) as pages_sampled, coalesce(string_agg(cast(chunk_no as varchar), ',' order by chunk_no) filter (where toc), '') as toc_pages,
+ case when sum(take) >= 2500 and count(*) filter (where take > 0) >= 2 then 'good' when sum(take) > 0 then 'weak' else 'empty' end as quality from k where not ended group by doc_id""",
 )
 def o29(t):
     return E.preview(E.chunks(t.documents, size=500), "doc_id", "chunk_no", "chunk")

@@ -209,3 +209,31 @@ def test_values_in_prose():
     assert f('{"a": [{"x": 1}]}', list) == "[]" and f('note {"a": [{"x": 1}]}', list) == '[{"x": 1}]'
     assert f('x {"a": "}"} y', dict) == '{"a": "}"}' and f("{bad} {}", dict) == "{}" and f("none", dict) is None
     assert verdicts.json_part("```json5\n5```") is None and verdicts.json_part("a ```[1]``` b") == "[1]" and verdicts.json_part(None) is None
+
+
+def test_evidence_is_row_local(spark):
+    """Documents are ranked inside their rows: no exchange; ties go to earlier chunks; characters outside the BMP count as one."""
+    df = spark.createDataFrame([(1, "\U0001f600" * 1400 + "heat " * 300), (1, "heat"), (2, None), (3, "")], "doc_id long, text string")
+    for op in (evidence.topk, evidence.evidence):
+        assert "Exchange" not in op(df, {"q": ("heat",)})._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.rank, r.chunk_no, r.score, len(r.chunk)) for r in evidence.topk(df, {"q": ("heat",)}, k=2).collect())
+    assert got == [(1, 1, 0, 1.0, 4), (1, 1, 1, 1.0, 1400), (1, 2, 2, 1.0, 100)]
+
+
+def test_preview_rules(spark):
+    """Short pages are listed, add nothing and don't end the sampling; the limit does; contents pages are marked."""
+    long, short = "x" * 1300, " y "
+    docs = {
+        "late": [long, long, short, short, "Contents " + long, long],
+        "full": ["x" * 12000, short, "table of contents " + long, long],
+        "many": [short] * 12,
+        "mark": ["x" * 400 + " contents", "x" * 400 + " Table of Contents", None],
+    }
+    rows = [(k, i + 1, t) for k, ts in docs.items() for i, t in enumerate(ts)]
+    got = {r.k: tuple(r)[1:] for r in evidence.preview(spark.createDataFrame(rows, "k string, page int, body string"), "k", "page", "body").collect()}
+    assert got == {
+        "late": (3909, 3, "1,2,3,4,5", "5", "good"),
+        "full": (12000, 1, "1,2,3", "3", "weak"),
+        "many": (0, 0, "1,2,3,4,5,6,7,8,9,10", "", "empty"),
+        "mark": (827, 2, "1,2,3", "2", "weak"),
+    }
