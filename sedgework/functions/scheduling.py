@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import MAX_ATTEMPTS, MAX_HANDOFFS
+from .vocab import HANDOFF_DELAY, MAX_ATTEMPTS, MAX_HANDOFFS, RECOVERY_DELAY
 
 
 def backoff(base: Column, failures: Column) -> Column:
@@ -42,6 +42,32 @@ def next_state(outcome: Column, partial: Column, attempt: Column, handoffs: Colu
     )
 
 
+def next_job(
+    outcome: Column, partial: Column, attempt: Column, handoffs: Column, permanent: Column, failures: Column, until: Column, now: Column,
+    reason: Column, retry_class: Column | None = None, rate_limited: Column | None = None, most: int = MAX_ATTEMPTS,
+) -> Column:
+    """``next_state`` with what the next run needs: (state, attempt, handoffs, failures, not_before, reason).
+
+    Times are seconds.  ``until`` is the latest deadline that hosts and routes gave (null: none) and is never
+    undercut.  A deferral is no failure: it waits 0.05 s at least, under its retry class if it has one.  A hand-off
+    waits HANDOFF_DELAY, a recovery RECOVERY_DELAY doubled with each failure in a row; what failed for good waits for nothing.
+    """
+    limited = F.coalesce(rate_limited, F.lit(False)) if rate_limited is not None else F.lit(False)
+    n = next_state(outcome, partial, attempt, handoffs, permanent, most)
+    deferred = n["state"].startswith("DEFERRED")
+    state = F.when(deferred, F.coalesce(retry_class if retry_class is not None else F.lit(None), F.when(limited, "DEFERRED_RATE_LIMIT"), n["state"])).otherwise(n["state"])
+    count = (F.coalesce(failures, F.lit(0)) + 1).cast("int")
+    wait = F.when(deferred, 0.05).when(n["state"] == "HANDOFF_READY", HANDOFF_DELAY).otherwise(backoff(F.lit(RECOVERY_DELAY), count))
+    not_before = F.when(n["state"] == "PERMANENTLY_FAILED", 0.0).otherwise(F.greatest(until.cast("double"), now + wait))
+    why = F.coalesce(reason, F.when(deferred, "Admission deferred").otherwise("Transfer did not complete"))
+    goes_on = n["state"].isNotNull()
+    return F.struct(
+        state.alias("state"), n["attempt"].alias("attempt"), n["handoffs"].alias("handoffs"),
+        F.when(goes_on & ~deferred, count).otherwise(F.coalesce(failures, F.lit(0))).cast("int").alias("failures"),
+        F.when(goes_on, not_before).alias("not_before"), F.when(goes_on, why).alias("reason"),
+    )
+
+
 def attempt_guard(attempt: Column, most: int = MAX_ATTEMPTS) -> Column:
     return F.struct(F.greatest(F.lit(1), F.least(F.lit(most), attempt)).alias("attempt"), F.when(attempt.between(1, most), "DOWNLOADING").otherwise("PERMANENTLY_FAILED").alias("status"))
 

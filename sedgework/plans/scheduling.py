@@ -51,13 +51,21 @@ _OUT = "case user_id % 4 when 0 then 'success' when 1 then 'deferred' else 'fail
 
 @query(
     "o126_next_state",
-    f"""with e as (select event_id, {_OUT} as outcome, event_id % 3 = 0 as part, cast(event_id % 5 + 1 as int) as a, cast(event_id % 4 as int) as h, event_type = 'error' as perm from events)
- select event_id, case when outcome = 'success' then null when outcome = 'deferred' then 'DEFERRED_ROUTE' when part and not perm and h < 2 then 'HANDOFF_READY' when perm or a >= 5 then 'PERMANENTLY_FAILED' else 'RECOVERY_READY' end as state,
- case when outcome in ('success', 'deferred') or (part and not perm and h < 2) or perm or a >= 5 then a else a + 1 end as attempt, case when outcome in ('success', 'deferred') then h when part and not perm and h < 2 then h + 1 when perm or a >= 5 then h else 0 end as handoffs from e""",
+    f"""with e as (select event_id, user_id, {_OUT} as outcome, event_id % 3 = 0 as part, cast(event_id % 5 + 1 as int) as a, cast(event_id % 4 as int) as h, event_type = 'error' as perm, cast(event_id % 9 as int) as f,
+   case when event_id % 2 = 0 then cast(user_id % 700 as double) end as until, 100.0::double as now, event_id % 6 = 1 as slow, case when event_id % 7 = 0 then 'DEFERRED_HOST' end as class, case when event_id % 8 > 0 then 'r' || event_id % 8 end as why from events),
+ k as (select *, case when outcome = 'success' then 'none' when outcome = 'deferred' then 'later' when part and not perm and h < 2 then 'handoff' when perm or a >= 5 then 'end' else 'again' end as k from e),
+ w as (select *, case k when 'later' then now + 0.05::double when 'handoff' then now + 1.0::double else now + least(300.0::double, 5.0::double * pow(2, least(f, 6))) end as soon from k)
+ select event_id, case k when 'none' then null when 'later' then coalesce(class, case when slow then 'DEFERRED_RATE_LIMIT' else 'DEFERRED_ROUTE' end) when 'handoff' then 'HANDOFF_READY' when 'end' then 'PERMANENTLY_FAILED' else 'RECOVERY_READY' end as state,
+ case when k = 'again' then a + 1 else a end as attempt, case k when 'handoff' then h + 1 when 'again' then 0 else h end as handoffs, case when k in ('none', 'later') then f else f + 1 end as failures,
+ case when k = 'none' then null when k = 'end' then 0.0::double else greatest(coalesce(until, soon), soon) end as not_before, case when k <> 'none' then coalesce(why, case when k = 'later' then 'Admission deferred' else 'Transfer did not complete' end) end as reason from w""",
 )
 def o126(t):
     i = F.col("event_id")
-    n = S.next_state(F.expr(_OUT), i % 3 == 0, (i % 5 + 1).cast("int"), (i % 4).cast("int"), F.col("event_type") == "error")
+    until, why = F.when(i % 2 == 0, (F.col("user_id") % 700).cast("double")), F.when(i % 8 > 0, F.concat(F.lit("r"), (i % 8).cast("string")))
+    n = S.next_job(
+        F.expr(_OUT), i % 3 == 0, (i % 5 + 1).cast("int"), (i % 4).cast("int"), F.col("event_type") == "error", (i % 9).cast("int"), until, F.lit(100.0),
+        why, F.when(i % 7 == 0, "DEFERRED_HOST"), i % 6 == 1,
+    )
     return t.events.select("event_id", n.alias("n")).select("event_id", "n.*")
 
 
