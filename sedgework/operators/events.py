@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def clamped_gauge(df: DataFrame, key: list[str], order: list[str], delta: Column, out: str = "gauge") -> DataFrame:
@@ -59,24 +60,42 @@ def stalls(df: DataFrame, worker: str, order: list[str], ts: str, active: Column
     return df.withColumn("gap_us", gap).filter(active & (F.col("gap_us") >= max(1, seconds) * 1_000_000))
 
 
-def throttle(df: DataFrame, key: str, schema: str, seconds: float = 2.0, size: int = 8 << 20) -> DataFrame:
-    """Offsets to persist: the first, then when ``seconds`` passed or ``size`` bytes came since the last success.
+def progress_marks(df: DataFrame, key: str, seconds: float = 2.0, size: int = 8 << 20, event_seconds: float = 0.5) -> DataFrame:
+    """``df`` with persist and emit: what a progress report leads to.
+
+    persist: the first report of a key, then when ``seconds`` passed or ``size`` bytes came since the last successful
+    write; an offset that goes back is counted from there.  emit: an event for the first report and then
+    after ``event_seconds`` at least.
+    A greedy scan in order, which no window can express.  Rows come sorted by (key, seq) and the scan keeps three
+    numbers, so a key of any length is read batch by batch.  Null keys are one key.
 
-    A greedy scan in order, which no window can express: rows of a key are handled by one pandas call.
-    df: (key, seq, t double, offset long, ok boolean).
+    df: the key, then seq, t double, offset long, ok boolean.
     """
+    schema = StructType([*df.schema.fields, StructField("persist", BooleanType()), StructField("emit", BooleanType())])
+
+    def run(batches):
+        at, fresh, last_t, last_o, last_event = None, True, None, None, None
+        for pdf in batches:
+            persist, emit = [], []
+            for k, t, o, ok in zip(pdf[key].astype(object).where(pdf[key].notna(), None), pdf["t"], pdf["offset"], pdf["ok"]):
+                if fresh or k != at:
+                    at, fresh, last_t, last_o, last_event = k, False, None, None, None
+                if last_o is not None and o < last_o:
+                    last_o = o
+                due = last_t is None or t - last_t >= seconds or o - last_o >= size
+                if due and ok:
+                    last_t, last_o = t, o
+                shown = last_event is None or t - last_event >= event_seconds
+                if shown:
+                    last_event = t
+                persist.append(bool(due))
+                emit.append(bool(shown))
+            yield pdf.assign(persist=persist, emit=emit)
+
+    return df.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, schema)
 
-    def run(pdf):
-        pdf = pdf.sort_values("seq")
-        last_t = last_o = None
-        keep = []
-        for t, o, ok in zip(pdf["t"], pdf["offset"], pdf["ok"]):
-            if last_o is not None and o < last_o:
-                last_o = o  # the offset went back: count from there
-            due = last_t is None or t - last_t >= seconds or o - last_o >= size
-            keep.append(bool(due))
-            if due and ok:
-                last_t, last_o = t, o
-        return pdf[keep]
-
-    return df.groupBy(key).applyInPandas(run, schema)
+
+def throttle(df: DataFrame, key: str, schema: str, seconds: float = 2.0, size: int = 8 << 20) -> DataFrame:
+    """Offsets to persist, see ``progress_marks``.  df: (key, seq, t double, offset long, ok boolean), named in ``schema``."""
+    marks = progress_marks(df, key, seconds, size)
+    return marks.filter("persist").select(*StructType.fromDDL(schema).names)

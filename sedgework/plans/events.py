@@ -86,10 +86,24 @@ def o109(t):
     return t.events.select("event_id", F.when(F.col("event_type").isin("view", "purchase"), "activity").otherwise("debug").alias("stream"), m.alias("message"))
 
 
-@query("o110_throttled_progress")
+_MARKS = """with recursive e as (select user_id, event_id as seq, epoch_us(ts) / 1e6 as t, cast(floor(value * 100000) as bigint) as "offset", event_type <> 'error' as ok, row_number() over (partition by user_id order by event_id) as n from events),
+ s as (select *, true as persist, true as emit, case when ok then t end as lt, case when ok then "offset" end as lo, t as le from e where n = 1
+  union all select x.* exclude (p_lt, p_lo, p_le), case when persist and ok then t else p_lt end, case when persist and ok then "offset" else p_lo end, case when emit then t else p_le end
+  from (select e.*, s.lt as p_lt, least(s.lo, e."offset") as p_lo, s.le as p_le, s.lt is null or e.t - s.lt >= 100000 or e."offset" - least(s.lo, e."offset") >= 8388608 as persist, e.t - s.le >= 3600 as emit from s join e on e.user_id = s.user_id and e.n = s.n + 1) x)"""
+
+
+def _reports(t):
+    return t.events.select("user_id", F.col("event_id").alias("seq"), (_us() / 1e6).alias("t"), F.floor(F.col("value") * 100_000).cast("long").alias("offset"), (F.col("event_type") != "error").alias("ok"))
+
+
+@query("o110_throttled_progress", _MARKS + ' select user_id, seq, t, "offset", ok from s where persist')
 def o110(t):
-    rows = t.events.select("user_id", F.col("event_id").alias("seq"), (_us() / 1e6).alias("t"), F.floor(F.col("value") * 100_000).cast("long").alias("offset"), (F.col("event_type") != "error").alias("ok"))
-    return E.throttle(rows, "user_id", "user_id long, seq long, t double, offset long, ok boolean", 100_000.0, 8 << 20)
+    return E.throttle(_reports(t), "user_id", "user_id long, seq long, t double, offset long, ok boolean", 100_000.0, 8 << 20)
+
+
+@query("o110_progress_marks", _MARKS + " select user_id, seq, persist, emit from s")
+def o110b(t):
+    return E.progress_marks(_reports(t), "user_id", 100_000.0, 8 << 20, 3600.0).select("user_id", "seq", "persist", "emit")
 
 
 _FRESH = "with o as (select *, cast(floor(value * 100) as bigint) as o, user_id * 10 as b from events), h as (select *, max(o) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as h from o), f as (select *, case when event_type <> 'error' then greatest(0, o - greatest(b, coalesce(h, b))) else 0 end as fresh from h)"

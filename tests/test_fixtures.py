@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedgework.functions import html as H
 from sedgework.functions import scheduling, text, urls, verdicts
 from sedgework.functions import filters as P
-from sedgework.operators import evidence, ledger, recovery
+from sedgework.operators import events, evidence, ledger, recovery
 from sedgework.operators.dedup import content_duplicates
 from sedgework.sources import files as S
 
@@ -237,3 +237,27 @@ def test_preview_rules(spark):
         "many": (0, 0, "1,2,3,4,5,6,7,8,9,10", "", "empty"),
         "mark": (827, 2, "1,2,3", "2", "weak"),
     }
+
+
+def test_progress_marks_over_batches(spark):
+    """A key spread over many batches keeps its state; null keys are one key; events have a rule of their own."""
+    mb = 1 << 20
+    rows = [(1, 1, 0.0, 0, True), (1, 2, 0.4, mb, True), (1, 3, 0.6, 9 * mb, False), (1, 4, 0.7, 9 * mb, True), (1, 5, 1.2, 2 * mb, True), (1, 6, 1.3, 10 * mb, True), (1, 7, 3.4, 10 * mb, True), (None, 1, 5.0, 0, True), (None, 2, 5.1, 0, True)]
+    df = spark.createDataFrame(rows, "k long, seq long, t double, offset long, ok boolean")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {(r.k, r.seq): (r.persist, r.emit) for r in events.progress_marks(df, "k").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [got[1, s] for s in range(1, 8)] == [(True, True), (False, False), (True, True), (True, False), (False, True), (True, False), (True, True)]
+    assert got[None, 1] == (True, True) and got[None, 2] == (False, False)
+
+
+def test_next_job_deadlines(spark):
+    """A deferral counts no failure and waits 0.05 s, a recovery doubles its delay, given deadlines are kept."""
+    rows = [("deferred", 1, 0, 7, None), ("failed", 2, 2, 3, None), ("failed", 2, 2, 3, 500.0), ("failed", 5, 2, 0, 500.0), ("success", 1, 0, 2, 9.0)]
+    df = spark.createDataFrame(rows, "o string, a int, h int, f int, u double").coalesce(1)
+    n = scheduling.next_job(F.col("o"), F.lit(True), F.col("a"), F.col("h"), F.lit(False), F.col("f"), F.col("u"), F.lit(100.0), F.lit(None).cast("string"))
+    got = [(r.state, r.attempt, r.failures, r.not_before) for r in df.select(n.alias("n")).select("n.*").collect()]
+    assert got == [("DEFERRED_ROUTE", 1, 7, 100.05), ("RECOVERY_READY", 3, 4, 140.0), ("RECOVERY_READY", 3, 4, 500.0), ("PERMANENTLY_FAILED", 5, 1, 0.0), (None, 1, 2, None)]
