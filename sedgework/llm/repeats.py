@@ -8,6 +8,11 @@ words alone, so suffixes that share WINDOW words have equal prefixes and land in
 neighbouring suffixes that end in the same place travel as one record (about nine suffixes each).
 Groups go to as many tasks as memory asks for.
 
+A first pass over all texts counts the suffixes of each prefix, by BUCKETS buckets of its hash, whatever the size
+of the input.  Where a bucket holds more than memory allows, its prefixes are lengthened to the full depth: each
+suffix then travels alone and goes to the group that its own window names, so that the different
+windows around one frequent gram spread over all groups, while equal windows still meet.
+
 A task sorts its suffixes by (prefix, word hash of depth WINDOW), which lists the subtrees' leaves in
 order; each run of equal entries is a deep internal node.  Of its leaves the earliest (smallest
 document, then place) stays, all others are repeats; chains of repeats are the maximal ones.  Labels
@@ -38,6 +43,8 @@ WINDOW, SEED = 20, 4
 #: Bytes of text whose suffixes are combined before they are sent, and of text for each group of subtrees.
 #: Groups are dealt to at most TASKS tasks, which sort them and take one after the other.
 CHUNK, GROUP, TASKS = 8 << 20, 16 << 20, 20_000
+#: Buckets of prefix hashes that are counted, and the suffixes (and multiple of the mean) above which one is lengthened.
+BUCKETS, HOT, UNEVEN = 1 << 18, 1 << 20, 8
 _LAST = 2**63 - 1
 _DTYPE = np.dtype([("prefix", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("count", "<u1")])
 
@@ -89,7 +96,39 @@ def _runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarr
     return doc, tag, start, start
 
 
-def _pack(groups: int):
+def _bucket(prefix: np.ndarray) -> np.ndarray:
+    return (prefix >> H.U(40)).astype(np.int64) % BUCKETS
+
+
+def _count(batches):
+    """(bucket, n): suffixes of each bucket of prefixes in a task's texts; bucket -1 holds the bytes of text."""
+    total, size = np.zeros(BUCKETS, np.int64), 0
+    for b in batches:
+        texts = [(x.as_py() or "").encode("utf-8") for x in b.column(0)]
+        size += sum(map(len, texts))
+        for lo, hi in slices([len(t) for t in texts], H.SLICE):
+            h, counts = H.words(texts[lo:hi])
+            if len(h) >= WINDOW:
+                row = np.repeat(np.arange(len(counts)), counts)
+                whole = row[: len(h) - WINDOW + 1] == row[WINDOW - 1 :]
+                least, _ = H.window_min(H.grams(h, SEED), WINDOW - SEED + 1)
+                total += np.bincount(_bucket(least[: len(whole)][whole]), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], size), pa.int64())], names=["bucket", "n"])
+
+
+def long_prefixes(texts: DataFrame, hot: int = HOT) -> tuple[int, np.ndarray]:
+    """Bytes of all texts (one column), and of each bucket whether its prefixes are lengthened; both of bounded size."""
+    n = texts.mapInArrow(frugal(_count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    real = F.col("bucket") >= 0
+    got = n.agg(F.sum(F.when(~real, F.col("n"))).alias("size"), F.sum(F.when(real, F.col("n"))).alias("total"), F.collect_list(F.when(real & (F.col("n") > hot), F.struct("bucket", "n"))).alias("large")).first()
+    longer = np.zeros(BUCKETS, bool)
+    longer[[r["bucket"] for r in got["large"] if r["n"] > UNEVEN * got["total"] / BUCKETS]] = True
+    return got["size"] or 0, longer
+
+
+def _pack(groups: int, longer: np.ndarray | None = None):
+    longer = np.packbits(np.zeros(BUCKETS, bool) if longer is None else longer)
     names = ["grp", "body", "windows"]
 
     def out(rows):
@@ -118,12 +157,14 @@ def _pack(groups: int):
         live = np.flatnonzero(~late)
         prefix, window, row, start, anchor = prefix[live], window[live], row[live], start[live], (start + offset)[live]
         if len(live):
-            new = np.append(True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1))
+            bucket = _bucket(prefix)
+            alone = (longer[bucket >> 3] >> (7 - (bucket & 7))) & 1 == 1
+            new = alone | np.append(True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1))
             head = np.flatnonzero(new)
             rec = np.zeros(len(head), _DTYPE)
             rec["prefix"], rec["doc"], rec["tag"], rec["start"] = prefix[head], ids[row[head]], tags[row[head]], start[head]
             rec["count"] = np.diff(np.append(head, len(live)))
-            grp = (rec["prefix"] >> H.U(20)) % H.U(groups)
+            grp = np.where(alone[head], H.mix(window[head]), rec["prefix"] >> H.U(20)) % H.U(groups)
             order = np.argsort(grp, kind="stable")
             rec = rec[order]
             count = rec["count"].astype(np.int64)
@@ -207,9 +248,9 @@ def _result(doc, tag, start, n):
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())], names=["doc", "tag", "start", "n"])
 
 
-def repeated_places(keyed: DataFrame, groups: int) -> DataFrame:
+def repeated_places(keyed: DataFrame, groups: int, longer: np.ndarray) -> DataFrame:
     """(doc, tag, start, n): windows at start .. start + n - 1 also start earlier.  keyed: (doc, tag, text)."""
-    packed = keyed.mapInArrow(frugal(_pack(groups)), "grp int, body binary, windows binary")
+    packed = keyed.mapInArrow(frugal(_pack(groups, longer)), "grp int, body binary, windows binary")
     tasks = min(groups, TASKS)
     # dealt by number and not by hash, so that no task gets several groups while others get none
     dealt = packed.repartitionById(tasks, F.pmod("grp", F.lit(tasks)).cast("int")).sortWithinPartitions("grp")
@@ -241,14 +282,13 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None, hot: int = HOT) -> DataFrame:
     """Per row: id, n_words, n_removed and kept, the words that stay joined by one space."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     key = [F.coalesce("id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")]
-    if groups is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        groups = max(8, -(-size // GROUP))
-    found = repeated_places(rows.select(*key, "text"), groups)
+    size, longer = long_prefixes(rows.select("text"), hot)
+    groups = groups or max(8, -(-size // GROUP))
+    found = repeated_places(rows.select(*key, "text"), groups, longer)
     runs = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     out = rows.select("id", "text", *key).join(runs, ["doc", "tag"], "left").select("id", "text", "runs")
     kept = out.mapInArrow(frugal(_kept), "id long, n_words long, n_removed long, kept string")

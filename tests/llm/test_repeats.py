@@ -80,3 +80,35 @@ def test_windows_that_share_a_prefix_and_40_bits_stay_apart(monkeypatch):
     assert list(op._subtrees(sent)) == []
     again = list(op._subtrees([*sent, *run([pa.record_batch([pa.array([9]), pa.array([9]), pa.array([texts[2]])], names=["doc", "tag", "text"])])]))
     assert [b.to_pylist() for b in again] == [[{"doc": 9, "tag": 9, "start": 0, "n": 1}]]
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_lengthened_prefixes_change_no_result(spark, groups):
+    """``hot`` of 0 lengthens the prefix of every suffix: equal windows still meet, within and between texts."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(45))
+    docs = [(i, " ".join([*(rng.choice("abc") for _ in range(rng.randint(0, 40))), passage, *(f"w{i}x{k}" for k in range(20))])) for i in range(30)] + [(40, None), (41, "")]
+    want = sorted((i, *v) for i, v in op.brute_force(docs).items())
+    assert sorted(run(spark, docs, hot=0, groups=groups)) == want == sorted(run(spark, docs, groups=groups))
+
+
+def test_a_frequent_gram_is_spread_over_groups(spark):
+    """All windows hold one gram, the least of all, and differ: counted as too many, they leave its group."""
+    pool = [f"p{k}" for k in range(100_000)]
+    grams = H.grams(H.words([" ".join(pool).encode()])[0], op.SEED)
+    at = int(np.argmin(grams))
+    texts = [" ".join([*(f"a{i}x{k}" for k in range(16)), *pool[at : at + 4], *(f"b{i}x{k}" for k in range(16))]) for i in range(400)]
+    bucket, windows = int(op._bucket(grams[at : at + 1])[0]), 400 * 17
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    size, longer = op.long_prefixes(df, windows - 1)
+    assert size == sum(len(t.encode()) for t in texts) and np.flatnonzero(longer).tolist() == [bucket]
+    assert not op.long_prefixes(df, windows)[1].any()
+
+    def groups(longer):
+        batch = pa.record_batch([pa.array(range(400)), pa.array([0] * 400), pa.array(texts)], names=["doc", "tag", "text"])
+        (out,) = op._pack(50, longer)([batch])
+        return [len(w) // 8 for w in out.column("windows").to_pylist()]
+
+    assert groups(None) == [windows]
+    spread = groups(longer)
+    assert sum(spread) == windows and len(spread) == 50 and max(spread) < 2 * windows / 50
