@@ -48,6 +48,20 @@ def _best(docs: DataFrame, topics: dict[str, tuple[str, ...]], id_col: str, text
 
 
 def topk(docs: DataFrame, topics: dict[str, tuple[str, ...]], id_col: str = "doc_id", text_col: str = "text", k: int = TOP_CHUNKS) -> DataFrame:
+    """As ``topk_in_rows``, but the chunks of all rows with one id are ranked together.
+
+    Topics become an array that is exploded after tokenizing, so each chunk is tokenized once; the
+    rank filter runs as a group limit before the shuffle, which thus moves at most k chunks for each
+    document, topic and task.
+    """
+    parts = chunks(docs, id_col, text_col).withColumn("_tok", spaced(F.col("chunk")))
+    scored = F.array(*[F.struct(F.lit(name).alias("topic"), score(F.col("_tok"), terms).alias("score")) for name, terms in topics.items()])
+    rows = parts.withColumn("_s", F.explode(scored)).select(id_col, "chunk_no", "chunk", "_s.topic", "_s.score")
+    rank = F.row_number().over(Window.partitionBy(id_col, "topic").orderBy(F.desc("score"), "chunk_no"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def topk_in_rows(docs: DataFrame, topics: dict[str, tuple[str, ...]], id_col: str = "doc_id", text_col: str = "text", k: int = TOP_CHUNKS) -> DataFrame:
     """(id, topic, rank, chunk_no, score, chunk): the best ``k`` chunks of each document and topic, earlier ones first on ties.
 
     Rows with equal ids are documents of their own; null and empty texts have no chunks.

@@ -32,11 +32,19 @@ def o28(t):
     return t.documents.select("doc_id", F.size(k).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(k), " ").cast("binary")).alias("digest"))
 
 
-@query("o80_evidence_topk", _TOP + "select doc_id, topic, rank, chunk_no, score, md5(chunk) as digest from r where rank <= 4")
+_TOPK = _TOP + "select doc_id, topic, rank, chunk_no, score, md5(chunk) as digest from r where rank <= 4"
+
+
+@query("o80_evidence_topk", _TOPK)
 def o80(t):
     return E.topk(spread(t.documents.select("doc_id", "text")), TOPICS).select("doc_id", "topic", "rank", "chunk_no", "score", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
+@query("o80_evidence_in_rows", _TOPK)
+def o80_in_rows(t):
+    return E.topk_in_rows(spread(t.documents.select("doc_id", "text")), TOPICS).select("doc_id", "topic", "rank", "chunk_no", "score", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
 @query(
     "o80_evidence_text",
     _TOP + """, b as (select *, row_number() over (partition by doc_id, chunk_no order by topic, rank) as once from r where rank <= 4),

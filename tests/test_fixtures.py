@@ -214,9 +214,9 @@ def test_values_in_prose():
 def test_evidence_is_row_local(spark):
     """Documents are ranked inside their rows: no exchange; ties go to earlier chunks; characters outside the BMP count as one."""
     df = spark.createDataFrame([(1, "\U0001f600" * 1400 + "heat " * 300), (1, "heat"), (2, None), (3, "")], "doc_id long, text string")
-    for op in (evidence.topk, evidence.evidence):
+    for op in (evidence.topk_in_rows, evidence.evidence):
         assert "Exchange" not in op(df, {"q": ("heat",)})._jdf.queryExecution().executedPlan().toString()
-    got = sorted((r.doc_id, r.rank, r.chunk_no, r.score, len(r.chunk)) for r in evidence.topk(df, {"q": ("heat",)}, k=2).collect())
+    got = sorted((r.doc_id, r.rank, r.chunk_no, r.score, len(r.chunk)) for r in evidence.topk_in_rows(df, {"q": ("heat",)}, k=2).collect())
     assert got == [(1, 1, 0, 1.0, 4), (1, 1, 1, 1.0, 1400), (1, 2, 2, 1.0, 100)]
 
 
