@@ -12,7 +12,8 @@ def content_duplicates(docs: DataFrame, id_col: str, text_col: str, scope: str |
     """Adds sha, canonical_id (the earliest with the same content, within ``scope``) and is_duplicate.
 
     Canonical rows come from an aggregate over (scope, hash) that combines before the shuffle; only
-    ids and hashes are joined back, so a text repeated in many rows does not meet in one task.
+    ids and hashes are joined back.  That join is by hash: rows of a text repeated very often meet there, which is left
+    to the adaptive skew join.
     """
     keys = ([scope] if scope else []) + ["sha"]
     rows = docs.select(id_col, *([scope] if scope else []), F.sha2(F.col(text_col).cast("binary"), 256).alias("sha"))
