@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, jaccard, licenses, matroska, mixing, pii, quality, repeats, secrets, sentencepiece
+from . import htmltext, jaccard, licenses, matroska, mixing, negatives, pii, quality, repeats, secrets, sentencepiece
 
 #: Query name -> module that holds it.
 MODULES = {
@@ -16,6 +16,7 @@ MODULES = {
     "op8_media_columns": matroska,
     "op9_ngram_jaccard": jaccard,
     "op10_html_extraction": htmltext,
+    "op11_hard_negatives": negatives,
 }
 
 
