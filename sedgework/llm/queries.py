@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, jaccard, licenses, matroska, mixing, negatives, pii, quality, repeats, secrets, sentencepiece
+from . import htmltext, jaccard, licenses, matroska, mixing, negatives, phrases, pii, quality, repeats, secrets, sentencepiece, tokenfiles
 
 #: Query name -> module that holds it.
 MODULES = {
@@ -17,6 +17,8 @@ MODULES = {
     "op9_ngram_jaccard": jaccard,
     "op10_html_extraction": htmltext,
     "op11_hard_negatives": negatives,
+    "op12_token_files": tokenfiles,
+    "op13_phrases": phrases,
 }
 
 

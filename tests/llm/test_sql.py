@@ -16,4 +16,4 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 12)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
