@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators.rows import latest
+from ..sources.files import work_folder
 from .registry import query
 
 _LOG = "with g as (select user_id, event_id, case event_type when 'view' then 'QUEUED' when 'click' then 'DOWNLOADING' when 'purchase' then 'COMPLETED' when 'error' then 'FAILED' end as status, case when event_type in ('click', 'purchase') then cast(floor(value * 1000) as bigint) end as bytes, case when event_type = 'error' then props end as reason, event_type = 'purchase' as clears from events)"
@@ -84,3 +85,104 @@ def o78(t):
 @query("o79_upsert_verdicts", "select o_custkey, o_orderpriority as query, arg_max(o_orderstatus, o_orderkey) as status from orders group by 1, 2")
 def o79(t):
     return latest(t.orders.withColumnRenamed("o_orderpriority", "query").withColumnRenamed("o_orderstatus", "status"), ["o_custkey", "query"], ["o_orderkey"], ["status"])
+
+
+_UPDATES = """with u as (
+  select 'f' || user_id || '.pdf' as filename, event_id as seq, cast(epoch_us(ts) // 1000000 as bigint) as tm,
+    case event_type when 'view' then 'QUEUED' when 'click' then 'downloading' when 'purchase' then 'COMPLETED' when 'error' then 'FAILED_FOR_ROUND' else 'RETAINED' end as status,
+    case when event_type in ('click', 'purchase') then cast(floor(value * 10) as bigint) end as size, case when event_type = 'error' then 'e' || event_id end as reason,
+    event_type = 'view' as cand, case when event_type = 'view' and event_id % 3 = 0 then 't' || event_id end as title, case when event_type = 'view' and event_id % 11 = 0 then 'REJECTED' end as stage1,
+    case when event_type = 'error' and event_id % 2 = 0 then 30.5::double end as wait, case when event_type = 'purchase' and event_id % 3 = 0 then case when event_id % 2 = 0 then 'APPROVED' else 'REJECTED' end end as validation
+  from events),
+g as (select *, size > coalesce(lag(size) over (partition by filename order by seq), 0) as grew from u where size is not null),
+p as (select filename, arg_max(tm, seq) as last_progress_time from g where grew group by filename),
+s as (select filename, arg_max(size, seq) as size from g group by filename),
+l as (
+  select filename, arg_max(status, seq) as status, max(seq) as seq, arg_max(tm, seq) as updated_at, max(case when reason is not null then seq end) as reason_seq, arg_max(reason, seq) filter (where reason is not null) as noted,
+    max(case when wait is not null then seq end) as wait_seq, max(case when status = 'COMPLETED' then seq end) as done_seq, arg_max(tm + wait, seq) filter (where wait is not null) as wait_until,
+    arg_max(upper(status) = 'COMPLETED', seq) filter (where status <> 'RETAINED') as completed, arg_max(title, seq) filter (where title is not null) as title, bool_or(cand) as has_candidate, arg_min(cand, seq) as began,
+    arg_max(stage1, seq) filter (where stage1 is not null) as stage1, arg_max(validation, seq) filter (where validation is not null) as validation
+  from u group by filename),
+e as (
+  select l.filename, l.status, coalesce(s.size, 0) as bytes_downloaded, updated_at, last_progress_time, case when reason_seq = seq then noted end as reason, noted, case when wait_seq > coalesce(done_seq, -1) then wait_until end as retry_after_until,
+    completed, coalesce(title, case when has_candidate then l.filename end) as title, coalesce(stage1, case when began then 'APPROVED' else 'PENDING' end) as stage1, coalesce(validation, 'PENDING') as stage2
+  from l left join p on p.filename = l.filename left join s on s.filename = l.filename)"""
+
+
+def _updates(t):
+    """An update of a document for each event."""
+    e, i = F.col("event_type"), F.col("event_id")
+    text = lambda p: F.concat(F.lit(p), i.cast("string"))
+    null = lambda kind: F.lit(None).cast(kind)
+    candidate = F.struct(null("string").alias("document_id"), F.when(i % 3 == 0, text("t")).alias("title"), null("string").alias("query"), null("string").alias("run_id"), null("array<string>").alias("mirrors"), F.when(i % 11 == 0, "REJECTED").alias("stage1_status"), null("int").alias("stage1_score"), null("int").alias("source_page"), null("int").alias("source_item"))
+    return t.events.select(
+        F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".pdf")).alias("filename"), i.alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
+        F.expr("case event_type when 'view' then 'QUEUED' when 'click' then 'downloading' when 'purchase' then 'COMPLETED' when 'error' then 'FAILED_FOR_ROUND' else 'RETAINED' end").alias("status"), null("string").alias("url"),
+        F.when(e.isin("click", "purchase"), F.floor(F.col("value") * 10)).cast("long").alias("size"), F.when(e == "error", text("e")).alias("reason"), F.when(e == "view", candidate).alias("candidate"),
+        null("int").alias("document_attempt"), null("int").alias("request_attempt"), null("boolean").alias("completed"), F.when((e == "error") & (i % 2 == 0), 30.5).alias("retry_after_seconds"),
+        F.when((e == "purchase") & (i % 3 == 0), F.when(i % 2 == 0, "APPROVED").otherwise("REJECTED")).alias("validation_status"), null("string").alias("technical_error_type"), null("string").alias("technical_error_message"),
+    )
+
+
+def _logged(table, staged, make, low, high):
+    """The table after three batches of ``staged``, the second one twice, with compactions of key ranges in between."""
+    for k in (0, 1, 1, 2):
+        table.append(make(staged.filter(F.floor(F.col("_at") * 3) == k)), "query", k)
+        if k == 1:
+            table.compact(low, high)
+    table.compact(high)
+    return table.rows()
+
+
+def _staged(df, seq):
+    """Adds the place of each row between the least and the largest seq, from 0 to below 1."""
+    span = df.agg(F.min(seq).alias("_low"), (F.max(seq) - F.min(seq) + 1).alias("_span"))
+    return df.crossJoin(F.broadcast(span)).withColumn("_at", (F.col(seq) - F.col("_low")) / F.col("_span")).drop("_low", "_span")
+
+
+@query("o70_ledger_transitions", f"{_UPDATES} select filename, status, bytes_downloaded, updated_at, last_progress_time, reason, retry_after_until, completed, title from e")
+def o70b(t):
+    entries = L.ledger_entries(L.merged_ledger(L.ledger_rows(_updates(t))))
+    return entries.select("filename", "status", "bytes_downloaded", "updated_at", "last_progress_time", "reason", "retry_after_until", "completed", "title")
+
+
+@query("o04_ledger_log", f"{_UPDATES} select filename, status, bytes_downloaded, last_progress_time, reason, retry_after_until, completed from e")
+def o04b(t):
+    table = L.ledger_table(t.spark, work_folder(t.spark, "ledger-log"))
+    staged = _staged(_updates(t), "seq")
+    return L.ledger_entries(_logged(table, staged, L.ledger_rows, "f2", "f6")).select("filename", "status", "bytes_downloaded", "last_progress_time", "reason", "retry_after_until", "completed")
+
+
+@query(
+    "o71_lifecycle_fallbacks",
+    f"""{_UPDATES} select filename, stage1 as stage1_status, upper(stage2) as stage2_status, upper(status) as download_status, noted as last_error,
+  case when stage2 = 'APPROVED' then 'ACCEPTED' when stage2 = 'REJECTED' then 'REJECTED' when stage1 = 'REJECTED' then 'STAGE1_REJECTED' else 'IN_PROGRESS' end as final_status from e""",
+)
+def o71b(t):
+    v = L.ledger_entries(L.merged_ledger(L.ledger_rows(_updates(t)))).select("filename", "lifecycle.*")
+    return v.select("filename", F.col("stage1.status").alias("stage1_status"), F.col("stage2.status").alias("stage2_status"), F.col("download.status").alias("download_status"), F.col("download.last_error").alias("last_error"), "final_status")
+
+
+@query(
+    "o78_documents_log",
+    """with c as (select 'c' || o_custkey as key, o_orderkey as seq, case when o_orderkey % 3 > 0 then 't' || o_orderkey else '' end as title, 'f' || o_orderkey as filename, o_orderkey % 4 = 0 as mirrors, o_orderstatus as k from orders),
+n as (select key, string_agg(k || '=' || v, ';' order by k) as metadata from (select key, k, arg_max(seq, seq) as v from c group by key, k) group by key)
+select c.key, coalesce(arg_min(title, seq) filter (where title <> ''), '') as title, coalesce(arg_max(filename, seq) filter (where mirrors), arg_min(filename, seq)) as filename, any_value(n.metadata) as metadata from c join n on n.key = c.key group by c.key""",
+)
+def o78b(t):
+    k = F.col("o_orderkey")
+    text = lambda p: F.concat(F.lit(p), k.cast("string"))
+    named = F.create_map(F.col("o_orderstatus"), k.cast("string"))
+    metadata = F.when(k % 4 == 0, F.map_concat(named, F.create_map(F.lit("mirrors"), F.lit("m")))).otherwise(named)
+    c = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"), k.cast("long").alias("seq"), F.when(k % 3 > 0, text("t")).otherwise("").alias("title"), text("f").alias("filename"), metadata.alias("metadata"))
+    table = L.documents_table(t.spark, work_folder(t.spark, "documents-log"))
+    staged = _staged(c, "seq")
+    entry = F.transform(F.array_sort(F.map_entries(F.map_filter("metadata", lambda k, v: k != "mirrors"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return L.document_entries(_logged(table, staged, L.document_rows, "c2", "c5")).select("key", "title", "filename", F.array_join(entry, ";").alias("metadata"))
+
+
+@query("o79_verdicts_log", "select o_orderpriority as query_hash, 'c' || o_custkey as document_id, arg_max(o_orderstatus, o_orderkey) as stage1_status from orders group by 1, 2")
+def o79b(t):
+    v = t.orders.select(F.col("o_orderpriority").alias("query_hash"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("document_id"), F.col("o_orderkey").cast("long").alias("seq"), F.col("o_orderstatus").alias("stage1_status"), F.lit("v1").alias("prompt_version"))
+    table = L.verdicts_table(t.spark, work_folder(t.spark, "verdicts-log"))
+    return _logged(table, _staged(v, "seq"), L.verdict_rows, "2", "4").select("query_hash", "document_id", F.col("verdict.value.stage1_status").alias("stage1_status"))
