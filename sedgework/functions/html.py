@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urldefrag, urljoin, urlsplit
@@ -43,34 +44,45 @@ class _Node:
         return n
 
 
+# What ends an open element of the same kind: the kinds, and the holder that they don't reach beyond.
+_ENDS = {"tr": (("tr",), "table"), "td": (("td", "th"), "tr"), "th": (("td", "th"), "tr"), "li": (("li",), "ul"), "p": (("p",), "div")}
+
+
 class _Tree(HTMLParser):
+    """Builds a page's nodes.  Depths of the open elements are kept by name, so an end tag finds its element, or that there is
+    none, at once."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
+        self.root = _Node("", {}, None)
+        self.path, self.depths = [self.root], defaultdict(list)
+
+    def _close(self, depth: int):
+        """Ends the open elements from ``depth`` on."""
+        while len(self.path) > depth:
+            self.depths[self.path.pop().name].pop()
+
+    def _depth(self, name: str) -> int:
+        return self.depths[name][-1] if self.depths[name] else 0
 
     def handle_starttag(self, tag, attrs):
-        inner = {"tr": ("tr", "table"), "td": ("td", "tr"), "th": ("th", "tr"), "li": ("li", "ul"), "p": ("p", "div")}.get(tag)
-        if inner:  # these end an open one of their kind in the same holder
-            n = self.at
-            while n.parent is not None and n.name != inner[1]:
-                if n.name in ((tag,) if tag not in ("td", "th") else ("td", "th")):
-                    self.at = n.parent
-                    break
-                n = n.parent
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        if tag in _ENDS:
+            kinds, holder = _ENDS[tag]
+            depth = max(map(self._depth, kinds))
+            if depth > self._depth(holder):
+                self._close(depth)
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.path[-1])
+        self.path[-1].children.append(node)
         if tag not in _VOID:
-            self.at = node
+            self.depths[tag].append(len(self.path))
+            self.path.append(node)
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n.parent is not None and n.name != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        if self._depth(tag):
+            self._close(self._depth(tag))
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.path[-1].children.append(data)
 
 
 def tree(html: str | None) -> _Node:
@@ -139,10 +151,10 @@ def document_rows(html: str | None, base: str) -> list[dict]:
             if link is None or _navigation(link, ("", "/", "/index.php")) or link in seen:
                 continue
             label = a.text()
-            if not label and not re.search(r"ads\.php|book/|/main/|md5=", link):
+            if not label and not re.search(r"ads\.php|book/|main/|md5=", link, re.I):
                 continue
             seen.add(link)
-            out.append({"title": text[:240] if not label or _digits(label) else label, "link": link, "text": text})
+            out.append({"title": text[:240] if not label or label.isdigit() else label, "link": link, "text": text})
             break
     return out
 
@@ -183,7 +195,7 @@ def _rows(df: DataFrame, html: str, base: str, keys: list[str], fn, schema: str,
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(*(r[k] for k in keys), i, *(d[n] for n in names)) for r in pdf.to_dict("records") for i, d in enumerate(fn(r[html], r[base] or ""))]
+            rows = [(*k, i, *(d[n] for n in names)) for k, h, b in zip(zip(*(pdf[c] for c in keys)), pdf[html], pdf[base]) for i, d in enumerate(fn(h, b or ""))]
             yield pd.DataFrame(rows, columns=[*keys, "row_no", *names])
 
     return df.select(*keys, html, base).mapInPandas(run, f"{kinds}, row_no int, {schema}")

@@ -61,20 +61,31 @@ def _pairs(url: Column) -> Column:
     return F.filter(F.split(query(url), "&"), lambda p: p != "")
 
 
-def _identity(url: Column, pairs: Column) -> Column:
-    q = F.array_join(F.array_sort(pairs), "&")
-    base = F.concat(scheme(url), F.lit("://"), netloc(url), path(url))
-    return F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q))
-
-
 def _decoded(s: Column) -> Column:
-    return F.coalesce(F.try_url_decode(s), s)
+    """Blanks for plus signs, and percent codes resolved; a percent sign that begins none stands for itself."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25")), s)
 
 
 def _encoded(s: Column) -> Column:
     return F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _parameters(url: Column, blank: bool = True) -> Column:
+    """The query as decoded (k, v); without ``blank`` only those that have a value."""
+    pairs = _pairs(url) if blank else F.filter(_pairs(url), lambda p: p.rlike("=."))
+    return F.transform(pairs, lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "(?s)=(.*)$", 1)).alias("v")))
+
+
+def _normal(where: Column, url: Column, parameters: Column) -> Column:
+    """``where``, then the path without what follows a semicolon in its last part, and the parameters sorted and encoded."""
+    q = F.array_join(F.transform(F.array_sort(parameters), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    return F.concat(where, F.regexp_replace(path(url), ";[^/]*$", ""), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+
+
+def _origin(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+
+
 def route_identity(url: Column) -> Column:
     """Lower scheme and host without the dot at its end, port, path without parameters, query sorted by decoded
     names and values; no fragment.  What has no host or no sound port only loses its fragment."""
@@ -82,16 +93,16 @@ def route_identity(url: Column) -> Column:
     port = F.regexp_extract(netloc(clean), r":([^:\]]*)$", 1)
     number = F.regexp_replace(port, "^0+", "")
     sound = (host(clean) != "") & port.rlike("^[0-9]*$") & (F.coalesce(number.try_cast("long"), F.lit(0)) <= 65535) & (F.length(number) <= 5)
-    pairs = F.transform(_pairs(clean), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
-    q = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
-    where = F.concat(host(clean), F.when(number == "", "").otherwise(F.concat(F.lit(":"), number)))
-    out = F.concat(scheme(clean), F.lit("://"), where, F.regexp_replace(path(clean), ";[^/]*$", ""), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    return F.when(sound, out).otherwise(clean)
+    where = F.concat(scheme(clean), F.lit("://"), host(clean), F.when(number == "", "").otherwise(F.concat(F.lit(":"), number)))
+    return F.when(sound, _normal(where, clean, _parameters(clean))).otherwise(clean)
 
 
 def route_key(url: Column) -> Column:
-    """As ``route_identity`` without tracking and cache-busting parameters."""
-    return _identity(url, F.filter(_pairs(url), lambda p: ~F.lower(p).rlike("^(utm_[^=]*|_|cache_bust|cachebuster|timestamp|ts)(=|$)")))
+    """Lower scheme and host, path, and the query sorted by decoded names and values, without tracking and cache-busting
+    parameters and without a fragment: spellings of one address give one key."""
+    tracking = lambda k: F.lower(k).rlike("^(utm_.*|_|cache_bust|cachebuster|timestamp|ts)$")
+    clean = defragment(url)
+    return _normal(_origin(clean), clean, F.filter(_parameters(clean), lambda p: ~tracking(p["k"])))
 
 
 def md5_selector(url: Column) -> Column:
@@ -103,7 +114,8 @@ def md5_selector(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """The form that document identities are made of; parameters without a value are dropped."""
-    return _identity(url, F.filter(_pairs(url), lambda p: p.rlike("^[^=]+=.")))
+    clean = defragment(url)
+    return _normal(_origin(clean), clean, _parameters(clean, blank=False))
 
 
 def folded_title(title: Column) -> Column:
@@ -135,7 +147,13 @@ def search_url(template: str, text: Column, page: Column) -> Column:
     return F.concat(F.lit(before), F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit(middle), page.cast("string"), F.lit(after))
 
 
+# The host of main pages, and what the hosts of gateways hold (fixed values).
+MAIN_HOST = "library.lol"
+GATEWAYS = ("ipfs.io", "cloudflare-ipfs", "gateway.ipfs", "pinata.cloud", "dweb.link")
+
+
 def route_rank(url: Column) -> Column:
-    """Priority of a download route: direct file, library main page, get.php, ipfs, other."""
-    u = F.lower(url)
-    return F.when(F.split(u, r"\?")[0].endswith(".pdf"), 0).when(u.contains("/main/"), 1).when(u.contains("get.php"), 2).when(u.contains("ipfs"), 3).otherwise(4)
+    """Priority of a download route, by its host and path alone: direct file, main page, get.php, gateway, other."""
+    p, h = F.lower(F.regexp_replace(path(url), ";[^/]*$", "")), F.regexp_replace(netloc(url), r":[0-9]*$", "")
+    gateway = h.rlike("|".join(g.replace(".", "[.]") for g in GATEWAYS)) | p.contains("/ipfs/")
+    return F.when(p.endswith(".pdf"), 0).when((h == MAIN_HOST) & p.startswith("/main/"), 1).when(p.contains("get.php"), 2).when(gateway, 3).otherwise(4)

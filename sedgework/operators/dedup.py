@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import TERMINAL_VALIDATION
+from ..sources.files import work_folder
+
+
+#: A text that more than one row in so many repeats is hot: there are fewer hot ones than this.
+HOT = 1000
 
 
 def content_duplicates(docs: DataFrame, id_col: str, text_col: str, scope: str | None = None) -> DataFrame:
-    """Adds sha, canonical_id (the earliest with the same content, within ``scope``) and is_duplicate.
+    """(id, scope, sha, canonical_id, is_duplicate): the earliest row with the same content, within ``scope``.
 
-    Canonical rows come from an aggregate over (scope, hash) that combines before the shuffle; only
-    ids and hashes are joined back.  That join is by hash: rows of a text repeated very often meet there, which is left
-    to the adaptive skew join.
+    Texts are hashed once, and ids and hashes written; the rest reads those.  Only hashes that are repeated are joined
+    back: hot ones, of which there are fewer than HOT, by broadcast and so without bringing their rows together, others
+    by hash.  A null scope is a scope of its own; a null text has no content and is nobody's duplicate.
     """
     keys = ([scope] if scope else []) + ["sha"]
     rows = docs.select(id_col, *([scope] if scope else []), F.sha2(F.col(text_col).cast("binary"), 256).alias("sha"))
-    first = rows.groupBy(*keys).agg(F.min(id_col).alias("canonical_id"))
-    return rows.join(first, keys).withColumn("is_duplicate", F.col("canonical_id") != F.col(id_col))
+    folder = work_folder(docs.sparkSession, "content")
+    rows.write.parquet(folder)
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(folder)
+    groups = rows.filter(F.col("sha").isNotNull()).groupBy(*keys).agg(F.min(id_col).alias("_canon"), F.count("*").alias("_n")).filter("_n > 1")
+    total = rows.agg(F.count("*").alias("_total"))
+    split = groups.crossJoin(F.broadcast(total)).withColumn("_hot", F.col("_n") * HOT > F.col("_total"))
+    same = lambda a, b: reduce(and_, [a[k].eqNullSafe(b[k]) for k in keys])
+    hot, cold = split.filter("_hot").select(*keys, "_canon"), split.filter("not _hot").select(*keys, "_canon")
+    marked = rows.join(F.broadcast(hot), same(rows, hot), "left").select(rows["*"], "_canon")
+    rest = marked.filter("_canon is null").drop("_canon")
+    rest = rest.join(cold, same(rest, cold), "left").select(rest["*"], "_canon")
+    out = marked.filter("_canon is not null").unionByName(rest)
+    return out.withColumn("canonical_id", F.coalesce("_canon", id_col)).drop("_canon").withColumn("is_duplicate", F.col("canonical_id") != F.col(id_col))
 
 
 def label_status(labels: DataFrame) -> DataFrame:
@@ -42,6 +61,9 @@ def propagated(dups: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
 
 
 def unique_match(rows: DataFrame, library: DataFrame, title: str, path: str, out: str) -> DataFrame:
-    """``rows`` with the one library path of their title; null without any or with several."""
-    one = library.groupBy(title).agg(F.min(path).alias(out), F.max(path).alias("_max")).filter(F.col(out) == F.col("_max")).drop("_max")
+    """``rows`` with the one library path of their title; null without any, with several, or where files of other
+    folders have the same name."""
+    only = lambda key: library.groupBy(key).agg(F.min(path).alias(out), F.max(path).alias("_max")).filter(F.col(out) == F.col("_max")).drop("_max")
+    library = library.withColumn("_name", F.regexp_extract(F.col(path).cast("string"), "([^/]*)$", 1))
+    one = only(title).join(only("_name").select(out), out, "left_semi")
     return rows.join(one, title, "left")

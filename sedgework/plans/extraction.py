@@ -42,6 +42,16 @@ def o22(t):
     return H.extract_document_rows(_table(t), ["page_id"])
 
 
+@query("o22_document_row_labels", "select page_id, cast(i as int) as row_no, case i when 0 then '[1]' when 1 then '7 of ' || page_id when 2 then 'of ' || page_id else 'X ' || page_id end as title, case i when 0 then '/b/' when 1 then '/n/' when 2 then '/f?MD5=' else '/x/' end || page_id as path from pages, range(4) r(i)")
+def o22b(t):
+    """Labels in brackets are titles, bare digits and empty labels give way to the row's text; links are told by their letters in any case."""
+    i = F.col("page_id").cast("string")
+    rows = (("/b/", "[1]", "of"), ("/n/", "7", "of"), ("/f?MD5=", "", "of"), ("/gone/", "", "of"), ("/x/", "X {}", ""))
+    parts = [F.concat(F.lit(f"<tr><td><a href='{link}"), i, F.lit("'>"), F.replace(F.lit(label), F.lit("{}"), i), F.lit(f"</a></td><td>{text} "), i if text else F.lit(""), F.lit("</td></tr></x>")) for link, label, text in rows]
+    pages = t.pages.select("page_id", F.lit("http://site.example").alias("base_url"), F.concat(F.lit("<table>"), *parts).alias("html"))
+    return H.extract_document_rows(pages, ["page_id"]).select("page_id", "row_no", "title", F.substring("link", 20, 1000).alias("path"))
+
+
 @query("o24_download_links", """select page_id, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: contains(x, '.pdf'))[1] as first_pdf from pages""")
 def o24(t):
     links = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda x: x.contains(".pdf"))

@@ -68,12 +68,12 @@ def o29(t):
     return E.preview(E.chunks(t.documents, size=500), "doc_id", "chunk_no", "chunk")
 
 
-@query("o42_content_dedup", "select doc_id, source, first_value(doc_id) over (partition by source, sha256(text) order by doc_id) as canonical_id, first_value(doc_id) over (partition by source, sha256(text) order by doc_id) <> doc_id as is_duplicate from documents")
+@query("o42_content_dedup", "select doc_id, source, canonical_id, canonical_id <> doc_id as is_duplicate from (select *, case when text is null then doc_id else first_value(doc_id) over (partition by source, sha256(text) order by doc_id) end as canonical_id from documents)")
 def o42(t):
     return D.content_duplicates(t.documents, "doc_id", "text", "source").select("doc_id", "source", "canonical_id", "is_duplicate")
 
 
-_DUP = "with d as (select doc_id, first_value(doc_id) over (partition by sha256(text) order by doc_id) as canon from documents), l as (select doc_id, case when quality = 1 and toxic = 0 then 'APPROVED' when quality = 0 then 'REJECTED' else 'PENDING' end as status from labels)"
+_DUP = "with d as (select doc_id, case when text is null then doc_id else first_value(doc_id) over (partition by sha256(text) order by doc_id) end as canon from documents), l as (select doc_id, case when quality = 1 and toxic = 0 then 'APPROVED' when quality = 0 then 'REJECTED' else 'PENDING' end as status from labels)"
 
 
 @query("o43_inherited_verdicts", _DUP + " select d.doc_id, canon as canonical_id, case when d.doc_id = canon then coalesce(o.status, 'PENDING') when c.status in ('APPROVED', 'REJECTED', 'PDF_INVALID') then c.status else 'DUPLICATE_PENDING' end as status from d left join l o on o.doc_id = d.doc_id left join l c on c.doc_id = canon")
@@ -162,6 +162,17 @@ def o77(t):
     return D.unique_match(lib, lib, "title", "p_partkey", "path").select("p_partkey", "path")
 
 
+@query(
+    "o77_library_namesakes",
+    "with l as (select p_partkey, lower(p_name) as title, '/lib' || p_partkey % 3 || '/' || p_size || p_type || '.pdf' as path, p_size || p_type as name from part), n as (select name from l group by name having count(distinct path) = 1), u as (select title, min(path) as path, any_value(name) as name from l group by title having count(distinct path) = 1) select p_partkey, n.name is not null as found, case when n.name is not null then u.path end as match from l left join u on u.title = l.title left join n on n.name = u.name",
+)
+def o77b(t):
+    i = F.col("p_partkey")
+    path = F.concat(F.lit("/lib"), (i % 3).cast("string"), F.lit("/"), F.col("p_size").cast("string"), F.col("p_type"), F.lit(".pdf"))
+    lib = t.part.select(i, F.lower("p_name").alias("title"), path.alias("path"))
+    return D.unique_match(lib.select("p_partkey", "title"), lib, "title", "path", "match").select("p_partkey", F.col("match").isNotNull().alias("found"), "match")
+
+
 @query("o119_key_admission", "select min(event_id) as event_id, user_id from events where user_id not in (select c_custkey from customer where c_nationkey = 3) group by user_id")
 def o119(t):
     known = t.customer.filter("c_nationkey = 3").select(F.col("c_custkey").alias("user_id"))

@@ -66,9 +66,27 @@ def o34(t):
     return t.pages.select("page_id", U.route_identity(url).alias("route"))
 
 
-@query("o35_route_key", f"""select page_id, {_identity("not regexp_matches(lower(p), '^(utm_[^=]*|_|cache_bust|cachebuster|timestamp|ts)(=|$)')")} as route from pages""")
+#: Links with their keys and the addresses that their identities are made of, worked out by hand.
+_SPELLINGS = (
+    ("HTTP://Host.Example:80/p;v=1?a-b=2&a=1#f", "http://host.example:80/p?a=1&a-b=2", "http://host.example:80/p?a=1&a-b=2"),
+    ("http://h.example/p?a=1&a-b=2", "http://h.example/p?a=1&a-b=2", "http://h.example/p?a=1&a-b=2"),
+    ("http://h.example/a;b/c;d?a&UTM_x=1&ts=2&_=3&q=%41+%zz", "http://h.example/a;b/c?a=&q=A+%25zz", "http://h.example/a;b/c?UTM_x=1&_=3&q=A+%25zz&ts=2"),
+    ("http://h.example/p?%75tm_x=1&%74s=2&tst=3&=v&x=", "http://h.example/p?=v&tst=3&x=", "http://h.example/p?=v&ts=2&tst=3&utm_x=1"),
+    ("http://h.example?b=%C3%A9&b=~*", "http://h.example?b=~%2A&b=%C3%A9", "http://h.example?b=~%2A&b=%C3%A9"),
+)
+
+
+def _spelled(t):
+    return F.coalesce(F.get(F.array(*[F.lit(x[0]) for x in _SPELLINGS]), (F.col("page_id") % (len(_SPELLINGS) + 1)).cast("int")), F.col("url"))
+
+
+def _worked(k: int, otherwise: str) -> str:
+    return f"case page_id % {len(_SPELLINGS) + 1} " + " ".join(f"when {i} then '{x[k]}'" for i, x in enumerate(_SPELLINGS)) + f" else {otherwise} end"
+
+
+@query("o35_route_key", f"""select page_id, {_worked(1, _identity("not regexp_matches(lower(p), '^(utm_[^=]*|_|cache_bust|cachebuster|timestamp|ts)(=|$)')"))} as route from pages""")
 def o35(t):
-    return t.pages.select("page_id", U.route_key(F.col("url")).alias("route"))
+    return t.pages.select("page_id", U.route_key(_spelled(t)).alias("route"))
 
 
 @query(
@@ -84,11 +102,11 @@ def o36(t):
 
 @query(
     "o37_document_identity",
-    f"""select page_id, 'source-sha256:' || substr(sha256({_identity("regexp_matches(p, '^[^=]+=.')")} || chr(10) || lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[ \\t\\n\\r\\f]+', ' ', 'g')))), 1, 32) as document_id from pages""",
+    f"""select page_id, 'source-sha256:' || substr(sha256({_worked(2, _identity("regexp_matches(p, '^[^=]+=.')"))} || chr(10) || lower(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[ \\t\\n\\r\\f]+', ' ', 'g')))), 1, 32) as document_id from pages""",
 )
 def o37(t):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    return t.pages.select("page_id", U.document_identity(F.col("url"), F.expr("cast(array() as array<string>)"), title).alias("document_id"))
+    return t.pages.select("page_id", U.document_identity(_spelled(t), F.expr("cast(array() as array<string>)"), title).alias("document_id"))
 
 
 @query("o38_query_hash", """select c_custkey, sha256('["' || lower(trim(regexp_replace(c_mktsegment || '  ' || c_name, '[ \\t\\n\\r\\f]+', ' ', 'g'))) || '", "search-v1"]') as query_hash from customer""")
@@ -168,11 +186,17 @@ def o41g(t):
     return t.pages.select("page_id", T.rebase_path(p, "/old", "/new/root").alias("path"))
 
 
-@query("o54_route_rank", "select page_id, case page_id % 5 when 0 then 0 when 1 then 1 when 2 then 2 when 3 then 3 else 4 end as rnk from pages")
+#: Links and their ranks, worked out by hand.
+_RANKED = (
+    ("http://a.example/x.PDF?k=1", 0), ("http://a.example/a.pdf#x", 0), ("http://a.example/a.pdf;v=1", 0), (f"http://{U.MAIN_HOST}/main/ab", 1), (f"http://u@{U.MAIN_HOST.upper()}:80/MAIN/ab", 1), ("http://l.example/main/ab", 4),
+    (f"http://{U.MAIN_HOST}/x?f=/main/", 4), ("http://l.example/get.php?md5=1", 2), ("http://l.example/?next=get.php", 4), ("http://ipfs.io./x", 3), ("http://l.example/IPFS/x", 3), ("http://ipfsx.com/y", 4), ("http://g.example/?x=/ipfs/", 4), ("http://l.example/x#.pdf", 4),
+)
+
+
+@query("o54_route_rank", f"select page_id, case page_id % {len(_RANKED)} " + " ".join(f"when {k} then {rank}" for k, (_, rank) in enumerate(_RANKED)) + " end as rnk from pages")
 def o54(t):
-    m = F.col("page_id") % 5
-    u = F.when(m == 0, "http://a/x.PDF?k=1").when(m == 1, "http://l/main/ab").when(m == 2, "http://l/get.php?md5=1").when(m == 3, "http://ipfs.io/x").otherwise("http://l/other")
-    return t.pages.select("page_id", U.route_rank(u).alias("rnk"))
+    link = F.get(F.array(*[F.lit(u) for u, _ in _RANKED]), (F.col("page_id") % len(_RANKED)).cast("int"))
+    return t.pages.select("page_id", U.route_rank(link).alias("rnk"))
 
 
 @query(

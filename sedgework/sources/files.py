@@ -13,25 +13,34 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .logtable import LogTable
+
 LEDGER_ENTRY = "struct<status:string,size:long,bytes_downloaded:long,document_attempt:int,completed:boolean,query:string,sha256:string,duplicate_of:string,validation_status:string,last_error:string,candidate:struct<title:string,document_id:string,source_url:string,mirrors:array<string>,stage1_score:int>>"
 REPORT = "filename string, filepath string, stored_path string, source string, status string, query string, approved boolean, stage2_completed boolean, score int, confidence string, identity boolean, relevant boolean"
 
 
+_PAGE = "key string, page struct<version:long,url:string,html:string>"
+
+
+def page_cache(spark: SparkSession, folder: str) -> LogTable:
+    """Pages by the hash of their url; a page that is written again takes the place of its older version alone.  Of the
+    versions of one write the greatest html stays."""
+    return LogTable(spark, folder, "key", _PAGE, lambda rows: rows.groupBy("key").agg(F.max("page").alias("page")))
+
+
 def write_page_cache(pages: DataFrame, folder: str, url: str = "url", html: str = "html") -> None:
-    """Pages by the hash of their url; partitions of the hashes that come are replaced, others stay."""
-    rows = pages.select(F.sha2(url, 256).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("bucket", F.substring("key", 1, 2))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    """Adds pages to the cache, or replaces them; others stay."""
+    cache = page_cache(pages.sparkSession, folder)
+    page = F.struct(F.lit(cache.version() + 1).cast("long").alias("version"), F.col(url).alias("url"), F.col(html).alias("html"))
+    cache.append(pages.select(F.sha2(url, 256).alias("key"), page.alias("page")))
 
 
 def read_page_cache(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Cached pages that are usable; with ``wanted`` (url) only those."""
+    """(key, url, html) of cached pages that are usable; with ``wanted`` (url) only those."""
     from ..functions.text import usable_page
 
-    pages = spark.read.schema("key string, url string, html string, bucket string").parquet(folder).filter(usable_page(F.col("html")))
-    if wanted is None:
-        return pages
-    keys = wanted.select(F.sha2("url", 256).alias("key")).withColumn("bucket", F.substring("key", 1, 2))
-    return pages.join(keys.distinct(), ["bucket", "key"], "left_semi")
+    keys = None if wanted is None else wanted.select(F.sha2("url", 256).alias("key"))
+    return page_cache(spark, folder).rows(keys=keys).select("key", "page.url", "page.html").filter(usable_page(F.col("html")))
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

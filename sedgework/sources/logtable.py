@@ -111,9 +111,12 @@ class LogTable:
         inside = F.lit(True) if low is None else k >= F.lit(low).cast(kind)
         return F.coalesce(inside if high is None else inside & (k < F.lit(high).cast(kind)), F.lit(low is None))  # a null key lies below all
 
-    def rows(self, version: int | None = None, part: Column | None = None) -> DataFrame:
-        """The merged rows of the last or a given version; ``part`` is a condition on the key that reaches the files."""
-        return self.merge(self._live(version, part))
+    def rows(self, version: int | None = None, part: Column | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The merged rows of the last or a given version.
+
+        ``part`` is a condition on the key that reaches the files, ``keys`` a table with the keys that are wanted."""
+        live = self._live(version, part)
+        return self.merge(live if keys is None else live.join(keys.select(self.key).distinct(), self.key, "left_semi"))
 
     def compact(self, low=None, high=None) -> int:
         """Writes low <= key < high anew, merged and sorted; without bounds all keys.  -> the version.
