@@ -9,24 +9,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from .scans import BUCKET, before, bucketed, carried, within
+
 
 def clamped_gauge(df: DataFrame, key: list[str], order: list[str], delta: Column, out: str = "gauge") -> DataFrame:
     """x = max(0, x + delta) along the order, without a loop.
 
     With S the running sum, x = S - least(0, running minimum of S): a step that would fall below zero
-    moves the floor, and increments never do.
+    moves the floor, and increments never do.  A bucket's summary is its sum and its least S.
     """
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_d", delta).withColumn("_s", F.sum("_d").over(w))
-    return rows.withColumn(out, (F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).cast("long")).drop("_d", "_s")
+    rows = bucketed(df.withColumn("_d", delta), key, order[0])
+    w = within(key, order)
+    local = lambda r: r.withColumn("_s", F.sum("_d").over(w))
+    ends = local(rows).groupBy(*key, BUCKET).agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"))
+    ends = ends.withColumn("_s0", F.coalesce(F.sum("_sum").over(before(key)), F.lit(0)))
+    carry = ends.withColumn("_m0", F.coalesce(F.min(F.col("_s0") + F.col("_low")).over(before(key)), F.lit(0))).select(*key, BUCKET, "_s0", "_m0")
+    rows = carried(local(rows).withColumn("_m", F.min("_s").over(w)), carry, key, ["_s0", "_m0"])
+    floor = F.least(F.lit(0), F.col("_m0"), F.col("_s0") + F.col("_m"))
+    return rows.withColumn(out, (F.col("_s0") + F.col("_s") - floor).cast("long")).drop("_d", "_s", "_m", "_s0", "_m0", BUCKET)
 
 
 def goodput(df: DataFrame, doc: str, order: list[str], offset: Column, base: Column, useful: Column) -> DataFrame:
     """Adds ``fresh``: the bytes of each event above all that came before for its document."""
-    w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_o", offset).withColumn("_b", base)
-    high = F.greatest(F.col("_b"), F.coalesce(F.max("_o").over(w), F.col("_b")))
-    return rows.withColumn("fresh", F.when(useful, F.greatest(F.lit(0), F.col("_o") - high)).otherwise(0).cast("long")).drop("_o", "_b")
+    rows = bucketed(df.withColumn("_o", offset).withColumn("_b", base), [doc], order[0])
+    ends = rows.groupBy(doc, BUCKET).agg(F.max("_o").alias("_top"))
+    carry = ends.select(doc, BUCKET, F.max("_top").over(before([doc])).alias("_o0"))
+    w = within([doc], order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = carried(rows.withColumn("_m", F.max("_o").over(w)), carry, [doc], ["_o0"])
+    high = F.greatest("_b", "_m", "_o0")  # what is null counts for nothing
+    return rows.withColumn("fresh", F.when(useful, F.greatest(F.lit(0), F.col("_o") - high)).otherwise(0).cast("long")).drop("_o", "_b", "_m", "_o0", BUCKET)
 
 
 def state_time(df: DataFrame, worker: str, ts: str, order: list[str], state: str, step_s: int = 3600) -> DataFrame:
@@ -42,14 +53,26 @@ def state_time(df: DataFrame, worker: str, ts: str, order: list[str], state: str
 
 
 def worker_rows(df: DataFrame, worker: str, order: list[str], doc: str, restart: Column, fields: dict[str, Column]) -> DataFrame:
-    """Last known fields of each worker since its document changed or it was restarted."""
-    w = Window.partitionBy(worker).orderBy(*order)
-    changed = restart | ~F.col(doc).eqNullSafe(F.lag(doc).over(w))
-    rows = df.withColumn("_job", F.sum(F.when(changed, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pos = F.struct("_job", *order)
-    job = rows.groupBy(worker, "_job").agg(*[F.max_by(c, F.when(c.isNotNull(), pos)).alias(n) for n, c in fields.items()], F.max_by(doc, pos).alias(doc), F.count("*").alias("events"))
-    names = [doc, "events", *fields]
-    return job.groupBy(worker).agg(F.max_by(F.struct(*names), "_job").alias("_r")).select(worker, "_r.*")
+    """Last known fields of each worker since its document changed or it was restarted.
+
+    Of a bucket only the events since its last change matter, and of a worker the buckets since the last one with a
+    change, so both levels are aggregates over few rows.
+    """
+    rows = bucketed(df, [worker], order[0])
+    rows = rows.select(worker, BUCKET, F.struct(*order).alias("_pos"), F.col(doc).alias("_doc"), F.coalesce(restart, F.lit(False)).alias("_restart"), *[c.alias(n) for n, c in fields.items()])
+    ends = rows.groupBy(worker, BUCKET).agg(F.max_by(F.struct("_doc"), "_pos").alias("_end"))
+    carry = ends.select(worker, BUCKET, F.last("_end").over(before([worker])).alias("_before"))
+    w = Window.partitionBy(worker, BUCKET).orderBy("_pos")
+    known = carried(rows.withColumn("_lag", F.lag(F.struct("_doc")).over(w)), carry, [worker], ["_before"])
+    changed = F.col("_restart") | ~F.col("_doc").eqNullSafe(F.coalesce("_lag", "_before")["_doc"])
+    jobs = known.withColumn("_changed", changed).withColumn("_job", F.sum(F.col("_changed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    values = [F.max(F.when(F.col(n).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(n).alias("v")))).alias(n) for n in fields]
+    job = jobs.groupBy(worker, BUCKET, "_job").agg(*values, F.max(F.struct("_pos", "_doc")).alias("_end"), F.count("*").alias("events"), F.max("_changed").alias("_changed"))
+    last = job.groupBy(worker, BUCKET).agg(F.max_by(F.struct("events", "_end", *fields), "_job").alias("_r"), F.max("_changed").alias("_changed")).select(worker, BUCKET, "_changed", "_r.*")
+    since = F.max(F.when(F.col("_changed"), F.col(BUCKET))).over(Window.partitionBy(worker))
+    last = last.withColumn("_since", since).filter(F.col(BUCKET) >= F.coalesce("_since", F.lit(0)))
+    out = last.groupBy(worker).agg(F.max("_end").alias("_end"), F.sum("events").alias("events"), *[F.max(n).alias(n) for n in fields])
+    return out.select(worker, F.col("_end._doc").alias(doc), "events", *[F.col(n)["v"].alias(n) for n in fields])
 
 
 def stalls(df: DataFrame, worker: str, order: list[str], ts: str, active: Column, seconds: int) -> DataFrame:
