@@ -25,7 +25,6 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -44,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import frugal, shared_dir, slices, table, text_or_empty
 
 #: Ids of a frame; frames that one reading task takes in a row; bytes of text encoded at once; stretches remembered.
-FRAME, GROUP, SLICE, KNOWN = 1 << 16, 64, 4 << 20, 300_000
+FRAME, GROUP, SLICE, KNOWN = 1 << 16, 64, 4 << 20, 1_000_000
 LEVEL, END = 3, 1
 # The public seekable format of zstandard (fixed values).
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -63,7 +62,9 @@ def tokenizer_path() -> str:
 # and words are runs of letters, single digits or runs of other characters, without white space.
 _NORMAL = ["NFC", "Replace", "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_CUT = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?])")
+_BEFORE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_BEFORE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")] = True
+_MARK[list(b".,;:!?")] = True
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -94,7 +95,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes = _Codes()
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
@@ -114,19 +115,13 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64)
         if len(self.codes) > KNOWN:
             self._forget()
-        words, sizes, whole = [], np.zeros(len(texts), np.int64), {}
-        for k, t in enumerate(texts):
-            if b"<|" in t:  # perhaps a special token
-                whole[k] = self._whole(t)
-                continue
-            if b"\xcc" not in t:  # no accents that would join with small letters only
-                t = t.translate(_LOW)
-            found = _CUT.sub(b" ", t).split()
-            words += found
-            sizes[k] = len(found)
-        codes, start = self.codes, len(self.codes)
-        at = np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words))
-        self._learn(list(itertools.islice(codes, start, None)))
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if b"<|" in t}  # perhaps a special token
+        # accents (all begin with one byte) may join with small letters only
+        rest = [b"" if k in whole else t if b"\xcc" in t else t.translate(_LOW) for k, t in enumerate(texts)]
+        words, sizes = _stretches(rest)
+        start = len(self.codes)
+        at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        self._learn(list(itertools.islice(self.codes, start, None)))
         n = np.diff(self.ends)[at]
         ids = self.flat[np.repeat(self.ends[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         if not whole:
@@ -136,6 +131,26 @@ class Encoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
+class _Codes(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        code = self[key] = len(self)
+        return code
+
+
+def _stretches(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The stretches of all texts in a row, and their number in each text."""
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.flatnonzero(_BEFORE[data[:-1]] & _MARK[data[1:]]) + 1
+    at = at[~np.isin(at, ends)]
+    cut = np.insert(data, at, 32).tobytes()
+    ends = ends + np.searchsorted(at, ends)
+    found = [cut[i:e].split() for i, e in zip([0, *ends.tolist()], ends.tolist())]
+    return list(itertools.chain.from_iterable(found)), np.array([len(f) for f in found], np.int64)
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
