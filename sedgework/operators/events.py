@@ -83,6 +83,20 @@ def stalls(df: DataFrame, worker: str, order: list[str], ts: str, active: Column
     return df.withColumn("gap_us", gap).filter(active & (F.col("gap_us") >= max(1, seconds) * 1_000_000))
 
 
+def due(state: tuple, t: float, offset: int, ok: bool, seconds: float, size: int, event_seconds: float) -> tuple[tuple, bool, bool]:
+    """The state after a progress report, and whether to persist it and to emit an event.
+
+    ``state`` is the time and offset of the last successful write and the time of the last event, each None before the
+    first one.
+    """
+    last_t, last_o, last_event = state
+    if last_o is not None and offset < last_o:
+        last_o = offset
+    persist = last_t is None or t - last_t >= seconds or offset - last_o >= size
+    emit = last_event is None or t - last_event >= event_seconds
+    return ((t, offset) if persist and ok else (last_t, last_o)) + (t if emit else last_event,), persist, emit
+
+
 def progress_marks(df: DataFrame, key: str, seconds: float = 2.0, size: int = 8 << 20, event_seconds: float = 0.5) -> DataFrame:
     """``df`` with persist and emit: what a progress report leads to.
 
@@ -97,23 +111,15 @@ def progress_marks(df: DataFrame, key: str, seconds: float = 2.0, size: int = 8
     schema = StructType([*df.schema.fields, StructField("persist", BooleanType()), StructField("emit", BooleanType())])
 
     def run(batches):
-        at, fresh, last_t, last_o, last_event = None, True, None, None, None
+        at, fresh, state = None, True, (None, None, None)
         for pdf in batches:
-            persist, emit = [], []
+            marks = []
             for k, t, o, ok in zip(pdf[key].astype(object).where(pdf[key].notna(), None), pdf["t"], pdf["offset"], pdf["ok"]):
                 if fresh or k != at:
-                    at, fresh, last_t, last_o, last_event = k, False, None, None, None
-                if last_o is not None and o < last_o:
-                    last_o = o
-                due = last_t is None or t - last_t >= seconds or o - last_o >= size
-                if due and ok:
-                    last_t, last_o = t, o
-                shown = last_event is None or t - last_event >= event_seconds
-                if shown:
-                    last_event = t
-                persist.append(bool(due))
-                emit.append(bool(shown))
-            yield pdf.assign(persist=persist, emit=emit)
+                    at, fresh, state = k, False, (None, None, None)
+                state, persist, emit = due(state, t, o, ok, seconds, size, event_seconds)
+                marks.append((bool(persist), bool(emit)))
+            yield pdf.assign(persist=[m[0] for m in marks], emit=[m[1] for m in marks])
 
     return df.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, schema)
 
