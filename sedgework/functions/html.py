@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urldefrag, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -209,6 +209,28 @@ def extract_document_rows(pages: DataFrame, keys: list[str], html: str = "html",
     return _rows(pages, html, base, keys, document_rows, "title string, link string, text string", ["title", "link", "text"])
 
 
+class DocumentRows:
+    """Table function (html, base): the rows of ``document_rows``, to be joined laterally."""
+
+    def eval(self, html: str, base: str):
+        for i, d in enumerate(document_rows(html, base or "")):
+            yield i, d["title"], d["link"], d["text"]
+
+
+class MirrorRows:
+    """Table function (html, base): the rows of ``mirror_rows`` without named hosts."""
+
+    def eval(self, html: str, base: str):
+        for i, d in enumerate(mirror_rows(html, base or "")):
+            yield i, d["links"], d["mirrors"]
+
+
+def register_tables(spark: SparkSession) -> None:
+    """Makes both known to SQL: ``select p.id, r.* from pages p, lateral document_rows(p.html, p.url) r``."""
+    spark.udtf.register("document_rows", F.udtf(DocumentRows, returnType="row_no int, title string, link string, text string", useArrow=True))
+    spark.udtf.register("mirror_rows", F.udtf(MirrorRows, returnType="row_no int, links array<string>, mirrors array<string>", useArrow=True))
+
+
 def linear_text(html: Column) -> Column:
     return F.pandas_udf(_linear, StringType())(html)
 

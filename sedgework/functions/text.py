@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from pathlib import PurePosixPath
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .vocab import BLOCK_PAGE_SIGNS
 
+
 def usable_page(html: Column) -> Column:
     """Long enough and without the words of block pages."""
     return (F.length(F.trim(html)) >= 200) & ~F.lower(html).rlike("|".join(BLOCK_PAGE_SIGNS))
@@ -76,6 +83,41 @@ def rebase_path(p: Column, old: str, new: str) -> Column:
     return F.when((q == old) | q.startswith(old + "/"), F.concat(F.lit(new), F.substring(q, F.lit(len(old) + 1), F.length(q)))).otherwise(q)
 
 
+def rebased(value, old: str, new: str):
+    """A JSON value with the paths below ``old`` put below ``new``, at any depth; names of objects stay."""
+    old = old.replace("\\", "/").rstrip("/")
+    box = [value]
+    todo: list[tuple] = [(box, 0)]  # a holder and a place in it, so that nesting needs no recursion
+    while todo:
+        holder, at = todo.pop()
+        x = holder[at]
+        if isinstance(x, str):
+            path = x.replace("\\", "/")
+            if path.startswith(old + "/"):
+                holder[at] = str(PurePosixPath(new) / path[len(old) + 1 :].lstrip("/"))
+        elif isinstance(x, (dict, list)):
+            todo += [(x, k) for k in (x if isinstance(x, dict) else range(len(x)))]
+    return box[0]
+
+
+def rebase_json(document: Column, old: str, new: str) -> Column:
+    """``rebased`` over JSON documents; what is no JSON stays as it is, a null is null."""
+
+    def one(text):
+        try:
+            value = json.loads(text)
+            moved = rebased(value, old, new)
+            return json.dumps(moved, ensure_ascii=False)
+        except (TypeError, ValueError, RecursionError):
+            return text
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(one)
+
+    return F.pandas_udf(run, StringType())(document)
+
+
 def destination_name(name: Column) -> Column:
     """The base name with .pdf; null for names that are no file."""
     base = F.regexp_extract(F.replace(name, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)

@@ -13,8 +13,15 @@ from ..functions.vocab import MAX_ATTEMPTS
 TERMINAL = ("COMPLETED", "PERMANENTLY_FAILED")
 
 
+def page_shards(pages: DataFrame, number: Column, shards: int) -> DataFrame:
+    """Adds the shard of each page: pages are numbered from 1 and dealt to shards in turn."""
+    return pages.withColumn("shard", F.pmod(number - 1, F.lit(shards)).cast("int"))
+
+
 def pages(spark: SparkSession, n: int, shards: int) -> DataFrame:
-    return spark.range(1, n + 1).select(F.col("id").alias("page"), F.pmod(F.col("id") - 1, F.lit(shards)).cast("int").alias("shard"))
+    """The pages 1 to n of a run with their shards."""
+    numbers = spark.range(1, n + 1).select(F.col("id").alias("page"))
+    return page_shards(numbers, F.col("page"), shards)
 
 
 def register(runs: DataFrame, wanted: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:

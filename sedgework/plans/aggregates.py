@@ -71,13 +71,12 @@ def o87(t):
 def o88(t):
     ok = F.col("event_type").isin("purchase", "click")
     pts = F.expr("case event_type when 'purchase' then 10 when 'click' then 5 when 'error' then -20 when 'signup' then -30 else 0 end")
-    last = F.max(F.when(ok, F.col("event_id"))).over(Window.partitionBy("user_id"))
-    rows = t.events.withColumn("last_ok", last)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return rows.groupBy("user_id").agg(
-        F.sum(pts).alias("score"), F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), F.max(F.when(~ok, us)).alias("last_failure"),
-        F.count_if(~ok & (F.col("last_ok").isNull() | (F.col("event_id") > F.col("last_ok")))).alias("consecutive"),
-    )
+    # two aggregates that combine before the shuffle; only failures are sent as rows, for the join in between
+    sums = t.events.groupBy("user_id").agg(F.sum(pts).alias("score"), F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), F.max(F.when(~ok, us)).alias("last_failure"), F.max(F.when(ok, F.col("event_id"))).alias("_last_ok"))
+    since = t.events.filter(~ok).select("user_id", "event_id").join(sums.select("user_id", "_last_ok"), "user_id").filter("_last_ok is null or event_id > _last_ok")
+    run = since.groupBy("user_id").agg(F.count("*").alias("_run"))
+    return sums.join(run, "user_id", "left").select("user_id", "score", "successes", "failures", "last_failure", F.coalesce("_run", F.lit(0)).alias("consecutive"))
 
 
 @query("o89_metric_totals", "with h as (select max(ts) as m from events), s as (select event_type, sum(value) as now, sum(value) filter (where ts < m - interval 1 day) as before from events, h group by 1) select event_type, round(now, 4) as total, round(now - coalesce(before, 0), 4) as delta, round(now - coalesce(before, 0), 4) / 1048576.0::double / 86400.0::double as rate from s")

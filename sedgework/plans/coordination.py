@@ -24,9 +24,9 @@ def o140b(t):
     return C.register(runs, t.customer.select(F.col("c_custkey").alias("k"), F.lit(3).alias("shards")), "k", ["shards"])[1]
 
 
-@query("o141_page_shards", "select i as page, cast((i - 1) % 3 as int) as shard from range(1, 13) r(i)")
+@query("o141_page_shards", "select page_id, cast(page_id % 3 as int) as shard from pages")
 def o141(t):
-    return C.pages(t.spark, 12, 3)
+    return C.page_shards(t.pages.select("page_id"), F.col("page_id") + 1, 3).select("page_id", "shard")
 
 
 _NOW = "(select max(epoch_us(o_orderdate)) from orders) - 86400000000 * 400"

@@ -52,6 +52,19 @@ def o22b(t):
     return H.extract_document_rows(pages, ["page_id"]).select("page_id", "row_no", "title", F.substring("link", 20, 1000).alias("path"))
 
 
+@query("o22_lateral_rows", f"select page_id, cast(i as int) as row_no, 'Title ' || i as title, 'http://site.example/book/' || i || '/' || page_id as link from {_I}")
+def o22c(t):
+    """The rows by the table function, joined laterally in SQL."""
+    H.register_tables(t.spark)
+    return t.spark.sql("select p.page_id, r.row_no, r.title, r.link from {pages} p, lateral document_rows(p.html, p.base_url) r", pages=_table(t))
+
+
+@query("o21_lateral_rows", f"select page_id, cast(i as int) as row_no, 'http://mirror.example/main/' || md5(url || i) as mirror from {_I}")
+def o21b(t):
+    H.register_tables(t.spark)
+    return t.spark.sql("select p.page_id, r.row_no, element_at(r.mirrors, 1) as mirror from {pages} p, lateral mirror_rows(p.html, p.base_url) r", pages=_table(t))
+
+
 @query("o24_download_links", """select page_id, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: contains(x, '.pdf'))[1] as first_pdf from pages""")
 def o24(t):
     links = F.filter(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda x: x.contains(".pdf"))

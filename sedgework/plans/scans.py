@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import rebase_path, usable_page
+from ..functions.text import rebase_json, rebase_path, usable_page
 from ..sources import files as S
 from .registry import query
 
@@ -52,6 +52,13 @@ def o10(t):
     return t.documents.select("doc_id", rebase_path(p, "/local/run", "/content/drive").alias("path"))
 
 
+@query("o10_nested_rebase", """select page_id, '{"entry": {"part_path": "/content/drive/a/' || page_id || '.pdf", "/local/run/k": [{"paths": ["/content/drive/x/y", "/local/runs/z", ' || page_id || ', null, true]}], "title": "see /local/run/x é"}}' as document from pages""")
+def o10b(t):
+    i = F.col("page_id").cast("string")
+    document = F.concat(F.lit('{"entry": {"part_path": "/local/run/a/'), i, F.lit('.pdf", "/local/run/k": [{"paths": ["\\\\local\\\\run\\\\x\\\\y", "/local/runs/z", '), i, F.lit(', null, true]}], "title": "see /local/run/x é"}}'))
+    return t.pages.select("page_id", rebase_json(document, "/local/run/", "/content/drive").alias("document"))
+
+
 @query("o13_proxy_list", "select p_partkey, trim(p_name) as line from part where p_partkey % 3 = 0")
 def o13(t):
     m = F.col("p_partkey") % 3

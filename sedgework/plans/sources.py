@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.integrity import file_signature
 from ..sources import files as S
+from ..sources import keyed_json
 from .registry import query
 
 _USABLE = "length(trim(html)) >= 200 and not regexp_matches(lower(html), 'access denied|captcha|temporarily unavailable|error 502|error 503')"
@@ -63,6 +64,19 @@ def o12(t):
     return t.events.select("user_id").distinct().withColumn("text", text).mapInPandas(parse, "user_id long, max_workers long, retry_limit long, stall_s double")
 
 
+@query("o09_atomic_documents", "select 'nation/' || n_nationkey as key, n_name as name, count(c_custkey) as customers, coalesce(max(c_custkey), 0) as last from nation left join customer on c_nationkey = n_nationkey group by n_nationkey, n_name")
+def o09(t):
+    """A document for each nation, written over an older one and read back."""
+    keyed_json.register(t.spark)
+    rows = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("customers"), F.coalesce(F.max("c_custkey"), F.lit(0)).alias("last"))
+    key = F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("key")
+    folder = S.work_folder(t.spark, "documents")
+    for body in (F.struct(F.lit("old").alias("name")), F.struct(F.col("n_name").alias("name"), "customers", "last")):
+        rows.select(key, F.to_json(body).alias("document")).write.format("keyed_json").mode("append").save(folder)
+    read = t.spark.read.format("keyed_json").load(folder)
+    return read.select("key", F.from_json("document", "name string, customers long, last long").alias("d")).select("key", "d.*")
+
+
 @query("o100_event_emit", "select event_id, event_type, cast(greatest(0, event_id % 7 - 2) as bigint) as \"count\" from events")
 def o100(t):
     folder = S.work_folder(t.spark, "events")

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedgework.functions import html as H
+from sedgework.functions import text as T
 from sedgework.functions import urls as U
 from sedgework.operators import dedup as D
+from sedgework.operators import providers
 from sedgework.sources import files as S
 
 
@@ -81,3 +83,43 @@ def test_writing_one_page_leaves_its_buckets_other_pages(spark, tmp_path):
     S.page_cache(spark, folder).compact()
     wanted = spark.createDataFrame([(two,), (two,), ("none",)], "url string")
     assert [r.url for r in S.read_page_cache(spark, folder, wanted).collect()] == [two]
+
+
+def test_rebasing_reaches_any_depth():
+    value = {"/old/k": ["/old/a", {"p": "\\\\old\\\\b\\\\c".replace("\\\\", "\\"), "q": [["/old", "/older/x", "x/old/y", 1, None, True]]}], "s": "/old/a/./b"}
+    assert T.rebased(value, "/old/", "/new/root") == {"/old/k": ["/new/root/a", {"p": "/new/root/b/c", "q": [["/old", "/older/x", "x/old/y", 1, None, True]]}], "s": "/new/root/a/b"}
+    assert T.rebased("/old/x", "\\old", "rel") == "rel/x" and T.rebased(5, "/old", "/n") == 5
+    deep = "/old/x"
+    for _ in range(5000):
+        deep = [deep]
+    got = T.rebased(deep, "/old", "/n")
+    while isinstance(got, list):
+        got = got[0]
+    assert got == "/n/x"
+
+
+def test_rebasing_leaves_what_is_no_json(spark):
+    rows = [('{"a": "/o/x"}', '{"a": "/n/x"}'), ("{broken /o/x", "{broken /o/x"), (None, None), ('"/o/é"', '"/n/é"')]
+    df = spark.createDataFrame(rows, "d string, want string")
+    assert all(r[0] == r[1] for r in df.select(T.rebase_json(F.col("d"), "/o", "/n"), "want").collect())
+
+
+def test_any_provider_of_verdicts_is_taken(spark):
+    requests = spark.createDataFrame([(1, "good"), (2, "good"), (3, "good"), (4, "sparse"), (4, "sparse")], "id long, q string")
+    asked = []
+
+    def provider(df):
+        asked.append(df.columns)
+        return df.select("id", F.when(F.col("id") == 1, 'x {"approved": "yes", "score": "71.5"}').when(F.col("id") == 2, "none").when(F.col("id") == 4, '{"approved": true, "score": 99}').alias("raw"))
+
+    got = sorted(tuple(r) for r in providers.judged(requests, provider, ["id"], "q").select("id", "approved", "score", "status").collect())
+    assert got == [(1, True, 71, "APPROVED"), (2, None, None, "PENDING"), (3, None, None, "PENDING"), (4, True, 99, "PENDING"), (4, True, 99, "PENDING")] and asked == [["id", "q"]]
+    with pytest.raises(ValueError, match="no column raw"):
+        providers.judged(requests, lambda df: df.select("id"), ["id"], "q")
+
+
+def test_table_functions_give_the_rows_of_the_dataframe_form(spark):
+    H.register_tables(spark)
+    pages = spark.createDataFrame([(1, "<table><tr><td><a href='/book/1'>T</a></td></tr><tr><td><a href='/book/2'>7</a> x</td></tr></table>", "http://h.example"), (2, None, None), (3, "", "http://h.example")], "id long, html string, base_url string")
+    got = spark.sql("select p.id, r.* from {pages} p, lateral document_rows(p.html, p.base_url) r", pages=pages)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, H.extract_document_rows(pages, ["id"]).collect())) and got.count() == 2
