@@ -7,8 +7,10 @@ of its range depth-first, keeps the pointers' counts of the open ones only, and
 frequent.  A range may begin or end inside a prefix, so one prefix of any size is split over tasks: those on a task's
 first and last path are returned whatever their count, and the parts are added.
 
-Which words and pairs are frequent reaches the tasks as bit filters of a fixed size (``BITS``): they let a few others
-through, which costs work and no exactness, as counts are always of the words themselves.  Scores are decimals of up
+Pairs are counted by the numbers of their words where the frequent words make a dictionary of at most ``WORDS`` entries and
+``BYTES`` bytes, which every task then gets, and as they are spelled where it would be larger.  What else is frequent
+reaches the tasks as bit filters of a fixed size (``BITS``): they let a few others through, which costs work and no
+exactness, as counts are always of the words themselves.  Scores are decimals of up
 to 38 digits: exact for counts below 10**16.
 
 Cases: null text counts as empty, a null language as ``und``; texts and words of any length are read whole; repeated
@@ -31,6 +33,8 @@ from .common import frugal, materialize, slices, table, text_or_empty
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bits of a filter (a power of two), and bytes of text that are read at once (a longer text stands alone).
 BITS, SLICE = 1 << 24, 4 << 20
+#: The largest dictionary of frequent words that is sent to the tasks: words, and bytes of them.
+WORDS, BYTES = 400_000, 8 << 20
 _MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _COUNTED = "lang string, phrase string, n long"
 
@@ -93,6 +97,8 @@ def _spelled(pairs: np.ndarray, words: list[bytes]) -> list[bytes]:
 
 
 def _pairs(bits: np.ndarray):
+    """(lang, phrase, n) of pairs, spelled."""
+
     def run(batches):
         for lang, codes, words in _read(batches):
             found, n = np.unique(_frequent_pairs(codes, words, lang, bits)[1], return_counts=True)
@@ -101,6 +107,21 @@ def _pairs(bits: np.ndarray):
     return run
 
 
+def _numbered_pairs(numbers: dict[str, dict[bytes, int]]):
+    """(left, right, n) of pairs of words that have a number."""
+
+    def run(batches):
+        for lang, codes, words in _read(batches):
+            known = numbers.get(lang, {})
+            ids = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+            ids = np.append(ids, -1)[codes]  # the end of a piece has none
+            at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            found, n = np.unique(ids[at] << 32 | ids[at + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], names=["pair", "n"])
+
+    return run
+
+
 def _contexts(bits: np.ndarray, pair_bits: np.ndarray, longest: int):
     """Rows (lang, words, n): right contexts of three words and more, each pair of which may be frequent."""
 
@@ -182,10 +203,24 @@ def _added(counted: DataFrame, least: int) -> DataFrame:
 
 def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, n): all phrases of up to ``longest`` words that occur ``least`` times, and a null phrase with the number of words."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     words = materialize(_added(texts.mapInArrow(frugal(_words), _COUNTED), least), "phrases-words")
     bits = _filter(words.dropna())
-    pairs = materialize(_added(texts.mapInArrow(frugal(_pairs(bits)), _COUNTED), least), "phrases-pairs")
+    n, size = words.dropna().agg(F.count("*"), F.sum(F.octet_length("phrase"))).first()
+    if n <= WORDS and (size or 0) <= BYTES:
+        numbers: dict[str, dict[bytes, int]] = {}
+        rows = [(i, r.lang, r.phrase) for i, r in enumerate(words.dropna().select("lang", "phrase").collect())]
+        for i, lang, phrase in rows:
+            numbers.setdefault(lang, {})[phrase.encode()] = i
+        pairs = texts.mapInArrow(frugal(_numbered_pairs(numbers)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        named = spark.createDataFrame(rows, "id long, lang string, word string")
+        left, right = (named.select(F.col("id").alias(k), *more) for k, *more in (("l", "lang", F.col("word").alias("a")), ("r", F.col("word").alias("b"))))
+        pairs = pairs.withColumns({"l": F.shiftright("pair", 32), "r": F.col("pair").bitwiseAND(F.lit(2**32 - 1))}).join(left, "l").join(right, "r")
+        pairs = pairs.select("lang", F.concat_ws(" ", "a", "b").alias("phrase"), "n")
+    else:
+        pairs = _added(texts.mapInArrow(frugal(_pairs(bits)), _COUNTED), least)
+    pairs = materialize(pairs, "phrases-pairs")
     met = texts.mapInArrow(frugal(_contexts(bits, _filter(pairs), longest)), "lang string, words array<string>, n long")
     met = materialize(met.groupBy("lang", "words").agg(F.sum("n").alias("n")), "phrases-contexts")
     grown = met.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words").mapInArrow(frugal(_grow(least)), _COUNTED)
@@ -198,7 +233,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     A phrase's score is that of its worst cut, ``floor(1000 * a * n / (l * r))``; phrases that stand only inside a longer
     frequent one go.
     """
-    found = frequent(docs, lang_col, text_col, least, longest)
+    return _scored(frequent(docs, lang_col, text_col, least, longest), top)
+
+
+def _scored(found: DataFrame, top: int) -> DataFrame:
+    """The ranked rows of all frequent phrases, see ``frequent``."""
     totals = found.filter("phrase is null").select("lang", F.col("n").alias("n"))
     counts = found.dropna().select("lang", "phrase", F.col("n").alias("a"))
     phrases = counts.withColumn("w", F.split("phrase", " ")).filter(F.size("w") > 1)
