@@ -96,3 +96,45 @@ def test_rates_are_tilts_of_the_documents(spark):
         for found in by.values():
             assert abs(sum(c for c, _ in found) - sum(w for _, w in found)) <= 3
         assert all(math.floor(w) <= c <= math.floor(w) + 1 for found in by.values() for c, w in found)
+
+
+def taken(spark, rows):
+    got = op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    out = {}
+    for r in got:
+        assert 0 <= r.copies <= 3
+        out.setdefault(r.source, [0, r.target, r.source_taken, r.missed])[0] += r.copies * r.size
+    assert all(t == said for t, _, said, _ in out.values())
+    return out
+
+
+def test_short_documents_fill_what_a_long_one_leaves(spark):
+    """A target of 10,333 words from a thousand single words and one text of 20,000: three copies of each word are nearest."""
+    rows = [(i, "w", "a") for i in range(1000)] + [(5000, "w " * 20_000, "a"), (5001, "w " * 20_000, "b"), (5002, "w " * 21_000, "c")]
+    got = taken(spark, rows)
+    assert round(got["a"][1]) == 10_333 and got["a"][0] == 3000 and not got["a"][3]
+
+
+def test_copies_are_exchanged_for_others(spark):
+    """Every source comes within its least size of the target."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, "w " * rnd.choice([17, 23, 101, 400, 999]), "abcdef"[i % 6]) for i in range(600)]
+    got = taken(spark, rows)
+    assert all(abs(t - target) <= 17 and not missed for t, target, _, missed in got.values())
+
+
+def test_a_target_out_of_reach_is_marked(spark):
+    got = taken(spark, [(1, "w " * 10, "a"), (2, "w " * 1000, "b"), (3, "w " * 10, "c"), (4, "w " * 10, "d")])
+    assert all(missed == (abs(t - target) > {"b": 500}.get(s, 5)) for s, (t, target, _, missed) in got.items())
+
+
+def test_reruns_with_other_partitions_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    runs = []
+    for n in (3, 7, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        runs.append(sorted(map(str, op.mix(docs.repartition(n + 1)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert runs[0] == runs[1] == runs[2]
