@@ -331,10 +331,10 @@ class Model:
         The last is the SHA-256 of start and end of each id's piece as 64-bit little-endian numbers.
         """
         number: dict[str, int] = {}
-        rows, which, normals = [], [], []
+        rows, which, walked = [], [], []
         for t in texts:
             normal, starts, _ = self.aligned(t)
-            normals.append(normal if starts is None else None)
+            walked.append(starts is not None)
             parts = self.stretches(normal) if starts is None else []
             which += [number.setdefault(s, len(number)) for s in parts]
             rows.append(len(parts))
@@ -344,8 +344,8 @@ class Model:
         src = np.repeat((np.cumsum(n) - n)[which] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
         edge = np.append(0, np.cumsum(take))[np.append(0, np.cumsum(rows))].tolist()
         out = []
-        for k, normal in enumerate(normals):
-            if normal is None:
+        for k, by_map in enumerate(walked):
+            if by_map:
                 found = self.spans(texts[k])
                 own = [x[0] for x in found]
                 out.append((len(own), _sha(",".join(map(str, own))), _sha(self.decode(own)), hashlib.sha256(np.array([x[2:] for x in found], "<i8").tobytes()).hexdigest()))
@@ -359,12 +359,7 @@ class Model:
                 spans -= 1
                 np.maximum(spans, 0, out=spans)
             listed = own.tolist()
-            if not self.byte_id and (own == self.unknown).any():
-                back = self.decode(listed)
-            else:  # pieces stand for their characters, and the bytes of a character for it
-                back = normal.replace(SIGN, " ")
-                back = back[1:] if self.dummy_prefix and back.startswith(" ") else back
-            out.append((len(listed), _sha(",".join(map(str, listed))), _sha(back), hashlib.sha256(spans).hexdigest()))
+            out.append((len(listed), _sha(",".join(map(str, listed))), _sha(self.decode(listed)), hashlib.sha256(spans).hexdigest()))
         return out
 
     def digest(self, text: str) -> tuple[int, str, str, str]:
@@ -373,7 +368,7 @@ class Model:
     def plain(self, ids: list[int]) -> str:
         """Surface of ids, the dummy prefix still in place."""
         if self.byte_of.keys().isdisjoint(ids):
-            return "".join([self.surface[k] for k in ids])
+            return "".join(map(self.surface.__getitem__, ids))
         out: list[str] = []
         pending = bytearray()
         for k in ids:
