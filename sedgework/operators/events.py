@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .scans import BUCKET, before, bucketed, carried, within
+from .scans import BUCKET, after, before, bucketed, carried, within
 
 
 def clamped_gauge(df: DataFrame, key: list[str], order: list[str], delta: Column, out: str = "gauge") -> DataFrame:
@@ -18,34 +18,48 @@ def clamped_gauge(df: DataFrame, key: list[str], order: list[str], delta: Column
     With S the running sum, x = S - least(0, running minimum of S): a step that would fall below zero
     moves the floor, and increments never do.  A bucket's summary is its sum and its least S.
     """
-    rows = bucketed(df.withColumn("_d", delta), key, order[0])
+    rows, cut = bucketed(df.withColumn("_d", delta), key, order[0])
     w = within(key, order)
-    local = lambda r: r.withColumn("_s", F.sum("_d").over(w))
-    ends = local(rows).groupBy(*key, BUCKET).agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"))
-    ends = ends.withColumn("_s0", F.coalesce(F.sum("_sum").over(before(key)), F.lit(0)))
-    carry = ends.withColumn("_m0", F.coalesce(F.min(F.col("_s0") + F.col("_low")).over(before(key)), F.lit(0))).select(*key, BUCKET, "_s0", "_m0")
-    rows = carried(local(rows).withColumn("_m", F.min("_s").over(w)), carry, key, ["_s0", "_m0"])
-    floor = F.least(F.lit(0), F.col("_m0"), F.col("_s0") + F.col("_m"))
-    return rows.withColumn(out, (F.col("_s0") + F.col("_s") - floor).cast("long")).drop("_d", "_s", "_m", "_s0", "_m0", BUCKET)
+    rows = rows.withColumn("_s", F.sum("_d").over(w))
+    floor = F.min("_s").over(w)
+    if cut:
+        ends = rows.groupBy(*key, BUCKET).agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"))
+        ends = ends.withColumn("_s0", F.coalesce(F.sum("_sum").over(before(key)), F.lit(0)))
+        carry = ends.withColumn("_m0", F.min(F.col("_s0") + F.col("_low")).over(before(key))).select(*key, BUCKET, "_s0", "_m0")
+        rows = carried(rows.withColumn("_m", floor), carry, key, ["_s0", "_m0"])
+        rows, floor = rows.withColumn("_s", F.col("_s0") + F.col("_s")), F.least("_m0", F.col("_s0") + F.col("_m"))
+    return rows.withColumn(out, (F.col("_s") - F.least(F.lit(0), floor)).cast("long")).select(*[c for c in df.columns if c != out], out)
 
 
 def goodput(df: DataFrame, doc: str, order: list[str], offset: Column, base: Column, useful: Column) -> DataFrame:
     """Adds ``fresh``: the bytes of each event above all that came before for its document."""
-    rows = bucketed(df.withColumn("_o", offset).withColumn("_b", base), [doc], order[0])
-    ends = rows.groupBy(doc, BUCKET).agg(F.max("_o").alias("_top"))
-    carry = ends.select(doc, BUCKET, F.max("_top").over(before([doc])).alias("_o0"))
-    w = within([doc], order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = carried(rows.withColumn("_m", F.max("_o").over(w)), carry, [doc], ["_o0"])
-    high = F.greatest("_b", "_m", "_o0")  # what is null counts for nothing
-    return rows.withColumn("fresh", F.when(useful, F.greatest(F.lit(0), F.col("_o") - high)).otherwise(0).cast("long")).drop("_o", "_b", "_m", "_o0", BUCKET)
+    rows, cut = bucketed(df.withColumn("_o", offset).withColumn("_b", base), [doc], order[0])
+    rows = rows.withColumn("_m", F.max("_o").over(within([doc], order).rowsBetween(Window.unboundedPreceding, -1)))
+    tops = ["_b", "_m"]
+    if cut:
+        ends = rows.groupBy(doc, BUCKET).agg(F.max("_o").alias("_top"))
+        rows = carried(rows, ends.select(doc, BUCKET, F.max("_top").over(before([doc])).alias("_o0")), [doc], ["_o0"])
+        tops.append("_o0")
+    fresh = F.when(useful, F.greatest(F.lit(0), F.col("_o") - F.greatest(*tops))).otherwise(0)  # what is null counts for nothing
+    return rows.withColumn("fresh", fresh.cast("long")).select(*df.columns, "fresh")
+
+
+def _next_instant(df: DataFrame, key: str, ts: str, order: list[str]) -> DataFrame:
+    """Adds the microseconds of an event (_at) and of the key's next one (_next, null for the last)."""
+    rows, cut = bucketed(df, [key], order[0])
+    rows = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    lead = F.lead("_at").over(Window.partitionBy(key, BUCKET).orderBy(*order))
+    if cut:  # the last one of a bucket is followed by the first one of the next bucket
+        ends = rows.groupBy(key, BUCKET).agg(F.min_by("_at", F.struct(*order)).alias("_first"))
+        rows = carried(rows.withColumn("_lead", lead), ends.select(key, BUCKET, F.last("_first").over(after([key])).alias("_then")), [key], ["_then"])
+        lead = F.coalesce("_lead", "_then")
+    return rows.withColumn("_next", lead).select(*df.columns, "_at", "_next")
 
 
 def state_time(df: DataFrame, worker: str, ts: str, order: list[str], state: str, step_s: int = 3600) -> DataFrame:
     """(worker, state, slot, micros): each interval between changes, split at multiples of ``step_s`` seconds."""
-    w = Window.partitionBy(worker).orderBy(*order)
     step = step_s * 1_000_000
-    a = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(worker, F.col(state).alias("state"), a.alias("_a"), F.lead(a).over(w).alias("_z")).filter("_z > _a")
+    rows = _next_instant(df, worker, ts, order).select(worker, F.col(state).alias("state"), F.col("_at").alias("_a"), F.col("_next").alias("_z")).filter("_z > _a")
     slots = F.sequence(F.floor(F.col("_a") / step), F.floor((F.col("_z") - 1) / step))
     rows = rows.withColumn("slot", F.explode(slots))
     part = F.least(F.col("_z"), (F.col("slot") + 1) * step) - F.greatest(F.col("_a"), F.col("slot") * step)
@@ -58,14 +72,16 @@ def worker_rows(df: DataFrame, worker: str, order: list[str], doc: str, restart:
     Of a bucket only the events since its last change matter, and of a worker the buckets since the last one with a
     change, so both levels are aggregates over few rows.
     """
-    rows = bucketed(df, [worker], order[0])
+    rows, cut = bucketed(df, [worker], order[0])
     rows = rows.select(worker, BUCKET, F.struct(*order).alias("_pos"), F.col(doc).alias("_doc"), F.coalesce(restart, F.lit(False)).alias("_restart"), *[c.alias(n) for n, c in fields.items()])
-    ends = rows.groupBy(worker, BUCKET).agg(F.max_by(F.struct("_doc"), "_pos").alias("_end"))
-    carry = ends.select(worker, BUCKET, F.last("_end").over(before([worker])).alias("_before"))
     w = Window.partitionBy(worker, BUCKET).orderBy("_pos")
-    known = carried(rows.withColumn("_lag", F.lag(F.struct("_doc")).over(w)), carry, [worker], ["_before"])
-    changed = F.col("_restart") | ~F.col("_doc").eqNullSafe(F.coalesce("_lag", "_before")["_doc"])
-    jobs = known.withColumn("_changed", changed).withColumn("_job", F.sum(F.col("_changed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lag = F.lag(F.struct("_doc")).over(w)
+    if cut:
+        ends = rows.groupBy(worker, BUCKET).agg(F.max_by(F.struct("_doc"), "_pos").alias("_end"))
+        rows = carried(rows.withColumn("_lag", lag), ends.select(worker, BUCKET, F.last("_end").over(before([worker])).alias("_before")), [worker], ["_before"])
+        lag = F.coalesce("_lag", "_before")
+    changed = F.col("_restart") | ~F.col("_doc").eqNullSafe(lag["_doc"])
+    jobs = rows.withColumn("_changed", changed).withColumn("_job", F.sum(F.col("_changed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     values = [F.max(F.when(F.col(n).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(n).alias("v")))).alias(n) for n in fields]
     job = jobs.groupBy(worker, BUCKET, "_job").agg(*values, F.max(F.struct("_pos", "_doc")).alias("_end"), F.count("*").alias("events"), F.max("_changed").alias("_changed"))
     last = job.groupBy(worker, BUCKET).agg(F.max_by(F.struct("events", "_end", *fields), "_job").alias("_r"), F.max("_changed").alias("_changed")).select(worker, BUCKET, "_changed", "_r.*")
@@ -77,10 +93,8 @@ def worker_rows(df: DataFrame, worker: str, order: list[str], doc: str, restart:
 
 def stalls(df: DataFrame, worker: str, order: list[str], ts: str, active: Column, seconds: int) -> DataFrame:
     """Events of active workers after which nothing came for ``seconds`` or more (at least 1)."""
-    w = Window.partitionBy(worker).orderBy(*order)
-    a = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = F.lead(a).over(w) - a
-    return df.withColumn("gap_us", gap).filter(active & (F.col("gap_us") >= max(1, seconds) * 1_000_000))
+    rows = _next_instant(df, worker, ts, order).withColumn("gap_us", F.col("_next") - F.col("_at")).drop("_at", "_next")
+    return rows.filter(active & (F.col("gap_us") >= max(1, seconds) * 1_000_000))
 
 
 def due(state: tuple, t: float, offset: int, ok: bool, seconds: float, size: int, event_seconds: float) -> tuple[tuple, bool, bool]:

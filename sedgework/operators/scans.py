@@ -32,14 +32,17 @@ def instant(df: DataFrame, column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.floor(column).cast("long")
 
 
-def bucketed(df: DataFrame, key: list[str], at: str) -> DataFrame:
-    """``df`` with the bucket of each event, from 0; all events of a key that isn't hot are in bucket 0."""
+def bucketed(df: DataFrame, key: list[str], at: str) -> tuple[DataFrame, bool]:
+    """``df`` with the bucket of each event, from 0, and whether there are hot keys: without any, nothing is carried on.
+
+    All events of a key that isn't hot are in bucket 0.
+    """
     spark, time = df.sparkSession, instant(df, at)
     total = df.agg(F.count("*").alias("_total"))
     hot = df.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > LEAST).crossJoin(F.broadcast(total)).filter(F.col("_n") * SHARE > F.col("_total"))
     found = hot.collect()
     if not found:
-        return df.withColumn(BUCKET, F.lit(0))
+        return df.withColumn(BUCKET, F.lit(0)), False
     keys = StructType([df.schema[k] for k in key])
     named = spark.createDataFrame([tuple(r[k] for k in key) for r in found], keys)
     cuts = [(i + 1) / SHARE for i in range(SHARE - 1)]
@@ -53,7 +56,7 @@ def bucketed(df: DataFrame, key: list[str], at: str) -> DataFrame:
     cut = spark.createDataFrame(rows, StructType([*keys.fields, StructField("_cuts", ArrayType(LongType()))]))
     out = df.join(F.broadcast(cut), same(df, cut, key), "left").select(df["*"], cut["_cuts"])
     inside = F.size(F.filter("_cuts", lambda c: c < time))
-    return out.withColumn(BUCKET, F.when(F.col("_cuts").isNull(), 0).otherwise(inside)).drop("_cuts")
+    return out.withColumn(BUCKET, F.when(F.col("_cuts").isNull(), 0).otherwise(inside)).drop("_cuts"), True
 
 
 def within(key: list[str], order: list[str]):
@@ -66,6 +69,11 @@ def before(key: list[str]):
     return Window.partitionBy(*key).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def after(key: list[str]):
+    """Over summaries: the buckets after, the next one last."""
+    return Window.partitionBy(*key).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def carried(rows: DataFrame, carry: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """``rows`` with what their bucket carries in."""
     return rows.join(carry, same(rows, carry, [*key, BUCKET]), "left").select(rows["*"], *[carry[c] for c in columns])

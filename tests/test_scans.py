@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -10,8 +11,6 @@ KIND = "worker string, ts timestamp, event_id long, d long, o long, doc long, re
 
 
 def made(n, seed, workers=("hot",) * 8 + ("a", "b", None)):
-    import datetime
-
     r = random.Random(seed)
     at = sorted(r.choice([r.randint(0, 50), r.randint(900, 1000)]) for _ in range(n))  # bursts and ties
     day = datetime.datetime(2024, 1, 1)
@@ -34,12 +33,14 @@ def cut(request, monkeypatch):
 
 def test_one_worker_is_spread_and_keys_of_few_events_are_not(spark, monkeypatch):
     monkeypatch.setattr(scans, "LEAST", 20)
-    df = scans.bucketed(spark.createDataFrame(made(3000, 1), KIND), ["worker"], "ts")
+    df, cut = scans.bucketed(spark.createDataFrame(made(3000, 1), KIND), ["worker"], "ts")
+    assert cut
     n = {(r.worker, r[scans.BUCKET]): r.n for r in df.groupBy("worker", scans.BUCKET).agg(F.count("*").alias("n")).collect()}
     hot = [v for (w, _), v in n.items() if w == "hot"]
     assert len(hot) > 30 and max(hot) < 250
     monkeypatch.setattr(scans, "LEAST", 10**6)
-    assert scans.bucketed(spark.createDataFrame(made(300, 1), KIND), ["worker"], "ts").filter(f"{scans.BUCKET} > 0").count() == 0
+    df, cut = scans.bucketed(spark.createDataFrame(made(300, 1), KIND), ["worker"], "ts")
+    assert not cut and df.filter(f"{scans.BUCKET} > 0").count() == 0
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -83,6 +84,31 @@ def test_worker_rows_equal_the_loop(spark, cut):
     assert {r.worker: (r.doc, r.events, r.last) for r in got.collect()} == want
 
 
+def test_state_time_and_stalls_equal_the_loop(spark, cut):
+    rows = made(1500, 5)
+    us = lambda e: int((e[1] - datetime.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    times: dict = {}
+    gaps = {}
+    for worker, events in by_worker(rows).items():
+        for e, f in zip(events, [*events[1:], None]):
+            if f is None:
+                continue
+            if us(f) - us(e) >= 5_000_000 and e[3] > 0:
+                gaps[e[2]] = us(f) - us(e)
+            a, z = us(e), us(f)
+            while a < z:
+                slot = a // 10_000_000
+                end = min(z, (slot + 1) * 10_000_000)
+                k = (worker, str(e[3]), slot)
+                times[k] = times.get(k, 0) + end - a
+                a = end
+    df = spark.createDataFrame(rows, KIND).withColumn("s", F.col("d").cast("string"))
+    got = E.state_time(df, "worker", "ts", ["ts", "event_id"], "s", 10).collect()
+    assert {(r.worker, r.state, r.slot): r.micros for r in got} == times
+    got = E.stalls(df, "worker", ["ts", "event_id"], "ts", F.col("d") > 0, 5)
+    assert {r.event_id: r.gap_us for r in got.collect()} == gaps and len(gaps) > 3 and got.columns == [*df.columns, "gap_us"]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], KIND)
     assert E.clamped_gauge(df, ["worker"], ["ts"], F.col("d")).count() == E.goodput(df, "worker", ["ts"], F.col("o"), F.lit(0), F.lit(True)).count() == 0
