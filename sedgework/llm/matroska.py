@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -214,7 +216,8 @@ def packets(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for key, media in zip(b.column(0), b.column(1)):
                 found, cues = parse(media.as_py() or b"")
                 cues.sort(key=lambda c: c[2])
-                rows = [(n, t, at, s, e - s, k, max((c[0] for c in cues if c[2] <= s), default=None)) for n, (t, at, s, e, k) in enumerate(found)]
+                places, times = [c[2] for c in cues], [None, *accumulate((c[0] for c in cues), max)]  # the latest cue up to each place
+                rows = [(n, t, at, s, e - s, k, times[bisect_right(places, s)]) for n, (t, at, s, e, k) in enumerate(found)]
                 if rows:
                     n, t, at, s, size, k, cue = map(list, zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), b.schema.types[0]), pa.array(n, pa.int64()), pa.array(t, pa.int64()), pa.array(at, pa.int64()), pa.array(s, pa.int64()), pa.array(size, pa.int64()), pa.array(k, pa.bool_()), pa.array(cue, pa.int64())], names=names)

@@ -1,11 +1,11 @@
-"""Substring dedup with prefix-partitioned suffix trees.
-
-A word position starts a suffix.  Only its first WINDOW words matter: a text is repeated where two
-suffixes share them, that is, where they meet in a node of depth WINDOW.  The tree over all suffixes
-is too large for one machine, so it is split by variable-length prefixes: the prefix of a suffix ends
-with the least hash among the SEED-word grams of its first WINDOW words.  That place depends on the
-words alone, so suffixes that share WINDOW words have equal prefixes and land in one group, while
-neighbouring suffixes that end in the same place travel as one record (about nine suffixes each).
+"""Substring dedup by window hashes that stand in for prefix-partitioned suffix trees.
+
+A word position starts a suffix, and a text is repeated where two suffixes share their first WINDOW words: in a suffix
+tree they would meet in a node of that depth.  No tree is built, as the result needs that one depth only: the suffixes are
+dealt to groups by a variable-length prefix, and within a group sorted by the hash of their window, which lists the leaves
+of such nodes in a row.  The prefix of a suffix ends with the least hash among the SEED-word grams of its first WINDOW
+words (a minimizer).  That place depends on the words alone, so suffixes that share WINDOW words have equal prefixes and land in
+one group, while neighbouring suffixes that end in the same place travel as one record (about nine suffixes each).
 Groups go to as many tasks as memory asks for.
 
 A first pass over all texts counts the suffixes of each prefix, by BUCKETS buckets of its hash, whatever the size
@@ -13,10 +13,9 @@ of the input.  Where a bucket holds more than memory allows, its prefixes are le
 suffix then travels alone and goes to the group that its own window names, so that the different
 windows around one frequent gram spread over all groups, while equal windows still meet.
 
-A task sorts its suffixes by (prefix, word hash of depth WINDOW), which lists the subtrees' leaves in
-order; each run of equal entries is a deep internal node.  Of its leaves the earliest (smallest
+A task sorts its suffixes by (prefix, hash of the window).  Of each run of equal entries the earliest (smallest
 document, then place) stays, all others are repeats; chains of repeats are the maximal ones.  Labels
-are kept as hashes: 64 bits of the prefix and 64 of the window.  Windows around one frequent gram share
+are hashes: 64 bits of the prefix and 64 of the window.  Windows around one frequent gram share
 their prefix, so only the bits of the window tell those apart: 2**-64 for each pair.
 
 Hot passages are combined on the map side: of equal windows in one chunk of texts only the
