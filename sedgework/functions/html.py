@@ -18,30 +18,27 @@ _SILENT = {"script", "style", "noscript"}
 
 
 class _Node:
-    __slots__ = ("attrs", "children", "name", "parent")
-
-    def __init__(self, name: str, attrs: dict, parent):
-        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
-
-    def walk(self, silent=frozenset(), strings: bool = False):
-        """All nodes below in page order, with ``strings`` the strings instead; none within ``silent`` elements."""
-        todo = self.children[::-1]  # no recursion: pages may nest without bound
-        while todo:
-            c = todo.pop()
-            node = isinstance(c, _Node)
-            if node != strings:
-                yield c
-            if node and c.name not in silent:
-                todo += c.children[::-1]
+    """An element.  What lies in it are stretches of its page's lists, so nested elements don't repeat them: strings, anchors
+    and rows, from the first of them to the end."""
+
+    __slots__ = ("attrs", "children", "end", "hidden", "name", "page", "parent", "row", "start")
+
+    def __init__(self, name: str, attrs: dict, parent, page):
+        self.name, self.attrs, self.parent, self.page, self.children = name, attrs, parent, page, []
+        self.start = self.end = page.sizes()
+        self.hidden = 0 if parent is None else parent.hidden + (name in _SILENT)
+        self.row = None if parent is None else parent if parent.name == "tr" else parent.row
 
     def text(self) -> str:
-        return re.sub(r"\s+", " ", " ".join(self.walk(_SILENT, strings=True))).strip()
+        """The strings inside, without those in silent elements below."""
+        inside = self.page.strings[self.start[0] : self.end[0]]
+        return re.sub(r"\s+", " ", " ".join([s for s, hidden in inside if hidden == self.hidden])).strip()
 
-    def above(self, name: str):
-        n = self.parent
-        while n is not None and n.name != name:
-            n = n.parent
-        return n
+    def anchors(self) -> list[_Node]:
+        return self.page.anchors[self.start[1] : self.end[1]]
+
+    def rows(self) -> list[_Node]:
+        return self.page.rows[self.start[2] : self.end[2]]
 
 
 # What ends an open element of the same kind: the kinds, and the holder that they don't reach beyond.
@@ -54,13 +51,20 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {}, None)
+        self.strings, self.anchors, self.rows = [], [], []
+        self.root = _Node("", {}, None, self)
         self.path, self.depths = [self.root], defaultdict(list)
 
-    def _close(self, depth: int):
+    def sizes(self) -> tuple[int, int, int]:
+        return len(self.strings), len(self.anchors), len(self.rows)
+
+    def close_from(self, depth: int):
         """Ends the open elements from ``depth`` on."""
         while len(self.path) > depth:
-            self.depths[self.path.pop().name].pop()
+            node = self.path.pop()
+            node.end = self.sizes()
+            if self.path:
+                self.depths[node.name].pop()
 
     def _depth(self, name: str) -> int:
         return self.depths[name][-1] if self.depths[name] else 0
@@ -70,31 +74,37 @@ class _Tree(HTMLParser):
             kinds, holder = _ENDS[tag]
             depth = max(map(self._depth, kinds))
             if depth > self._depth(holder):
-                self._close(depth)
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.path[-1])
+                self.close_from(depth)
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.path[-1], self)
         self.path[-1].children.append(node)
+        for kind, held in (("a", self.anchors), ("tr", self.rows)):
+            if tag == kind:
+                held.append(node)
+                node.start = self.sizes()  # an element doesn't hold itself
         if tag not in _VOID:
             self.depths[tag].append(len(self.path))
             self.path.append(node)
 
     def handle_endtag(self, tag):
         if self._depth(tag):
-            self._close(self._depth(tag))
+            self.close_from(self._depth(tag))
 
     def handle_data(self, data):
-        self.path[-1].children.append(data)
+        at = self.path[-1]
+        self.strings.append((data, at.hidden))
 
 
 def tree(html: str | None) -> _Node:
     p = _Tree()
     p.feed(html or "")
     p.close()
+    p.close_from(0)
     return p.root
 
 
 def leaf_rows(root: _Node) -> list[_Node]:
     """Rows with cells of their own and no row inside."""
-    return [n for n in root.walk() if n.name == "tr" and any(isinstance(c, _Node) and c.name == "td" for c in n.children) and not any(m.name == "tr" for m in n.walk())]
+    return [n for n in root.rows() if any(c.name == "td" for c in n.children) and not n.rows()]
 
 
 def _admissible(base: str, href: str) -> str | None:
@@ -118,14 +128,13 @@ def mirror_rows(html: str | None, base: str, first_hosts: tuple[str, ...] = (),
     """(links, mirrors) of each row: mirrors are those on ``first_hosts`` that look like one, on ``own_hosts``, then others that look like one."""
     out = []
     for row in leaf_rows(tree(html)):
-        links: list[str] = []
-        groups: tuple[list[str], ...] = ([], [], [])
-        for a in (n for n in row.walk() if n.name == "a" and n.above("tr") is row):
+        links: dict[str, None] = {}  # in order, each once
+        groups: tuple[dict[str, None], ...] = ({}, {}, {})
+        for a in (n for n in row.anchors() if n.row is row):
             link = _admissible(base, a.attrs.get("href", "").strip())
             if link is None:
                 continue
-            if link not in links:
-                links.append(link)
+            links[link] = None
             if _navigation(link, ("/",)):
                 continue
             u = urlsplit(link)
@@ -133,11 +142,11 @@ def mirror_rows(html: str | None, base: str, first_hosts: tuple[str, ...] = (),
             host = (u.hostname or "").lower()
             on = lambda hosts: any(host == h or host.endswith("." + h) for h in hosts)  # noqa: B023, E731
             k = 0 if looks and on(first_hosts) else 1 if on(own_hosts) else 2 if looks else None
-            if k is not None and link not in groups[k]:
-                groups[k].append(link)
+            if k is not None:
+                groups[k][link] = None
         mirrors = list(dict.fromkeys(x for g in groups for x in g))
         if links and mirrors:
-            out.append({"links": links, "mirrors": mirrors})
+            out.append({"links": list(links), "mirrors": mirrors})
     return out
 
 
@@ -146,7 +155,7 @@ def document_rows(html: str | None, base: str) -> list[dict]:
     seen, out = set(), []
     for row in leaf_rows(tree(html)):
         text = row.text()
-        for a in (n for n in row.walk() if n.name == "a"):
+        for a in row.anchors():
             link = _admissible(base, a.attrs.get("href", "").strip())
             if link is None or _navigation(link, ("", "/", "/index.php")) or link in seen:
                 continue
@@ -163,11 +172,11 @@ def linearize(html: str | None) -> str:
     """Tables as lines of cells with their links; pages without rows as their text."""
     root = tree(html)
     lines = []
-    for row in (n for n in root.walk() if n.name == "tr"):
+    for row in root.rows():
         cells = []
         for c in row.children:
-            if isinstance(c, _Node) and c.name in ("td", "th"):
-                links = [f"{n.text()} ({n.attrs['href']})" for n in c.walk() if n.name == "a" and n.attrs.get("href")]
+            if c.name in ("td", "th"):
+                links = [f"{n.text()} ({n.attrs['href']})" for n in c.anchors() if n.attrs.get("href")]
                 cells.append(" ".join(x for x in [c.text(), *links] if x))
         if any(cells):
             lines.append(" | ".join(cells))
@@ -177,7 +186,7 @@ def linearize(html: str | None) -> str:
 def download_links(html: str | None, base: str) -> list[str]:
     """Links of a mirror page: named downloads, else those with an md5, else all that look like one."""
     root = tree(html)
-    anchors = [(n.text(), n.attrs.get("href", "")) for n in root.walk() if n.name == "a" and n.attrs.get("href")]
+    anchors = [(n.text(), n.attrs["href"]) for n in root.anchors() if n.attrs.get("href")]
     tiers = [
         [h for label, h in anchors if re.search(r"\b(GET|DOWNLOAD|IPFS)\b", label, re.I) or re.search(r"get\.php|/main/|\.pdf($|\?)", h, re.I)],
         [h for _, h in anchors if "md5=" in h.lower()],

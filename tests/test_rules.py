@@ -33,6 +33,20 @@ def test_stray_tags_take_linear_time(page):
     assert time.process_time() - began < 6
 
 
+@pytest.mark.parametrize("page", ["<tr><td>" + "<a href='/b'>" * 20_000 + "x", "<table><tr><td>" * 6000, "<table><tr>" + "<td><table><tr>" * 4000 + "<td>x", "<tr><td><a href='/main/x'>" + "<b>" * 30_000 + "</a>" * 100])
+def test_nested_elements_take_linear_time(page):
+    began = time.process_time()
+    for read in (H.mirror_rows, H.document_rows, H.download_links):
+        read(page, "http://h.example/")
+    H.linearize(page)
+    assert time.process_time() - began < 8
+
+
+def test_text_leaves_silent_elements_out_but_not_their_own():
+    root = H.tree("<td>a<noscript>b<a href='/x'>c</a></noscript><script>d</script>e</td>")
+    assert root.text() == "a e" and root.anchors()[0].text() == "c"
+
+
 def test_open_elements_end_as_before():
     rows = H.leaf_rows(H.tree("<table><tr><td>a<td>b<b>c<tr><td>d</table></tr><p>x<div><p>y<p>z</div></q>"))
     assert [r.text() for r in rows] == ["a b c", "d"]
