@@ -83,7 +83,8 @@ def _normal(where: Column, url: Column, parameters: Column) -> Column:
 
 
 def _origin(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    """Scheme, host and port in lower case; credentials are left out of keys."""
+    return F.concat(scheme(url), F.lit("://"), netloc(url))
 
 
 def route_identity(url: Column) -> Column:

@@ -20,7 +20,7 @@ def keyed(url, blank, tracking=True):
 
 def test_spellings_of_an_address_give_the_key_of_its_decoded_query(spark):
     queries = ["", "?", "?a=1&a-b=2", "?a-b=2&a=1", "?a", "?a=", "?=v", "?a==b", "?%41=%42&A=b+c", "?x+%zz=%", "?utm_s=1&UTM_T=2&ts=3&tst=4&_=5", "?b=%C3%A9&b=é&b=~*", "?a=1;b=2", "?a&&b&", "?k=a%26b%3D", "?q=%F0%9F%98%80&q=z", "?t=" + "x" * 2000]
-    urls = [f"{o}{p}{q}{f}" for o in ("http://h.example", "HTTP://U:p@Host.Example:80") for p in ("", "/", "/a;b/c;d", "/x.pdf") for q in queries for f in ("", "#f?z=1")]
+    urls = [f"{o}{p}{q}{f}" for o in ("http://h.example", "HTTP://Host.Example:80") for p in ("", "/", "/a;b/c;d", "/x.pdf") for q in queries for f in ("", "#f?z=1")]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.route_key(F.col("u")).alias("k"), U.canonical(F.col("u")).alias("c")).collect()
     assert [r.k for r in got] == [keyed(r.u, True) for r in got]
     assert [r.c for r in got] == [keyed(r.u, False, tracking=False) for r in got]
