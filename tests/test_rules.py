@@ -30,7 +30,7 @@ def test_spellings_of_an_address_give_the_key_of_its_decoded_query(spark):
 def test_stray_tags_take_linear_time(page):
     began = time.process_time()
     H.tree(page)
-    assert time.process_time() - began < 6
+    assert time.process_time() - began < 15
 
 
 @pytest.mark.parametrize("page", ["<tr><td>" + "<a href='/b'>" * 20_000 + "x", "<table><tr><td>" * 6000, "<table><tr>" + "<td><table><tr>" * 4000 + "<td>x", "<tr><td><a href='/main/x'>" + "<b>" * 30_000 + "</a>" * 100])
@@ -39,7 +39,7 @@ def test_nested_elements_take_linear_time(page):
     for read in (H.mirror_rows, H.document_rows, H.download_links):
         read(page, "http://h.example/")
     H.linearize(page)
-    assert time.process_time() - began < 8
+    assert time.process_time() - began < 15
 
 
 def test_text_leaves_silent_elements_out_but_not_their_own():
