@@ -55,11 +55,12 @@ def worker_rows(events: DataFrame) -> DataFrame:
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         doc, n, value = state.get if state.exists else (None, 0, None)
-        for r in _sorted(parts, "seq").itertuples():
-            if n == 0 or r.restart or r.doc != doc:
-                doc, n, value = int(r.doc), 0, None
+        rows = _sorted(parts, "seq")
+        for d, restart, v in zip(rows["doc"].tolist(), rows["restart"].tolist(), rows["value"].tolist()):
+            if n == 0 or restart or d != doc:
+                doc, n, value = int(d), 0, None
             n += 1
-            value = float(r.value) if pd.notna(r.value) else value
+            value = float(v) if v is not None and v == v else value
         state.update((doc, n, value))
         yield pd.DataFrame({"worker": [k[0]], "doc": [doc], "events": [n], "last_value": [value]})
 
