@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache, wraps
 
 import pyarrow as pa
@@ -48,6 +49,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends; else they stay until the driver happens to collect its garbage.
+
+    For steps that run one after the other, each over what the one before has written.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @lru_cache(maxsize=1)
 def _trim():
     """The C library's call that gives free memory back to the system, where it has one."""

@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, slices, table, text_or_empty
+from .common import frugal, materialize, slices, table, text_or_empty, tidy
 
 #: The contract's numbers: occurrences of a candidate, its most words, and phrases of a language in the result.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bits of a filter (a power of two), and bytes of text that are read at once (a longer text stands alone).
-BITS, SLICE = 1 << 24, 4 << 20
+BITS, SLICE = 1 << 24, 2 << 20
 #: The largest dictionary of frequent words that is sent to the tasks: words, and bytes of them.
 WORDS, BYTES = 400_000, 8 << 20
 _MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -69,7 +69,7 @@ def _text(words: list[bytes]) -> pa.Array:
 
 
 def _counted(lang: str, phrases: pa.Array, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrases)), phrases, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
 
 def _words(batches):
@@ -142,10 +142,11 @@ def _contexts(bits: np.ndarray, pair_bits: np.ndarray, longest: int):
             for d in range(longest):
                 key = np.unique(key * (len(words) + 1) + np.where(size > d, ext[at + d], -1) + 1, return_inverse=True)[1]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            rows = [[words[c] for c in codes[i : i + k]] for i, k in zip(at[first].tolist(), size[first].tolist())]
-            ends = np.cumsum([0, *map(len, rows)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _text([w for r in rows for w in r]))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), lists, pa.array(n, pa.int64())], names=["lang", "words", "n"])
+            at, size = at[first], size[first]
+            inside = np.arange(longest) < size[:, None]
+            spelled = _text(words).take(pa.array(ext[(at[:, None] + np.arange(longest))[inside]]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), spelled)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), lists, pa.array(n, pa.int64())], names=["lang", "words", "n"])
 
     return run
 
@@ -233,7 +234,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     A phrase's score is that of its worst cut, ``floor(1000 * a * n / (l * r))``; phrases that stand only inside a longer
     frequent one go.
     """
-    return _scored(frequent(docs, lang_col, text_col, least, longest), top)
+    with tidy(docs.sparkSession):
+        found = frequent(docs, lang_col, text_col, least, longest)
+    return _scored(found, top)
 
 
 def _scored(found: DataFrame, top: int) -> DataFrame:

@@ -29,3 +29,12 @@ def test_slices():
 def test_materialized_rows_keep_their_schema(spark):
     df = spark.createDataFrame([(1, None), (None, "x")], "a long, b string")
     assert common.materialize(df, "t").schema == df.schema and common.materialize(df, "t").count() == 2
+
+
+def test_tidy_gives_the_setting_back(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with common.tidy(spark):
+        assert spark.conf.get(name) == "true"
+        rows = common.materialize(spark.range(100).groupBy("id").count(), "t")
+    assert spark.conf.get(name) == before and rows.count() == rows.count() == 100
